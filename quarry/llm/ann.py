@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.base import written
 
 SAMPLE, ROUNDS, SEED = 16_384, 12, 7
-VISIT, BLOCK, QUERIES = 0.45, 8192, 1024
+VISIT, BLOCK, QUERIES = 0.45, 1024, 1024
 #: Most centroids of a half; bounds the layout, which has at most the square of this many cells.
 MOST = 256
 
