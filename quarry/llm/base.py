@@ -23,9 +23,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """df as a table written once in the shared folder: cuts lineage and survives lost executors.
+
+    parts: most files, for tables known to be small; it must grow with the input.
+    """
     path = shared_path(df.sparkSession, name)
+    df = df.coalesce(parts) if parts else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,14 +32,14 @@ def state_of(edges: DataFrame) -> tuple:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links: (a, b) longs. Returns (id, component) for ids with a link; component is the smallest id reachable."""
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
+    """links: (a, b) longs; parts: as for written(). Returns (id, component) for ids with a link; component is the smallest id reachable."""
     edges = written(
-        links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+        links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", parts
     )
     before = None
     while (now := state_of(edges)) != before and now[0]:
         before = now
-        edges = written(star(star(edges, True), False), "edges")
+        edges = written(star(star(edges, True), False), "edges", parts)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)

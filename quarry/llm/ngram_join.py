@@ -12,7 +12,7 @@ components without listing all pairs of a group:
 4. Order shingles from rare to frequent. Linked sets share one of their first n - ceil(0.75 n) + 1 shingles, and two
    of one more. Large sets post the single shingles and scan each inverted list; small sets post subsets of two. The
    boundary between them is the size with the least estimated cost.
-5. In each list one member, with the most shared shingles, is compared to all others. Linked members fall into one
+5. In each list one member, with the most shared shingles, is compared to all others, then some more. Linked members fall into one
    component; only pairs across components are compared after that, so a group of near copies costs a few comparisons
    for each member instead of all its pairs.
 
@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.base import pow2_at_least, written
@@ -44,8 +44,10 @@ SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLICE, CHUNK_TEXTS, CHUNK_BYTES, DOCS_PER_BUCKET = 1 << 20, 8192, 16 << 20, 8192
 #: Texts of one chunk from which a shingle is sent once; the frequency that then stands for it.
 FREQUENT, MANY = 32, 30_000
-#: Largest size up to which subsets are considered, and rounds with one more compared member for each list.
-LARGEST_SMALL, ROUNDS = 48, 4
+#: Largest size up to which subsets are considered; members of a list that are compared to all others, by turn.
+LARGEST_SMALL, LEADERS = 48, (1, 16)
+#: Documents for each file of the tables between steps.
+DOCS_PER_FILE = 32_768
 
 
 def needed(n):
@@ -326,7 +328,9 @@ def meeting(members: DataFrame, others: DataFrame) -> DataFrame:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     rows = written(classes(docs, id_col, text_col), "classes")
-    buckets = min(1 << 16, pow2_at_least(rows.count() / DOCS_PER_BUCKET))
+    total = rows.count()
+    buckets = min(1 << 16, pow2_at_least(total / DOCS_PER_BUCKET))
+    parts = max(8, total // DOCS_PER_FILE)
     chunks = (
         sent(docs, text_col, buckets)
         .repartition(buckets, "bucket")
@@ -349,7 +353,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     links = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
     tested, found = links, links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for turn in range(ROUNDS + 1):
+    for turn in range(len(LEADERS) + 1):
         members = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_lists = (
             members.groupBy("sig")
@@ -357,7 +361,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             .where("low != high")
             .select("sig")
         )
-        members = written(members.join(open_lists, "sig"), "members")
+        members = written(members.join(open_lists, "sig"), "members", parts)
         sizes = members.groupBy("sig", "component").agg(
             F.count("*").alias("held"), F.min(F.struct("alone", "id", "n", "place")).alias("first")
         )
@@ -369,17 +373,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         cost = rest.agg(F.sum(F.col("others") * F.col("all")), F.sum("all")).first()
         if not cost[1]:
             break
-        last = turn == ROUNDS or cost[0] <= 30 * cost[1]
+        last = turn == len(LEADERS) or cost[0] <= 30 * cost[1]
         if last:
             others = members.join(rest.select("sig", "main"), "sig").where("component != main").drop("main")
         else:
             one = sizes.join(rest.select("sig", "main"), "sig").where(F.lit(turn == 0) | (F.col("component") != F.col("main")))
-            others = one.groupBy("sig").agg(F.min(F.struct("first", "component")).alias("one")).select(
-                "sig", "one.first.id", "one.first.n", "one.first.place", "one.first.alone", "one.component"
+            turns = Window.partitionBy("sig").orderBy("first")
+            others = (
+                one.withColumn("turn", F.row_number().over(turns))
+                .where(F.col("turn") <= LEADERS[turn])
+                .select("sig", "first.id", "first.n", "first.place", "first.alone", "component")
             )
-        pairs = written(meeting(members, others).join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.union(linked(pairs, sets)), "links")
-        found = written(components(links), "components")
+        pairs = written(meeting(members, others).join(tested, ["a", "b"], "left_anti"), "pairs", parts)
+        links = written(links.union(linked(pairs, sets)), "links", parts)
+        found = written(components(links, parts), "components", parts)
         if last:
             break
         tested = tested.union(pairs)
