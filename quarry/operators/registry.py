@@ -1,9 +1,378 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries over the given tables, each beside its SQL oracle.
 
+A query is a thin use of an operator; R rounds a result so that sums in another order compare equal.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions.numeric import pearson
+from quarry.operators import arrays, recovery, relational, statistics
+from quarry.plans import expression as ex
+from quarry.sources.tables import flat_features, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+FEATURES = ["quantity", "price", "discount", "tax", "retail"]
+FLAT = """WITH f AS (SELECT l_orderkey AS instance_id, l_linenumber AS family_index, p_size AS size, l_returnflag AS generator,
+ l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, p_retailprice AS retail,
+ l_extendedprice * (1 - l_discount) * (1 + l_tax) AS target FROM lineitem JOIN part ON l_partkey = p_partkey)
+"""
+LONG = FLAT + ", l AS (" + " UNION ALL ".join(f"SELECT size, target, '{c}' AS col, {c} AS v FROM f" for c in FEATURES) + ")\n"
+TAPE = "WITH t AS (SELECT user_id, event_id AS x, event_id % 97 AS y FROM events)\n"
+VEC = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)\n"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles rounded, without negative zero."""
+    return df.select(
+        *[(F.round(c, other.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    )
+
+
+def safe_r(x: str, y: str) -> str:
+    """Correlation under the null policy; only for columns without NaN."""
+    return f"CASE WHEN regr_count({x}, {y}) >= 3 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN corr({x}, {y}) END"
+
+
+@query(
+    LONG
+    + f""", o AS (SELECT col, {safe_r('v', 'target')} AS r, count(v) AS n FROM l GROUP BY col),
+s AS (SELECT col, size, {safe_r('v', 'target')} AS r FROM l GROUP BY col, size),
+g AS (SELECT s.col, CASE WHEN count(*) >= 2 THEN avg(CASE WHEN sign(s.r) = sign(o.r) THEN 1.0 ELSE 0.0 END) END AS st
+ FROM s JOIN o ON s.col = o.col WHERE s.r IS NOT NULL AND s.r <> 0 GROUP BY s.col)
+SELECT o.col AS "column", round(r, 6) AS r, round(r * r, 6) AS r2, n, round(st, 6) AS stability FROM o LEFT JOIN g ON o.col = g.col"""
+)
+def correlation_report(spark, sf_dir):
+    return rounded(statistics.correlate(flat_features(spark, sf_dir), FEATURES))
+
+
+@query(
+    LONG
+    + f"""SELECT col AS "column", size, round({safe_r('v', 'target')}, 6) AS r, count(v) AS n FROM l GROUP BY col, size"""
+)
+def correlation_by_size(spark, sf_dir):
+    long = statistics.unpivoted(flat_features(spark, sf_dir), FEATURES, ["size", "target"])
+    return rounded(long.groupBy("column", "size").agg(pearson(F.col("value"), F.col("target")).alias("r"), F.count("value").alias("n")))
+
+
+@query(
+    FLAT
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, 1.0 AS r" if a == b else f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM f"
+        for a in FEATURES
+        for b in FEATURES
+    )
+)
+def correlation_matrix(spark, sf_dir):
+    return rounded(statistics.correlation_matrix(flat_features(spark, sf_dir), FEATURES))
+
+
+@query(FLAT + "SELECT size, count(target) AS n, round(avg(target), 4) AS mean, round(stddev_pop(target), 4) AS std, round(min(target), 4) AS low, round(max(target), 4) AS high FROM f GROUP BY size")
+def distribution_summary_grouped(spark, sf_dir):
+    return rounded(statistics.distribution(flat_features(spark, sf_dir), "target", ["size"]), 4)
+
+
+@query(FLAT + "SELECT count(target) AS n, round(avg(target), 4) AS mean, round(stddev_pop(target), 4) AS std, round(min(target), 4) AS low, round(max(target), 4) AS high FROM f")
+def distribution_summary_overall(spark, sf_dir):
+    return rounded(statistics.distribution(flat_features(spark, sf_dir), "target", []), 4)
+
+
+@query(FLAT + ", s AS (SELECT avg(target) AS mu, stddev_pop(target) AS sd FROM f) SELECT instance_id, family_index, round(target, 4) AS target, round((target - mu) / sd, 4) AS z_score FROM f, s WHERE abs((target - mu) / sd) >= 2.5")
+def outlier_rows(spark, sf_dir):
+    return rounded(statistics.outliers(flat_features(spark, sf_dir), "target", ["instance_id", "family_index"]), 4)
+
+
+@query(FLAT + ", g AS (SELECT generator, count(target) AS n, avg(target) AS m, var_pop(target) AS v FROM f GROUP BY generator) SELECT count(*) AS groups, round((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / sum(n * v), 6) AS separation FROM g")
+def separation_score(spark, sf_dir):
+    return rounded(statistics.separation(flat_features(spark, sf_dir), "target"))
+
+
+@query(FLAT + ", m AS (SELECT generator, median(target) AS c FROM f GROUP BY generator) SELECT round(avg(abs(target - c)), 4) AS mae, count(*) AS n FROM f JOIN m USING (generator)")
+def generator_median_baseline(spark, sf_dir):
+    return rounded(statistics.group_median_error(flat_features(spark, sf_dir), "target", "generator"), 4)
+
+
+@query(FLAT + ", p AS (SELECT instance_id, stddev_pop(target) AS sd, avg(target) AS m FROM f GROUP BY instance_id HAVING count(target) >= 2) SELECT round(median(sd / greatest(m, 1e-12)), 6) AS cv, count(*) AS instances FROM p")
+def within_instance_cv(spark, sf_dir):
+    return rounded(statistics.variation_within(flat_features(spark, sf_dir), "target"))
+
+
+@query(FLAT + "SELECT count(target) AS n, count(target) < 2 OR stddev_pop(target) < 1e-12 OR stddev_pop(target) / greatest(abs(avg(target)), 1.0) < 1e-9 AS degenerate FROM f")
+def target_degeneracy(spark, sf_dir):
+    return statistics.degeneracy(flat_features(spark, sf_dir), "target")
+
+
+@query(FLAT + "SELECT size, round(median(target), 4) AS median, count(target) AS n FROM f GROUP BY size")
+def median_by_size(spark, sf_dir):
+    return rounded(statistics.median_by_size(flat_features(spark, sf_dir), "target"), 4)
+
+
+@query(
+    LONG
+    + """, m AS (SELECT col, size, median(v) AS med FROM l GROUP BY col, size HAVING median(v) > 0)
+SELECT col AS "column", count(*) AS sizes, round(regr_slope(ln(med), size), 6) + 0.0 AS a, round(regr_intercept(ln(med), size), 6) AS b,
+ CASE WHEN var_pop(ln(med)) > 0 THEN round(pow(corr(ln(med), size), 2), 6) END AS r2, regr_slope(ln(med), size) > 0.3 AS is_exponential FROM m GROUP BY col"""
+)
+def fit_log_scaling(spark, sf_dir):
+    return rounded(statistics.log_scaling(flat_features(spark, sf_dir), FEATURES))
+
+
+@query(FLAT + "SELECT size, round(regr_slope(target, price), 6) AS slope, round(regr_intercept(target, price), 2) AS intercept, round(regr_r2(target, price), 6) AS r2, count(*) AS n FROM f GROUP BY size")
+def per_size_ols(spark, sf_dir):
+    return rounded(statistics.ols_by_group(flat_features(spark, sf_dir), "price", "target", ["size"]), 6, intercept=2)
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS t FROM orders)
+SELECT o_orderkey, round(coalesce(t, (SELECT avg(t) FROM o)), 3) AS t FROM o""")
+def impute_mean(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("t"))
+    return rounded(statistics.imputed(orders, ["t"], ["o_orderkey"]), 3)
+
+
+@query("""WITH p AS (SELECT p_brand, avg(p_retailprice) AS a FROM part GROUP BY p_brand),
+r AS (SELECT p_brand, round(1.0 / (1 + abs(a - 1400)), 9) AS p FROM p), k AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS rank, count(*) OVER () AS m FROM r),
+q AS (SELECT *, least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC ROWS UNBOUNDED PRECEDING)) AS q FROM k)
+SELECT p_brand, round(p, 9) AS p, CAST(rank AS INTEGER) AS rank, round(q, 9) AS q, q <= 0.05 AS reject FROM q""")
+def bh_fdr(spark, sf_dir):
+    tests = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg("p_retailprice").alias("a"))
+    tests = tests.select("p_brand", F.round(1.0 / (1 + F.abs(F.col("a") - 1400)), 9).alias("p"))
+    return rounded(statistics.benjamini_hochberg(tests, "p", "p_brand"), 9)
+
+
+@query()
+def bootstrap_clusters(spark, sf_dir):
+    r = statistics.cluster_bootstrap(flat_features(spark, sf_dir), "price", "target", "instance_id", 100)
+    return rounded(r.agg(F.count("r").alias("replicates"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high")))
+
+
+@query("""WITH o AS (SELECT o_custkey % 5 AS size, o_orderkey AS k, o_totalprice AS v FROM orders),
+a AS (SELECT size, k, row_number() OVER (PARTITION BY size ORDER BY k, v) AS i FROM o),
+b AS (SELECT size, v, row_number() OVER (PARTITION BY size ORDER BY sha256('0:' || CAST(k AS VARCHAR)), v) AS i FROM o)
+SELECT a.size, a.k, b.v AS permuted FROM a JOIN b ON a.size = b.size AND a.i = b.i""")
+def permuted_null(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("size"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    return statistics.permuted_target(orders, "v", ["k"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, o_orderpriority AS generator, c_mktsegment FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")
+def flatten_features(spark, sf_dir):
+    line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return joined.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"), F.col("o_orderpriority").alias("generator"), "c_mktsegment")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice, 'sealed' AS origin FROM orders WHERE o_orderkey % 3 = 0),
+g AS (SELECT o_orderkey, o_totalprice, 'log' AS origin FROM orders WHERE o_orderkey % 2 = 0)
+SELECT * FROM s UNION ALL SELECT * FROM g WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)""")
+def union_sealed_and_log(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    sealed, log = orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0")
+    return relational.union_sealed_and_log(sealed.withColumn("origin", F.lit("sealed")), log.withColumn("origin", F.lit("log")), ["o_orderkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def pending_work(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+    return relational.pending(customer, orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def run_subset(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").withColumnRenamed("o_orderkey", "l_orderkey")
+    return relational.subset(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ids, "l_orderkey")
+
+
+@query(FLAT + "SELECT count(*) AS rows, count(DISTINCT instance_id) AS instances, count(DISTINCT size) AS sizes, min(family_index) AS first_index, max(family_index) AS last_index FROM f")
+def run_summary(spark, sf_dir):
+    return relational.run_summary(flat_features(spark, sf_dir))
+
+
+SPLIT = """SELECT c_custkey, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'held_out' WHEN u < 60 THEN 'discovery' WHEN u < 80 THEN 'calibration' ELSE 'confirmatory' END AS split_fold
+FROM (SELECT c_custkey, c_mktsegment, CAST('0x' || substr(sha256('7:' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS u FROM customer)"""
+
+
+def splits(spark, sf_dir):
+    return relational.assigned_splits(table(spark, sf_dir, "customer"), "c_custkey", "7", ["MACHINERY"], "c_mktsegment")
+
+
+@query(SPLIT)
+def assign_splits(spark, sf_dir):
+    return splits(spark, sf_dir).select("c_custkey", "split_fold")
+
+
+@query(f"SELECT split_fold, count(*) AS n FROM ({SPLIT}) GROUP BY split_fold")
+def fold_counts(spark, sf_dir):
+    return splits(spark, sf_dir).groupBy("split_fold").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return relational.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing quality' ELSE '' END || CASE WHEN quality IS NULL AND toxic IS NULL THEN ',' ELSE '' END || CASE WHEN toxic IS NULL THEN 'missing toxic' ELSE '' END AS errors
+FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR toxic IS NULL""")
+def validate_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return relational.invalid(rows, ["quality", "toxic"]).select("doc_id", F.concat_ws(",", "errors").alias("errors"))
+
+
+@query(FLAT + "SELECT generator, count(DISTINCT (quantity, discount, tax)) AS vectors, count(*) AS rows FROM f GROUP BY generator")
+def distinct_vectors(spark, sf_dir):
+    return relational.distinct_vectors(flat_features(spark, sf_dir), ["quantity", "discount", "tax"], "generator")
+
+
+@query(FLAT + ", b AS (SELECT size, count(DISTINCT generator) AS g, count(DISTINCT (quantity, discount)) AS v FROM f GROUP BY size) SELECT count(*) AS blocks, count(*) FILTER (v > 1) AS visible FROM b WHERE g >= 2")
+def mechanism_visibility(spark, sf_dir):
+    return relational.visibility(flat_features(spark, sf_dir), ["quantity", "discount"], "size", "generator")
+
+
+@query("""WITH n AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS feature FROM part UNION SELECT DISTINCT 'quantity.' || CAST(p_size AS VARCHAR) FROM part UNION SELECT DISTINCT 'price.' || p_brand FROM part)
+SELECT feature, CASE WHEN feature LIKE 'quantity%' THEN 'structural' WHEN feature LIKE 'price%' THEN 'oracle' WHEN feature LIKE 'target%' THEN 'outcome' WHEN feature LIKE 'retail%' THEN 'structural' WHEN feature LIKE 'tax%' THEN 'structural' WHEN feature LIKE 'q%' THEN 'sampled' ELSE 'unknown' END AS origin,
+ NOT (feature LIKE 'quantity%' OR feature LIKE 'retail%' OR feature LIKE 'tax%' OR feature LIKE 'q%') AS blocked FROM n""")
+def audit_features(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.lower(F.split("p_type", " ")[0]).alias("feature"))
+    names = names.union(part.select(F.concat(F.lit("quantity."), F.col("p_size").cast("string")))).union(part.select(F.concat(F.lit("price."), "p_brand")))
+    return relational.audited(names.distinct())
+
+
+@query(FLAT + "SELECT instance_id, family_index, round(ln(greatest(abs(price), 1e-12)) / (quantity + 1.0), 6) AS e1, round(sqrt(greatest(discount, 0.0)) * tax, 6) AS e2, CASE WHEN abs(tax) > 1e-12 THEN round(discount / tax, 6) END AS e3 FROM f")
+def expr_eval_clamped(spark, sf_dir):
+    e = {"e1": "div(log(price), add(quantity, 1))", "e2": "mul(sqrt(discount), tax)", "e3": "div(discount, tax)"}
+    return rounded(flat_features(spark, sf_dir).select("instance_id", "family_index", *[ex.compiled(ex.parsed(t)).alias(n) for n, t in e.items()]))
+
+
+def ranked(rows: DataFrame, nodes: list[ex.Node]) -> DataFrame:
+    """Candidates by |r| with the target: all candidates in one pass over the rows."""
+    one = rows.agg(*[pearson(ex.compiled(n), F.col("target")).alias(f"c{i}") for i, n in enumerate(nodes)])
+    cells = [F.struct(F.lit(str(n)).alias("candidate"), F.lit(n.size()).cast("long").alias("size"), F.col(f"c{i}").alias("r")) for i, n in enumerate(nodes)]
+    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+POSITIVE = ["quantity", "price", "retail"]
+
+
+@query(FLAT + " UNION ALL ".join(f"SELECT 'div({a}, {b})' AS candidate, CAST(3 AS BIGINT) AS size, round(corr({a} / {b}, target), 6) AS r FROM f" for a in POSITIVE for b in POSITIVE if a != b))
+def rank_ratios(spark, sf_dir):
+    return rounded(ranked(flat_features(spark, sf_dir), ex.ratios(POSITIVE)))
+
+
+@query(FLAT + " UNION ALL ".join(f"SELECT 'mul({a}, {b})' AS candidate, CAST(3 AS BIGINT) AS size, round(corr({a} * {b}, target), 6) AS r FROM f" for i, a in enumerate(FEATURES) for b in FEATURES[i:]))
+def rank_products(spark, sf_dir):
+    return rounded(ranked(flat_features(spark, sf_dir), ex.products(FEATURES)))
+
+
+@query(VEC + """SELECT vec_id, CAST(len(v) AS BIGINT) AS "count", round(list_sum(v) / len(v), 6) AS mean, round(sqrt(greatest(0.0, list_sum(list_transform(v, lambda x: x * x)) / len(v) - pow(list_sum(v) / len(v), 2))), 6) AS std, round(list_min(v), 6) AS low, round(list_max(v), 6) AS high FROM e""")
+def array_stats(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return rounded(arrays.described(e, "embedding", ["vec_id"], arrays.moments(F.col("embedding"))))
+
+
+@query(VEC + """, s AS (SELECT vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS e2, list_sum(list_transform(v, lambda x: abs(x))) AS e1, list_sort(list_transform(v, lambda x: abs(x))) AS a FROM e)
+SELECT vec_id, round(-list_sum(list_transform(list_filter(v, lambda x: x * x > 0), lambda x: x * x / e2 * log2(x * x / e2))), 5) AS entropy,
+ round(2 * list_sum(list_transform(a, lambda x, i: x * i)) / (len(a) * e1) - (len(a) + 1.0) / len(a), 5) AS gini,
+ round((sqrt(len(v)) - e1 / sqrt(e2)) / (sqrt(len(v)) - 1), 5) AS hoyer, round(pow(e2, 2) / list_sum(list_transform(v, lambda x: pow(x, 4))), 5) AS participation FROM s""")
+def array_sparsity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return rounded(arrays.described(e, "embedding", ["vec_id"], {n: f(F.col("embedding")) for n, f in arrays.DESCRIPTORS.items()}), 5)
+
+
+@query(VEC + """, c AS (SELECT vec_id, v, list_transform(v, lambda x: x - list_avg(v)) AS c FROM e)
+SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: c[i] * c[i + 1])) / list_sum(list_transform(c, lambda x: x * x)), 5) AS lag1,
+ round(list_sum(list_transform(range(1, 61), lambda i: c[i] * c[i + 4])) / list_sum(list_transform(c, lambda x: x * x)), 5) AS lag4,
+ CAST(len(list_filter(range(2, 64), lambda i: v[i] < v[i - 1] AND v[i] < v[i + 1])) AS BIGINT) AS minima FROM c""")
+def array_landscape(spark, sf_dir):
+    v = F.col("embedding")
+    found = {"lag1": arrays.autocorrelation(v, 1), "lag4": arrays.autocorrelation(v, 4), "minima": arrays.local_minima(v)}
+    return rounded(arrays.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], found), 5)
+
+
+@query(VEC + """SELECT vec_id, round(pow(list_sum(list_transform(v, lambda x: pow(abs(x), 3.0))), 1 / 3.0), 5) AS p3,
+ round(list_sum(list_reverse_sort(list_transform(v, lambda x: x * x))[1:8]) / list_sum(list_transform(v, lambda x: x * x)), 5) AS top8 FROM e""")
+def array_norms(spark, sf_dir):
+    v = F.col("embedding")
+    return rounded(arrays.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], {"p3": arrays.pnorm(v, 3.0), "top8": arrays.topk_energy(v, 8)}), 5)
+
+
+@query(VEC + """, w AS (SELECT vec_id, k, sum(x * CASE WHEN bit_count(i & k) % 2 = 0 THEN 1 ELSE -1 END) AS s
+ FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e), range(0, 64) r(k) GROUP BY vec_id, k)
+SELECT vec_id, round(max(abs(s)), 4) AS peak, round(sum(s * s), 4) AS energy FROM w GROUP BY vec_id""")
+def walsh_spectrum(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    w = e.select("vec_id", arrays.walsh(F.col("v"), 64).alias("w"))
+    return rounded(w.select("vec_id", F.array_max(F.transform("w", lambda x: F.abs(x))).alias("peak"), F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x).alias("energy")), 4)
+
+
+@query("""WITH o AS (SELECT user_id, value, row_number() OVER w AS i, lag(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS steps, round(regr_slope(value, i), 6) AS slope, round(avg(abs(value - b)), 5) AS update_size FROM o GROUP BY user_id""")
+def dynamics_slope(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from quarry.functions.numeric import slope
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    o = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).withColumn("b", F.lag("value").over(w))
+    return rounded(o.groupBy("user_id").agg(F.count("*").alias("steps"), slope(F.col("value"), F.col("i")).alias("slope"), F.avg(F.abs(F.col("value") - F.col("b"))).alias("update_size")), 6, update_size=5)
+
+
+@query(TAPE + """, g AS (SELECT user_id, y, count(DISTINCT x) AS n FROM t GROUP BY ALL HAVING count(DISTINCT x) > 1)
+SELECT user_id, count(*) AS "values", CAST(sum(n * (n - 1) // 2) AS BIGINT) AS pairs FROM g GROUP BY user_id""")
+def collision_groups(spark, sf_dir):
+    return recovery.collisions(tape(spark, sf_dir), "user_id", "x", "y")
+
+
+def tape(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.col("event_id") % 97).alias("y"))
+
+
+def mode_sql(value: str) -> str:
+    return TAPE + f""", s AS (SELECT user_id, {value} AS value FROM (SELECT user_id, x, lag(x) OVER (PARTITION BY user_id, y ORDER BY x) AS b FROM t) WHERE b IS NOT NULL),
+c AS (SELECT user_id, value, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, value) AS i, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS a FROM c)
+SELECT user_id, CASE WHEN n >= 0.05 * a THEN value END AS mode, n AS votes, a AS "all" FROM k WHERE i = 1"""
+
+
+@query(mode_sql("xor(x, b)"))
+def xor_mode(spark, sf_dir):
+    return recovery.mode(recovery.steps(tape(spark, sf_dir), "user_id", "x", "y", "xor"), "user_id", 0.05)
+
+
+@query(mode_sql("x + b"))
+def sum_mode(spark, sf_dir):
+    return recovery.mode(recovery.steps(tape(spark, sf_dir), "user_id", "x", "y", "sum"), "user_id", 0.05)
+
+
+@query("SELECT DISTINCT a.user_id, a.event_id AS x, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.event_id - a.event_id <= 40")
+def near_collisions(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"))
+    return recovery.near(points, "user_id", "x", 40)
+
+
+@query("SELECT lang, source, round(avg(CAST(quality AS DOUBLE)), 6) AS recall, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def recall_matrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    return rounded(recovery.recall(rows, "quality", ["lang", "source"]))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
