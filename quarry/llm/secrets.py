@@ -148,7 +148,8 @@ def scan(
         .groupBy("blob")
         .agg(by_place(F.collect_set("span")).alias("spans"))
     )
-    findings = paths.join(hits, "blob", "left").select(
+    # written, so that a blob with very many paths can be split in the join
+    findings = paths.join(written(hits, "hits"), "blob", "left").select(
         "path", "blob", F.coalesce("spans", nothing).alias("spans")
     )
     return findings.withColumnRenamed("path", path_col), ledger
