@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries kept per worker: memoised words (in each of two generations) and transducer states (cleared when full).
-WORDS, STATES = 250_000, 80_000
+WORDS, STATES = 250_000, 250_000
+ROOT = 0
+#: Pairs of numbers are dictionary keys as a * SPREAD + b. Shifts would leave only b in the low bits, which choose the slot.
+SPREAD, SPREAD_TOKENS = 257, 16_777_259
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,9 +40,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        prefixes = {b[:k] for b in ranks for k in range(1, len(b))}
-        #: for each token and prefix of one: its rank or -1, and whether a longer token begins with it
-        self.known = {b: (ranks.get(b, -1), b in prefixes) for b in prefixes | ranks.keys()}
+        #: a tree of the tokens' bytes: node * SPREAD + byte gives the next node; a node's token or -1, and whether it has children
+        self.down: dict[int, int] = {}
+        self.token, self.inner = [-1], [True]
+        for text, rank in ranks.items():
+            node = ROOT
+            for byte in text:
+                self.inner[node] = True
+                edge = node * SPREAD + byte
+                node = self.down.get(edge)
+                if node is None:
+                    node = self.down[edge] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+            self.token[node] = rank
         self.pairs: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | tuple[()] | None] = {}
@@ -50,7 +64,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.final: list[tuple[int, ...]] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.state((-1, (((), b""),)))
+        self.state((-1, (((), ROOT),)))
 
     def merged(self, text: bytes, until: int = 1) -> list[int]:
         """Merges from the definition, until so many parts are left: the lowest rank first, leftmost on ties. Only
@@ -101,50 +115,62 @@ class Transducer:
                 return True
 
     def joined(self, left: int, right: int) -> int:
-        pair = left << 32 | right
+        pair = left * SPREAD_TOKENS + right
         rank = self.pairs.get(pair)
         if rank is None:
-            if len(self.pairs) > 4 * STATES:
+            if len(self.pairs) > 2 * STATES:
                 self.pairs.clear()
             rank = self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60)
         return rank
 
     def state(self, key: tuple) -> int:
-        if key not in self.number:
-            self.number[key] = len(self.states)
+        number = self.number.get(key)
+        if number is None:
+            number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.final.append(next((chain for chain, rest in key[1] if not rest), ()))
-        return self.number[key]
+            chain, node = key[1][-1]  # the youngest hypothesis: the only one that can be at the root
+            self.final.append(chain if node == ROOT else ())
+        return number
 
     def advance(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, hypotheses = self.states[at]
-        opened, closed, byte = [], None, bytes((byte,))
-        for chain, rest in hypotheses:
-            rest += byte
-            token, longer = self.known.get(rest, (-1, False))
-            if token >= 0 and closed is None:
-                last = chain[-1] if chain else before
-                pair = last << 24 | token
-                fits = self.fits.get(pair)
-                if fits is None:
-                    if len(self.fits) > 4 * STATES:
-                        self.fits.clear()
-                    fits = self.fits[pair] = self.may_follow(last, token)
-                if fits:
-                    closed = (*chain, token)
-            if longer:
-                opened.append((chain, rest))
+        down, inner, tokens, fits_of = self.down, self.inner, self.token, self.fits
+        opened, closed = [], None
+        for chain, node in hypotheses:
+            node = down.get(node * SPREAD + byte)
+            if node is None:
+                continue
+            if closed is None:
+                token = tokens[node]
+                if token >= 0:
+                    last = chain[-1] if chain else before
+                    pair = last * SPREAD_TOKENS + token
+                    fits = fits_of.get(pair)
+                    if fits is None:
+                        if len(fits_of) > 2 * STATES:
+                            fits_of.clear()
+                        fits = fits_of[pair] = self.may_follow(last, token)
+                    if fits:
+                        closed = (*chain, token)
+            if inner[node]:
+                opened.append((chain, node))
         if closed is not None:
-            opened.append((closed, b""))
+            opened.append((closed, ROOT))
         first = opened[0][0]
         if not first:
             return self.state((before, tuple(opened))), ()
-        agreed = 0
-        while agreed < len(first) and all(len(c) > agreed and c[agreed] == first[agreed] for c, _ in opened):
-            agreed += 1
+        agreed, most = 0, min([len(c) for c, _ in opened])
+        while agreed < most:
+            token = first[agreed]
+            for chain, _ in opened:
+                if chain[agreed] != token:
+                    most = agreed
+                    break
+            else:
+                agreed += 1
         if agreed:
             before = first[agreed - 1]
-            opened = [(c[agreed:], r) for c, r in opened]
+            opened = [(c[agreed:], n) for c, n in opened]
         return self.state((before, tuple(opened))), first[:agreed]
 
     def run(self, word: bytes) -> list[int]:
@@ -155,7 +181,7 @@ class Transducer:
             self.reset()
         at, out = 0, []
         for byte in word:
-            edge = at << 8 | byte
+            edge = at * SPREAD + byte
             move = self.step.get(edge)
             if move is None:
                 move = self.step[edge] = self.advance(at, byte)
