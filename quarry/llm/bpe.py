@@ -5,7 +5,8 @@ hypotheses: for every place where the last token may still begin, the tokens bef
 since. A byte extends each; a hypothesis whose bytes form a token closes if that token may follow the
 one before it, which holds exactly when merging the two tokens' bytes gives the same two tokens again.
 Tokens on which all hypotheses agree are emitted, so lookahead is bounded by the longest token. States
-and transitions are made when first met and kept in bounded tables.
+and transitions are made when first met and kept in bounded tables; beyond the bound, hypotheses are carried
+on without making states.
 
 Null text counts as empty: no ids, empty bytes. Texts of any length are encoded whole. Repeated rows are
 encoded alike; extra columns pass through, and an output column replaces one of the same name.
@@ -24,9 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries kept per worker: memoised words (in each of two generations) and transducer states (cleared when full).
-WORDS, STATES = 250_000, 250_000
-ROOT = 0
+#: Entries kept per worker: memoised words (in each of two generations) and transducer states. When the states are full,
+#: what is met for the first time runs undeterminised; after REFILL such words for each state the table starts anew.
+WORDS, STATES = 200_000, 64_000
+REFILL, ROOT = 10, 0
 #: Pairs of numbers are dictionary keys as a * SPREAD + b. Shifts would leave only b in the low bits, which choose the slot.
 SPREAD, SPREAD_TOKENS = 257, 16_777_259
 
@@ -64,6 +66,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.final: list[tuple[int, ...]] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.misses = 0
         self.state((-1, (((), ROOT),)))
 
     def merged(self, text: bytes, until: int = 1) -> list[int]:
@@ -118,7 +121,7 @@ class Transducer:
         pair = left * SPREAD_TOKENS + right
         rank = self.pairs.get(pair)
         if rank is None:
-            if len(self.pairs) > 2 * STATES:
+            if len(self.pairs) > 4 * STATES:
                 self.pairs.clear()
             rank = self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60)
         return rank
@@ -133,7 +136,11 @@ class Transducer:
         return number
 
     def advance(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, hypotheses = self.states[at]
+        before, opened, emitted = self.moved(*self.states[at], byte)
+        return self.state((before, tuple(opened))), emitted
+
+    def moved(self, before: int, hypotheses: Iterable[tuple], byte: int) -> tuple[int, list[tuple], tuple[int, ...]]:
+        """The last token emitted, the hypotheses, and the tokens emitted after one more byte."""
         down, inner, tokens, fits_of = self.down, self.inner, self.token, self.fits
         opened, closed = [], None
         for chain, node in hypotheses:
@@ -147,7 +154,7 @@ class Transducer:
                     pair = last * SPREAD_TOKENS + token
                     fits = fits_of.get(pair)
                     if fits is None:
-                        if len(fits_of) > 2 * STATES:
+                        if len(fits_of) > 4 * STATES:
                             fits_of.clear()
                         fits = fits_of[pair] = self.may_follow(last, token)
                     if fits:
@@ -158,7 +165,7 @@ class Transducer:
             opened.append((closed, ROOT))
         first = opened[0][0]
         if not first:
-            return self.state((before, tuple(opened))), ()
+            return before, opened, ()
         agreed, most = 0, min([len(c) for c, _ in opened])
         while agreed < most:
             token = first[agreed]
@@ -171,26 +178,40 @@ class Transducer:
         if agreed:
             before = first[agreed - 1]
             opened = [(c[agreed:], n) for c, n in opened]
-        return self.state((before, tuple(opened))), first[:agreed]
+        return before, opened, first[:agreed]
 
     def run(self, word: bytes) -> list[int]:
         """Ids of one match of the split pattern."""
         if word in self.ranks:  # the library looks a whole match up before it merges
             return [self.ranks[word]]
-        if len(self.states) > STATES:
+        if self.misses > REFILL * STATES:
             self.reset()
-        at, out = 0, []
-        for byte in word:
+        at, out, step = 0, [], self.step
+        for i, byte in enumerate(word):
             edge = at * SPREAD + byte
-            move = self.step.get(edge)
+            move = step.get(edge)
             if move is None:
-                move = self.step[edge] = self.advance(at, byte)
+                if len(self.states) >= STATES:
+                    self.misses += 1
+                    return self.undetermined(*self.states[at], word[i:], out)
+                move = step[edge] = self.advance(at, byte)
             at, emitted = move
             if emitted:
                 out += emitted
         out += self.final[at]
         return out
 
+    def undetermined(self, before: int, hypotheses: Iterable[tuple], rest: bytes, out: list[int]) -> list[int]:
+        """out with the ids of the rest of a match, without new states."""
+        for byte in rest:
+            before, hypotheses, emitted = self.moved(before, hypotheses, byte)
+            if emitted:
+                out += emitted
+        chain, node = hypotheses[-1]
+        if node == ROOT:
+            out += chain
+        return out
+
 
 class Memo(dict):
     """Results by string, made by `make` when first asked for. Two generations: when the younger is full it becomes

@@ -153,6 +153,13 @@ def test_bpe_equals_library(docs):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_with_a_full_table_equals_library(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 20)
+    library, own = tiktoken_encoding(), bpe.Encoder(queries.MULTI, public_tokenizers.PATTERN)
+    for text in strings(500) + [t for t in ODD if t]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_bpe_round_trip(odd):
     ids = bpe.encode(odd, queries.MULTI, public_tokenizers.PATTERN)
     for r in bpe.decode(ids, queries.MULTI).collect():
