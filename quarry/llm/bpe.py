@@ -319,3 +319,20 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
             yield pd.Series([of(x) if x else b"" for x in ids], index=ids.index, dtype=object)
 
     return df.withColumn(bytes_col, decoded(F.col(ids_col)))
+
+
+def round_trip(
+    df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded"
+) -> DataFrame:
+    """df with the ids of each whole text and the bytes that these ids stand for. One function does both, so that a
+    task has one Python worker with one set of tables, and ids do not travel back to it."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        of, back = encoder(ranks_path, pattern).encode, decoder(ranks_path).decode
+        for texts in batches:
+            ids = [of(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": ids, "decoded": [back(x) if x else b"" for x in ids]}, index=texts.index, dtype=object)
+
+    made = df.withColumn("_both", both(F.col(text_col)))
+    return made.withColumn(ids_col, F.col("_both.ids")).withColumn(bytes_col, F.col("_both.decoded")).drop("_both")

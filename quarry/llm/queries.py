@@ -44,8 +44,7 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, MULTI, public_tokenizers.PATTERN).select("doc_id", "ids")
-    back = bpe.decode(ids, MULTI)
+    back = bpe.round_trip(docs, MULTI, public_tokenizers.PATTERN)
     return back.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

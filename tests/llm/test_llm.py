@@ -160,6 +160,12 @@ def test_bpe_with_a_full_table_equals_library(monkeypatch):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_bpe_both_ways_at_once(odd):
+    both = bpe.round_trip(odd, queries.MULTI, public_tokenizers.PATTERN).select("text", "ids", "decoded")
+    steps = bpe.decode(bpe.encode(odd, queries.MULTI, public_tokenizers.PATTERN), queries.MULTI).select("text", "ids", "decoded")
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, steps.collect()))
+
+
 def test_bpe_round_trip(odd):
     ids = bpe.encode(odd, queries.MULTI, public_tokenizers.PATTERN)
     for r in bpe.decode(ids, queries.MULTI).collect():
