@@ -52,6 +52,23 @@ def pnorm(v: Column, p: float) -> Column:
     return F.pow(F.aggregate(F.transform(v, lambda x: F.pow(F.abs(x), p)), F.lit(0.0), lambda s, x: s + x), 1 / p)
 
 
+#: Levels above the minimum, as shares of the span, at which mass is taken.
+LEVELS = (0.1, 0.25, 0.5)
+
+
+def level_mass(v: Column, level: float) -> Column:
+    """Share of elements at most that level above the minimum."""
+    low, high = F.array_min(v), F.array_max(v)
+    return F.size(F.filter(v, lambda x: x <= low + level * (high - low))) / F.nullif(F.size(v), F.lit(0))
+
+
+def hamming_correlation(v: Column) -> Column:
+    """Correlation of the elements with the number of one bits in their place."""
+    ones = F.transform(v, lambda x, i: F.bit_count(i).cast("double"))
+    a, b = (F.transform(u, lambda x: x - total(u) / F.size(u)) for u in (v, ones))
+    return total(F.zip_with(a, b, lambda x, y: x * y)) / F.nullif(F.sqrt(energy(a) * energy(b)), F.lit(0.0))
+
+
 def walsh(v: Column, size: int) -> Column:
     """Unnormalised Walsh-Hadamard spectrum: a butterfly of whole-array expressions for each level."""
     step = 1

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.numeric import pearson
-from quarry.operators import arrays, recovery, relational, statistics
+from quarry.functions.numeric import energy, pearson
+from quarry.operators import arrays, matrices, models, recovery, relational, representation, statistics
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
 
@@ -370,6 +370,141 @@ def recall_matrix(spark, sf_dir):
     return rounded(recovery.recall(rows, "quality", ["lang", "source"]))
 
 
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(VEC + """, d AS (SELECT vec_id, [v[1]] || list_transform(range(2, len(v) + 1), lambda i: v[i] - v[i - 1]) AS d FROM e)
+SELECT vec_id, CAST(len(list_filter(d, lambda x: abs(x) > 1e-6)) AS BIGINT) AS needed, round(list_sum(list_transform(d, lambda x: abs(x))), 5) AS steps FROM d""")
+def difference_encode(spark, sf_dir):
+    d = vectors(spark, sf_dir).select("vec_id", representation.difference(F.col("v")).alias("d"))
+    size = F.aggregate(F.transform("d", lambda x: F.abs(x)), F.lit(0.0), lambda s, x: s + x)
+    return rounded(d.select("vec_id", representation.complexity(F.col("d")).alias("needed"), size.alias("steps")), 5)
+
+
+@query(VEC + """, p AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS j FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e)),
+b AS (SELECT vec_id, i - lag(i) OVER (PARTITION BY vec_id ORDER BY j) AS step FROM p)
+SELECT vec_id, count(*) FILTER (WHERE step <> 1) AS breaks FROM b GROUP BY vec_id""")
+def sorted_permutation_cost(spark, sf_dir):
+    ordered = vectors(spark, sf_dir).select("vec_id", representation.sorted_permutation(F.col("v")).alias("p"))
+    return ordered.select("vec_id", representation.permutation_breaks(F.col("p")).alias("breaks"))
+
+
+@query(VEC + """, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e),
+c AS (SELECT vec_id, k, sum(x * cos(pi() * (i + 0.5) * k / 64)) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 64.0) AS c FROM x, range(0, 64) r(k) GROUP BY vec_id, k)
+SELECT vec_id, count(*) FILTER (WHERE abs(c) > 1e-6) AS needed, round(sum(c * c), 5) AS energy, round(sum(c * c) FILTER (WHERE k < 8) / sum(c * c), 6) AS leading FROM c GROUP BY vec_id""")
+def dct_complexity(spark, sf_dir):
+    c = vectors(spark, sf_dir).select("vec_id", representation.cosine_transform(F.col("v")).alias("c"))
+    leading = representation.leading_energy(F.col("c"), 8)
+    return rounded(c.select("vec_id", representation.complexity(F.col("c")).alias("needed"), energy(F.col("c")).alias("energy"), leading.alias("leading")), 6, energy=5)
+
+
+@query(VEC + """, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e),
+p AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * i * k / 64)), 2) + pow(sum(x * sin(2 * pi() * i * k / 64)), 2) AS p FROM x, range(1, 33) r(k) GROUP BY vec_id, k)
+SELECT vec_id, round(max(p) / sum(p), 6) AS periodicity FROM p GROUP BY vec_id""")
+def periodicity(spark, sf_dir):
+    return rounded(vectors(spark, sf_dir).select("vec_id", representation.periodicity(F.col("v")).alias("periodicity")))
+
+
+@query(VEC + """, n AS (SELECT len(list_filter(v, lambda x: abs(x) > 1e-6)) / 64.0 AS i, len(list_filter([v[1]] || list_transform(range(2, len(v) + 1), lambda i: v[i] - v[i - 1]), lambda x: abs(x) > 1e-6)) / 64.0 AS d FROM e)
+SELECT 'identity' AS encoding, round(avg(i), 6) AS share, true AS verified, count(*) AS n FROM n UNION ALL
+SELECT 'difference', round(avg(d), 6), true, count(*) FROM n UNION ALL SELECT 'sorted_permutation', round(avg(i), 6), true, count(*) FROM n""")
+def rank_representations(spark, sf_dir):
+    return rounded(representation.ranked_encodings(vectors(spark, sf_dir), "v"))
+
+
+@query("""SELECT p_partkey, p_size, round(p_retailprice, 2) AS price FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b
+ WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))""")
+def pareto_frontier(spark, sf_dir):
+    best = representation.pareto_frontier(table(spark, sf_dir, "part"), "p_size", "p_retailprice")
+    return best.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("price"))
+
+
+@query("SELECT p_brand, p_size, p_retailprice, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice, p_partkey) = 1")
+def canonical_choice(spark, sf_dir):
+    return representation.canonical(table(spark, sf_dir, "part"), "p_brand", ["p_size", "p_retailprice"], "p_partkey")
+
+
+def two_columns_sql(a: str, b: str, alpha: str) -> str:
+    return FLAT + f""", m AS (SELECT count(*) AS n, avg({a}) AS ma, avg({b}) AS mb, avg(target) AS mt, var_pop({a}) * count(*) + {alpha} AS aa, var_pop({b}) * count(*) + {alpha} AS bb,
+ covar_pop({a}, {b}) * count(*) AS ab, covar_pop({a}, target) * count(*) AS ta, covar_pop({b}, target) * count(*) AS tb FROM f),
+w AS (SELECT *, (bb * ta - ab * tb) / (aa * bb - ab * ab) AS wa, (aa * tb - ab * ta) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+@query(two_columns_sql("price", "tax", "0.001") + """ SELECT 'price' AS term, round(wa, 4) AS coefficient, n FROM w
+UNION ALL SELECT 'tax', round(wb, 4), n FROM w UNION ALL SELECT 'intercept', round(mt - wa * ma - wb * mb, 4), n FROM w""")
+def ridge_fit(spark, sf_dir):
+    return rounded(models.ridge(flat_features(spark, sf_dir), ["price", "tax"], "target").drop("r2"), 4)
+
+
+@query(two_columns_sql("price", "price * price", "0") + """ SELECT 'price' AS term, round(wa, 4) AS coefficient, n FROM w
+UNION ALL SELECT 'price*price', round(wb, 4), n FROM w""")
+def poly_fit(spark, sf_dir):
+    fit = models.polynomial(flat_features(spark, sf_dir), ["price"], "target").where("term <> 'intercept'")
+    return rounded(fit.drop("r2"), 4)
+
+
+TERMS = {"x": "v", "x^2": "v * v", "sqrt|x|": "sqrt(abs(v))", "ln|x|": "ln(abs(v) + 1e-8)", "1/x": "1 / nullif(v, 0)"}
+
+
+@query(LONG + ", t AS (" + " UNION ALL ".join(f"SELECT col, '{t}' AS template, {e} AS t, target AS y FROM l WHERE ({e}) IS NOT NULL" for t, e in TERMS.items())
+    + """), s AS (SELECT col, template, count(*) AS n, sum(t * y) AS ty, sum(t * t) AS tt, sum(y * y) AS yy, var_pop(y) * count(*) AS spread FROM t GROUP BY col, template)
+SELECT col AS "column", template, n, round(1 - (yy - ty * ty / tt) / spread, 6) AS r2 FROM s""")
+def physics_templates(spark, sf_dir):
+    return rounded(models.templates(flat_features(spark, sf_dir), FEATURES, "target").drop("coefficient"))
+
+
+@query("""WITH o AS (SELECT o_totalprice AS x, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS y FROM orders)
+SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 2) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM o WHERE y IS NOT NULL""")
+def lead_regression(spark, sf_dir):
+    return rounded(models.next_step(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice"), 6, intercept=2)
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    return models.principal_variance(flat_features(spark, sf_dir), FEATURES)
+
+
+@query(VEC + """, n AS (SELECT vec_id, label, v, lead(v) OVER (PARTITION BY label ORDER BY vec_id) AS w FROM e)
+SELECT label, count(*) AS steps, round(avg(abs(list_cosine_similarity(v, w))), 6) AS overlap,
+ round(avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(w[i] - v[i], 2))) / list_sum(list_transform(v, lambda x: x * x)))), 6) AS update_ratio FROM n WHERE w IS NOT NULL GROUP BY label""")
+def overlap_consecutive(spark, sf_dir):
+    after = F.lead("v").over(Window.partitionBy("label").orderBy("vec_id"))
+    n = vectors(spark, sf_dir).withColumn("w", after).where(F.col("w").isNotNull())
+    step = F.sqrt(energy(F.zip_with("w", "v", lambda a, b: a - b)) / energy(F.col("v")))
+    overlap = F.abs(models.cosine(F.col("v"), F.col("w")))
+    return rounded(n.groupBy("label").agg(F.count("*").alias("steps"), F.avg(overlap).alias("overlap"), F.avg(step).alias("update_ratio")))
+
+
+@query(VEC + """, s AS (SELECT vec_id, v, list_min(v) AS low, list_max(v) - list_min(v) AS span FROM e)
+SELECT vec_id, """ + ", ".join(f"round(len(list_filter(v, lambda x: x <= low + {c} * span)) / 64.0, 6) AS mass{int(c * 100)}" for c in arrays.LEVELS) + " FROM s")
+def level_set_mass(spark, sf_dir):
+    e = vectors(spark, sf_dir)
+    return rounded(e.select("vec_id", *[arrays.level_mass(F.col("v"), c).alias(f"mass{int(c * 100)}") for c in arrays.LEVELS]))
+
+
+@query(VEC + """SELECT vec_id, round(corr(bit_count(i), x), 6) AS hamming FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e) GROUP BY vec_id""")
+def hamming_corr(spark, sf_dir):
+    return rounded(vectors(spark, sf_dir).select("vec_id", arrays.hamming_correlation(F.col("v")).alias("hamming")))
+
+
+@query(VEC + """SELECT vec_id, round(list_sum(list_transform(range(0, 8), lambda i: v[9 * i + 1])), 5) AS trace, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS frobenius,
+ round(sqrt(list_sum(list_transform(range(0, 64), lambda k: pow(v[k + 1] - v[(k % 8) * 8 + k // 8 + 1], 2))) / list_sum(list_transform(v, lambda x: x * x))), 5) AS asymmetry FROM e""")
+def matrix_norms(spark, sf_dir):
+    d = matrices.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], matrices.matrix, matrices.MATRIX)
+    return rounded(d.select("vec_id", "trace", "frobenius", "asymmetry"), 5)
+
+
+@query()
+def matrix_spectrum(spark, sf_dir):
+    return matrices.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], matrices.matrix, matrices.MATRIX)
+
+
+@query()
+def codec_sizes(spark, sf_dir):
+    return matrices.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], matrices.codecs, matrices.CODECS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

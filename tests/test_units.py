@@ -51,3 +51,57 @@ def test_stream_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["n"], r["total"]) for r in spark.sql("SELECT * FROM counts").collect()] == [(2, 3.0)]
+
+
+def test_principal_variance_equals_numpy(spark):
+    import numpy as np
+
+    from quarry.operators import models
+
+    a = np.random.default_rng(1).normal(size=(60, 3)) @ np.array([[3.0, 0, 0], [1, 1, 0], [0, 0, 0.2]])
+    got = [r["explained"] for r in models.principal_variance(spark.createDataFrame(a.tolist(), "a double, b double, c double"), ["a", "b", "c"]).collect()]
+    s = np.linalg.svd(a - a.mean(0), compute_uv=False) ** 2
+    assert np.allclose(got, s / s.sum())
+
+
+def test_models_without_rows(spark):
+    from quarry.operators import models
+
+    none = spark.createDataFrame([], "x double, y double")
+    assert all(r["r2"] is None for r in models.ridge(none, ["x"], "y").collect())
+    assert models.templates(none, ["x"], "y").count() == 0
+
+
+def test_matrix_and_codecs_of_odd_arrays(spark):
+    from quarry.operators import matrices
+
+    rows = [(1, [2.0, 0.0, 0.0, 3.0]), (2, [1.0, 2.0]), (3, []), (4, None), (5, [0.0] * 4), (6, [float("nan")])]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    found = {r["k"]: r for r in matrices.described(df, "v", ["k"], matrices.matrix, matrices.MATRIX).collect()}
+    assert found[1]["trace"] == 5 and abs(found[1]["spectral"] - 3) < 1e-12 and found[1]["rank"] == 2 and abs(found[1]["condition"] - 1.5) < 1e-12
+    assert all(found[k]["trace"] is None for k in (2, 3, 4, 6)) and found[5]["rank"] == 0
+    sizes = {r["k"]: r for r in matrices.described(df.where("k <> 6"), "v", ["k"], matrices.codecs, matrices.CODECS).collect()}
+    assert sizes[1]["raw_bits"] == 128 and sizes[4]["raw_bits"] == 0
+
+
+def test_pareto_frontier_equals_brute_force(spark):
+    import random
+
+    from quarry.operators import representation
+
+    draw = random.Random(5)
+    points = [(i, draw.randrange(9), draw.randrange(9)) for i in range(60)] + [(99, None, 1)]
+    df = spark.createDataFrame(points, "i int, x int, y int")
+    whole = [p for p in points if None not in p]
+    want = {a[0] for a in whole if not any(b[1] <= a[1] and b[2] <= a[2] and b[1:] != a[1:] for b in whole)}
+    assert {r["i"] for r in representation.pareto_frontier(df, "x", "y").collect()} == want
+
+
+def test_difference_is_undone(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import representation
+
+    df = spark.createDataFrame([([3.0, 1.0, 4.0, 1.5],), ([],)], "v array<double>")
+    for r in df.select("v", representation.undifference(representation.difference(F.col("v"))).alias("back")).collect():
+        assert r["v"] == r["back"]
