@@ -32,6 +32,11 @@ def sorted_permutation(v: Column) -> Column:
     return F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
 
+def unsorted(ordered: Column) -> Column:
+    """Values put back in their places: the inverse of sorted_permutation."""
+    return F.transform(F.array_sort(F.transform(ordered, lambda p: F.struct(p["i"], p["x"]))), lambda p: p["x"])
+
+
 def permutation_breaks(ordered: Column) -> Column:
     """Places where the permutation does not go on to the next element."""
     inner = F.sequence(F.lit(1), F.size(ordered) - 1)
@@ -72,7 +77,7 @@ def ranked_encodings(df: DataFrame, vector: str) -> DataFrame:
     candidates = {
         "identity": (v, v),
         "difference": (difference(v), undifference(difference(v))),
-        "sorted_permutation": (F.transform(sorted_permutation(v), lambda p: p["x"]), v),
+        "sorted_permutation": (F.transform(sorted_permutation(v), lambda p: p["x"]), unsorted(sorted_permutation(v))),
     }
     worst = lambda back: F.array_max(F.zip_with(back, v, lambda a, b: F.abs(a - b)))
     cells = [
