@@ -8,6 +8,9 @@ in the tree. The maximum flow's cut labels the blocks: those on the source side
 Null and empty pages have an empty text. Broken markup is read as far as it goes: unclosed elements end with their
 container, a tag cut off at the end of the page is dropped. Character references are decoded, white space inside a
 block becomes one space, blocks are joined in page order by an empty line. Pages of any size are read whole.
+A tag whose quotes do not pair ends at its first '>'. Hidden is what has the attribute hidden, aria-hidden=true or an
+inline style of display:none or visibility:hidden; html and body never are. Class names and ids only weigh: main, an article
+that is not nested in another one, and within layout wrappers a content name set the weight anew.
 Repeated rows are treated alike; extra columns pass through, and the output column replaces one of the same name.
 """
 
@@ -24,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=/?[a-zA-Z]).*\Z""",
-    re.S,
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*)(
+        (?:[^>=]++|=\s*+(?:"[^">]*"|'[^'>]*'|"[^"]*"(?=[\s/>])|'[^']*'(?=[\s/>]))|=(?!\s*["']))*+(?=>)
+        |[^>]*  # quotes do not pair
+    )>
+    |<(?=/?[a-zA-Z]).*\Z""",
+    re.S | re.X,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +54,15 @@ BOILER_NAMES = frozenset(
     subscription tags toc toolbar topbar trending widget widgets alert alerts announcement dialog disclaimer complementary banner2
     teaser outbrain taboola rail aside footnav header""".split()
 )
+#: Names of places, which wrappers of a whole page carry as well, and words that make such a name tell of what is inside.
+LAYOUT_NAMES = frozenset("aside header menu modal nav navbar navigation overlay rail search sidebar sidebars toc toolbar topbar".split())
+MODIFIERS = frozenset("and enabled has layout no with without".split())
+#: An article of these names inside a boilerplate wrapper is not the page's.
+MINOR_NAMES = frozenset("ad ads advert comment promo promoted recommended related reply sponsored teaser widget".split())
+#: Kinds of boilerplate: a wrapper of the layout, other names, elements that are boilerplate by their meaning.
+LAYOUT, NAMED, MEANT = 1, 2, 3
+#: Not rendered, which holds for all inside, or invisible, which an element inside may end.
+INVISIBLE, UNRENDERED = 1, 2
 CONTENT_NAMES = frozenset("article body content entry main maincontent post story text prose".split())
 
 
@@ -56,9 +72,11 @@ class Element:
     number: int
     depth: int
     cue: float  # classifier weight of this element and those above it
-    boiler: bool
+    boiler: int  # 0 outside boilerplate, else its kind
     link: bool
     article: bool
+    hidden: int = 0
+    nested: bool = False  # inside an article element, or one itself
     parent: Element | None = None
 
 
@@ -72,34 +90,70 @@ class Block:
     kept: bool = field(default=False)
 
 
-def names_of(attributes: str) -> set[str]:
+def attributes_of(raw: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated attribute the first counts."""
+    out: dict[str, str] = {}
+    for name, double, single, bare in ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), double or single or bare)
+    return out
+
+
+def names_of(attributes: dict[str, str]) -> set[str]:
     out: set[str] = set()
-    for found in NAMES.finditer(attributes):
-        out.update(w.lower() for w in WORD.findall(next(x for x in found.groups() if x is not None)))
+    for name in ("class", "id", "role"):
+        for token in attributes.get(name, "").split():
+            words = {w.lower() for w in WORD.findall(token)}
+            out |= words if MODIFIERS.isdisjoint(words) else words - BOILER_NAMES
     return out
 
 
+def hidden_by(attributes: dict[str, str], above: int) -> int:
+    """Whether an element is hidden, by its attributes and what holds above it."""
+    if above == UNRENDERED:
+        return above
+    if "hidden" in attributes and attributes["hidden"].strip().lower() != "until-found":
+        return UNRENDERED
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
+        return UNRENDERED
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in COMMENT.sub("", html.unescape(attributes.get("style", ""))).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, important, _ = value.partition("!")
+        if bool(important) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = bool(important), value.strip()
+    if style.get("display", (False, ""))[1] == "none":
+        return UNRENDERED
+    visibility = style.get("visibility", (False, ""))[1]
+    return INVISIBLE if visibility == "hidden" else 0 if visibility == "visible" else above
+
+
 def opened(tag: str, attributes: str, parent: Element, number: int) -> Element:
-    """Weight of an element: the innermost sign counts, but what is boilerplate stays so inside."""
-    cue, boiler = parent.cue, parent.boiler
+    """Weight of an element: the innermost sign counts; in boilerplate only signs of the page's own text do."""
+    cue, boiler, hidden = parent.cue, parent.boiler, parent.hidden
     article = parent.article or tag in ("article", "main")
-    names = names_of(attributes) if attributes else ()
-    if not boiler:
-        if tag in BOILER_TAGS or (tag == "header" and not parent.article):
-            cue, boiler = -6.0, True
-        elif names and tag not in ("html", "body") and not BOILER_NAMES.isdisjoint(names) and (tag not in ("article", "main")) and not (parent.article and names <= {"header", "byline", "content", "article", "entry", "post"}):
-            cue, boiler = -6.0, True
-        elif attributes and HIDDEN.search(QUOTED.sub("", attributes) if "style" not in attributes else attributes):
-            cue, boiler = -6.0, True
-        elif tag in ("article", "main"):
-            cue = 4.0
-        elif names and tag not in ("html", "body") and not CONTENT_NAMES.isdisjoint(names):
-            cue = max(cue, 2.0)
-    return Element(tag, number, parent.depth + 1, cue, boiler, parent.link or tag == "a", article, parent)
+    names: set[str] = set()
+    if attributes and tag not in ("html", "body"):
+        found = attributes_of(attributes)
+        names, hidden = names_of(found), hidden_by(found, hidden)
+    own = names & BOILER_NAMES
+    if tag == "main":
+        cue, boiler = 4.0, 0
+    elif tag == "article":
+        if not boiler or (boiler != MEANT and not parent.nested and MINOR_NAMES.isdisjoint(names)):
+            cue, boiler = 4.0, 0
+    elif tag in BOILER_TAGS or (tag == "header" and not parent.article):
+        kind = LAYOUT if tag in ("form", "fieldset", "header") else MEANT
+        cue, boiler = -6.0, max(boiler, kind)
+    elif own and not (parent.article and names <= {"header", "byline", "content", "article", "entry", "post"}):
+        cue, boiler = -6.0, max(boiler, LAYOUT if own <= LAYOUT_NAMES else NAMED)
+    elif boiler <= LAYOUT and not CONTENT_NAMES.isdisjoint(names):
+        cue = max(cue, 0.0 if boiler else 2.0)
+    nested = parent.nested or tag == "article"
+    return Element(tag, number, parent.depth + 1, cue, boiler, parent.link or tag == "a", article, hidden, nested, parent)
 
 
 def blocks_of(page: str) -> list[Block]:
-    root = Element("", 0, 0, 0.0, False, False, False)
+    root = Element("", 0, 0, 0.0, 0, False, False)
     top, out, parts, linked, tag = root, [], [], 0, ""
     container = root
     at, n, size = 0, 0, len(page)
@@ -173,7 +227,7 @@ def blocks_of(page: str) -> list[Block]:
 
 def score(block: Block) -> float:
     """Classifier: positive for content. The weights are fixed; see the module's tests for what they separate."""
-    text, cue = block.text, block.container.cue
+    text, cue = block.text, -6.0 if block.container.hidden else block.container.cue
     words = text.count(" ") + 1
     links = block.linked / len(text)
     value = cue - 0.5

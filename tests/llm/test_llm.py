@@ -277,6 +277,39 @@ def test_html(spark):
         assert "track(" not in r["text"] and "©" not in r["text"] and r["n_chars"] == len(r["text"])
 
 
+LINE = "A long sentence of the article that says a lot of things about it."
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<body style="overflow:hidden"><article>', "</article>"),
+        ('<body><article style="overflow-x: hidden">', "</article>"),
+        ('<body><article aria-hidden="false">', "</article>"),
+        ('<body hidden><article data-state="hidden" class="x hidden-xs">', "</article>"),
+        ('<body><div class="with-sidebar"><article>', "</article></div>"),
+        ('<body><div id="page-header-and-body"><article>', "</article></div>"),
+        ('<body><div class="comments"><article>', "</article></div>"),
+        ("<body><form><article>", "</article></form>"),
+        ("<body><main><div class=sidebar><article>", "</article></div></main>"),
+        ('<body><form><div class="content">', "</div></form>"),
+        ('<body><article><p title="odd>', "</p></article>"),
+        ("<body><article title=don't>", "</article><p class='x'>"),
+        ('<body><article><p style="visibility:hidden"><b style="visibility:visible"></b></p>', "</article>"),
+    ],
+)
+def test_html_keeps_articles_in_wrappers(before, after):
+    assert html_text.main_text(f"<html>{before}<p>{LINE}</p><p>{LINE}</p>{after}</body></html>") == f"{LINE}\n\n{LINE}"
+
+
+@pytest.mark.parametrize(
+    "attribute", ["hidden", 'hidden=""', "aria-hidden=true", 'style="color:red; DISPLAY : none !important; display:block"', "style='visibility:hidden'"]
+)
+def test_html_drops_hidden(attribute):
+    assert html_text.main_text(f"<article><p>{LINE}</p><div {attribute}><main><p>{LINE}</p></main></div></article>") == LINE
+    assert html_text.main_text(f"<article><p>{LINE}</p><div class=comments><article><p>{LINE}</p></article></div></article>") == LINE
+
+
 def test_minimum_cut_against_enumeration():
     draw = random.Random(6)
     for _ in range(80):
