@@ -1,4 +1,9 @@
-"""Corpus pipeline: quality filter, exact dedup, near-duplicate join, secret redaction, packing."""
+"""Corpus pipeline: quality filter, exact dedup, near-duplicate join, secret redaction, packing.
+
+Decisions belong to rows, not to ids. Rows without an id are documents like others: they stay unless an equal or nearly
+equal text does, and lose to one with an id. Rows that share an id but not a text are judged and redacted each by its own
+text. Of repeated rows one stays. Ties of equal ids go to the smaller text (exact) or text digest (near).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, ngram_join, packing, quality, secrets
-from quarry.llm.base import shared_path, table
+from quarry.llm.base import filled, shared_path, table, written
 from quarry.llm.queries import BYTE
 
 
@@ -18,24 +23,30 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id."""
-    return kept(docs, exact_dedup.dedup(docs).where("kept").select("doc_id"))
+    """Of equal texts one row, with the smallest id; null ids come last."""
+    key = lambda digest: F.concat_ws(":", digest, F.col("doc_id").cast("string"))
+    ids = exact_dedup.dedup(docs).where("kept").select(key(F.col("text_sha256")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", key(F.sha2(exact_dedup.normalised("text"), 256)))
+    row = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("_row")
+    return keyed.join(ids, "_key", "left_semi").groupBy("_key").agg(row).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return kept(docs, ngram_join.join(docs).where("doc_id = component_id").select("doc_id"))
-
-
-def kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Of each group of near duplicates one row, with the smallest id; null ids come last. Rows are joined under numbers of
+    their own, since ids may be null or shared."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(filled("text"), 256), "_row")
+    ranked = rows.select("_row", order.alias("_order"))
+    first = ngram_join.join(rows, "_row").join(ranked, "_row").groupBy("component_id").agg(F.min("_order").alias("_first"))
+    return rows.join(first.select("_first._row"), "_row", "left_semi").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with every secret replaced by a mark; documents without secrets are unchanged."""
+    """Texts with every secret replaced by a mark; documents without secrets are unchanged. Spans meet rows by the text's
+    digest."""
     found, _ = secrets.scan(docs)
-    hits = found.where(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    marked = docs.join(hits, "doc_id", "left")
+    hits = found.where(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
+    marked = docs.withColumn("_blob", F.sha2(filled("text"), 256)).join(hits, "_blob", "left")
     text = F.when(F.col("_spans").isNotNull(), secrets.redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
     return (
         marked.withColumn("text", text)
