@@ -9,7 +9,7 @@ memory is bounded. The last window of a partition is split into powers of two, w
 
 Null text counts as empty: the end token alone. Documents longer than a window are cut, never dropped.
 Repeated rows are packed once each, null ids too. An empty table gives an empty result; other columns are
-ignored.
+ignored. Added tokens of the tokenizer are read in texts as the library reads them by default.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ BLOCK, APART = 1 << 20, 24
 
 
 class Tokens:
-    """Ids by the tokenizers library; words that single spaces part are looked up once."""
+    """Ids by the tokenizers library; words that single spaces part are looked up once, except in texts that hold the
+    content of an added token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         # a newline is U+010A in the alphabet of byte-level vocabularies
@@ -61,6 +62,8 @@ class Tokens:
         the blank, which shows where the words' ids part."""
         if not words:
             return []
+        if any(" " in a for a in self.added):  # words of several texts must not form one
+            return self.batch([" " + w for w in words])
         ids = np.array(self.tokenizer.encode("".join([" " + w for w in words]), add_special_tokens=False).ids, "<u4")
         at = np.flatnonzero(self.blank[ids]).tolist()
         raw = ids.tobytes()
@@ -86,7 +89,10 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[(line, line.split(" ")) for line in t.split("\n")] for t in texts]
-        simple = [all(plain(line, words) for line, words in lines) for lines in split]
+        simple = [
+            not any(a in t for a in self.added) and all(plain(line, words) for line, words in lines)
+            for t, lines in zip(texts, split, strict=True)
+        ]
         rest = iter(self.batch([t for t, s in zip(texts, simple, strict=True) if not s]))
         heads: set[str] = set()
         words: set[str] = set()

@@ -217,6 +217,16 @@ def test_packing(docs, odd):
         assert padding <= 0.03 * max(total, 1)
 
 
+def test_packing_reads_added_tokens_as_library():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(queries.BYTE), packing.Tokens(queries.BYTE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\n<|endoftext|> z", "a <|endoftext| > b", "<|endof text|>", *strings(500)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == want
+    assert 50256 in want[0] and np.frombuffer(own.encode(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_best_cuts_is_optimal():
     draw = random.Random(4)
     for _ in range(60):
