@@ -3,7 +3,8 @@
 Every text version is addressed by its SHA-256. The ledger holds one row per blob with the rule
 versions that have scanned it and their findings. A scan keeps the blobs whose (blob, rule version)
 pairs are not all in the ledger, runs only the missing rules on them, appends to the ledger, and joins
-findings back to every path that holds the blob.
+findings back to every path that holds the blob. Each finding names the rule version that made it; only those of the
+versions asked for are joined back.
 
 Null texts count as empty and have no findings. Repeated rows are each returned. An empty table gives
 an empty result; other columns are ignored. Positions are code points, end exclusive.
@@ -48,25 +49,22 @@ RULES = (
         12,
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 16, "[0-9a-f]{16}"),
+    Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16, "[0-9a-f]{16}"),  # maximal runs of the least length
 )
 
-SPAN = "array<struct<kind:string,rank:int,start:int,end:int>>"
+SPAN = "array<struct<rule:string,kind:string,rank:int,start:int,end:int>>"
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule. The pieces between matches give the positions: a match starts after the pieces and
     matches before it."""
-    pattern = rule.pattern
-    if rule.kind == "hex":  # maximal runs shorter than the least length can be skipped within the pattern
-        pattern = r"[0-9a-f]{16,}"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else found
-    pieces = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+    pieces = F.split(text, rule.pattern, -1)
     matched = F.struct(found.alias("found"), judged.alias("judged"), pieces.alias("pieces"))
     # one-element array: binds the matches to a variable, so that the text is matched once
     walked = F.transform(F.array(matched), lambda m: walk(m, rule, rank))[0]
-    hinted = text.rlike(rule.hint if rule.hint else pattern)
+    hinted = text.rlike(rule.hint if rule.hint else rule.pattern)
     return F.when(hinted, walked).otherwise(F.array().cast(SPAN))
 
 
@@ -82,6 +80,7 @@ def walk(m: Column, rule: Rule, rank: int) -> Column:
     )
     span = lambda acc, s: F.array(
         F.struct(
+            F.lit(rule.name).alias("rule"),
             F.lit(rule.kind).alias("kind"),
             F.lit(rank).alias("rank"),
             (acc["at"] + s["gap"]).alias("start"),
@@ -103,11 +102,9 @@ def walk(m: Column, rule: Rule, rank: int) -> Column:
 
 def by_place(spans: Column) -> Column:
     """Spans by start, then by the order of kinds."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
-    return F.transform(
-        F.array_sort(keyed),
-        lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end")),
-    )
+    keyed = F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], s["rule"]))
+    fields = ("rule", "kind", "rank", "start", "end")
+    return F.transform(F.array_sort(keyed), lambda s: F.struct(*[s[f].alias(f) for f in fields]))
 
 
 def empty_ledger(spark) -> DataFrame:
@@ -144,7 +141,9 @@ def scan(
     hits = (
         ledger.where(F.size("spans") > 0)
         .select("blob", F.explode("spans").alias("span"))
-        .where(F.col("span.kind").isin([r.kind for r in rules]))
+        .where(F.col("span.rule").isin([r.name for r in rules]))
+        # ties are listed in the order of the rules asked for, not of those of an earlier scan
+        .withColumn("span", F.col("span").withField("rank", (F.array_position(names, F.col("span.rule")) - 1).cast("int")))
         .groupBy("blob")
         .agg(by_place(F.collect_set("span")).alias("spans"))
     )
