@@ -157,8 +157,10 @@ def bh_fdr(spark, sf_dir):
 
 @query()
 def bootstrap_clusters(spark, sf_dir):
-    r = statistics.cluster_bootstrap(flat_features(spark, sf_dir), "price", "target", "instance_id", 100)
-    return rounded(r.agg(F.count("r").alias("replicates"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high")))
+    rows = flat_features(spark, sf_dir)
+    r = statistics.cluster_bootstrap(rows, "price", "target", "instance_id", 500)
+    observed = rows.agg(pearson(F.col("price"), F.col("target")).alias("pearson_r"))
+    return rounded(observed.crossJoin(r.agg(F.count("r").alias("replicates"), F.percentile("r", 0.025).alias("low"), F.percentile("r", 0.975).alias("high"))))
 
 
 @query("""WITH o AS (SELECT o_custkey % 5 AS size, o_orderkey AS k, o_totalprice AS v FROM orders),

@@ -105,3 +105,12 @@ def test_difference_is_undone(spark):
     df = spark.createDataFrame([([3.0, 1.0, 4.0, 1.5],), ([],)], "v array<double>")
     for r in df.select("v", representation.undifference(representation.difference(F.col("v"))).alias("back")).collect():
         assert r["v"] == r["back"]
+
+
+def test_bootstrap_has_500_replicates_and_observed_r(spark):
+    from conftest import SF
+
+    from quarry.operators import registry
+
+    r = registry.queries()["bootstrap_clusters"](spark, SF).first()
+    assert r["replicates"] == 500 and r["low"] <= r["pearson_r"] <= r["high"]
