@@ -12,9 +12,10 @@ components without listing all pairs of a group:
 4. Order shingles from rare to frequent. Linked sets share one of their first n - ceil(0.75 n) + 1 shingles, and two
    of one more. Large sets post the single shingles and scan each inverted list; small sets post subsets of two. The
    boundary between them is the size with the least estimated cost.
-5. In each list one member, with the most shared shingles, is compared to all others, then some more. Linked members fall into one
-   component; only pairs across components are compared after that, so a group of near copies costs a few comparisons
-   for each member instead of all its pairs.
+5. Of lists with the same members the one whose shingle comes first stays, and members that no other member's size allows
+   to link leave their list. In each list one member, with the most shared shingles, is compared to all others, then some
+   more, and leaves it. Linked members fall into one component; only pairs across components are compared after that, so
+   a group of near copies costs a few comparisons for each member instead of all its pairs.
 
 Null and empty texts have empty sets and link with nothing; their component is their own id. Texts with fewer than
 five words have their whole sequence as their one shingle. Repeated rows are in one component. Rows without an id take
@@ -40,12 +41,15 @@ from quarry.llm.components import components
 from quarry.llm.wordhash import mixed, shingles_of
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Bytes of text hashed at once; texts and bytes of a chunk; documents for each bucket.
-SLICE, CHUNK_TEXTS, CHUNK_BYTES, DOCS_PER_BUCKET = 1 << 20, 8192, 16 << 20, 8192
+#: Bytes of text hashed at once; texts and bytes of a chunk; shingles for each bucket.
+SLICE, CHUNK_TEXTS, CHUNK_BYTES, SHINGLES_PER_BUCKET = 1 << 20, 8192, 4 << 20, 1 << 20
 #: Texts of one chunk from which a shingle is sent once; the frequency that then stands for it.
 FREQUENT, MANY = 32, 30_000
-#: Largest size up to which subsets are considered; members of a list that are compared to all others, by turn.
-LARGEST_SMALL, LEADERS = 48, (1, 16)
+#: Largest size up to which subsets are considered.
+LARGEST_SMALL = 48
+#: Members of a list that are compared to all others, by turn, and how their number grows in further turns. All others of a
+#: list are leaders at once where that makes at most FEW pairs for each member.
+LEADERS, GROWTH, FEW = (1, 16), 8, 2
 #: Documents for each file of the tables between steps.
 DOCS_PER_FILE = 32_768
 
@@ -170,11 +174,11 @@ def sent(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
                         seen.add(key)
                         keys.append(key)
                         sets.append(own)
-            held += sum(map(len, texts))
-            if len(sets) >= CHUNK_TEXTS or held >= CHUNK_BYTES:
-                yield from close()
-                number, held = number + 1, 0
-                keys, sets, seen = [], [], set()
+                        held += len(texts[i])
+                if len(sets) >= CHUNK_TEXTS or held >= CHUNK_BYTES:
+                    yield from close()
+                    number, held = number + 1, 0
+                    keys, sets, seen = [], [], set()
         if sets:
             yield from close()
 
@@ -311,10 +315,10 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def meeting(members: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members and others of one list that sizes and places allow to link, of different components."""
-    x, y = members.alias("x"), others.alias("y")
-    least = F.ceil((F.col("x.n") + F.col("y.n")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+def meeting(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members and leaders of one list that sizes and places allow to link, of different components."""
+    x, y = members.alias("x"), leaders.alias("y")
+    least = least_overlap(F.col("x.n"), F.col("y.n"))
     room = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     return (
         x.join(y, "sig")
@@ -325,11 +329,74 @@ def meeting(members: DataFrame, others: DataFrame) -> DataFrame:
     )
 
 
+def least_overlap(n, m):
+    """Shingles that sets of n and m must share to link."""
+    return F.ceil((n + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+
+
+def useful(lists: DataFrame) -> DataFrame:
+    """Lists of several members, one for each set of members, without members that can link with none.
+
+    All members order shingles alike, so of lists with the same members the one with the least place for one of them
+    has it for all, and rules out the fewest pairs.
+    """
+    about = lists.groupBy("sig").agg(
+        F.count("*").alias("held"),
+        F.bit_xor(F.xxhash64("id")).alias("mark"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mark2"),
+        F.min("n").alias("least_n"),
+        F.min(F.struct("id", "place"))["place"].alias("at"),
+    )
+    one = about.where("held > 1").groupBy("held", "mark", "mark2").agg(F.min(F.struct("at", "sig", "least_n")).alias("first"))
+    return (
+        lists.join(one.select("first.sig", "first.least_n"), "sig")
+        .where(F.col("n") - F.col("place") >= least_overlap(F.col("n"), F.col("least_n")))
+        .drop("least_n")
+    )
+
+
+def resolved(lists: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(id, component) of the sets that have a link: turns of leaders over the lists that hold several components."""
+    pairs = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
+    tested, found = pairs, pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    turn, wide = 0, 1
+    while True:
+        members = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        held = members.groupBy("sig", "component").agg(F.count("*").alias("held"))
+        # a list's largest component needs no leader after the first turn; the others need pairs with all
+        about = (
+            held.groupBy("sig")
+            .agg(F.max(F.struct("held", (-F.col("component")).alias("c"))).alias("top"), F.sum("held").alias("all"))
+            .select("sig", (-F.col("top.c")).alias("main"), (F.col("all") - F.col("top.held")).alias("others"), "all")
+            .where("others > 0")
+        )
+        members = written(members.join(about, "sig"), "members", parts)
+        cost = members.agg(F.count("*"), F.sum(F.when(F.col("component") != F.col("main"), F.col("all")))).first()
+        if not cost[0]:
+            return found
+        wide = LEADERS[turn] if turn < len(LEADERS) else wide * GROWTH
+        last = not LEADERS or cost[1] <= FEW * cost[0]
+        leaders = members if turn == 0 and not last else members.where("component != main")
+        if not last:
+            share = F.pmod(F.xxhash64("component"), F.lit(wide))
+            first = F.min(F.struct("alone", "id", "n", "place", "component")).alias("first")
+            leaders = leaders.groupBy("sig", share.alias("share")).agg(first).select("sig", "first.*")
+        leaders = written(leaders.select("sig", "id", "n", "place", "component"), "leaders", parts)
+        pairs = written(meeting(members, leaders).join(tested, ["a", "b"], "left_anti"), "pairs", parts)
+        links = linked(pairs, sets).union(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = written(components(links, parts), "components", parts)
+        if last:
+            return found
+        tested = tested.union(pairs)
+        lists = members.select(*lists.columns).join(leaders.select("sig", "id"), ["sig", "id"], "left_anti")
+        turn += 1
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     rows = written(classes(docs, id_col, text_col), "classes")
-    total = rows.count()
-    buckets = min(1 << 16, pow2_at_least(total / DOCS_PER_BUCKET))
+    total, shingles = rows.agg(F.count("*"), F.sum("n_shingles")).first()
+    buckets = pow2_at_least((shingles or 0) / SHINGLES_PER_BUCKET)
     parts = max(8, total // DOCS_PER_FILE)
     chunks = (
         sent(docs, text_col, buckets)
@@ -347,49 +414,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .drop("key"),
         "sets",
     )
-    lists = posted(sets, boundary(sets))
-    met = lists.groupBy("sig").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("sig")
-    lists = written(lists.join(met, "sig"), "lists")
-
-    links = sets.select(F.col("id").alias("a"), F.col("id").alias("b")).where(F.lit(False))
-    tested, found = links, links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for turn in range(len(LEADERS) + 1):
-        members = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_lists = (
-            members.groupBy("sig")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low != high")
-            .select("sig")
-        )
-        members = written(members.join(open_lists, "sig"), "members", parts)
-        sizes = members.groupBy("sig", "component").agg(
-            F.count("*").alias("held"), F.min(F.struct("alone", "id", "n", "place")).alias("first")
-        )
-        main = sizes.groupBy("sig").agg(
-            F.max(F.struct("held", (-F.col("component")).alias("c"))).alias("top"), F.sum("held").alias("all")
-        )
-        # a list's largest component needs no leader after the first turn; the others need pairs with all
-        rest = main.select("sig", (-F.col("top.c")).alias("main"), (F.col("all") - F.col("top.held")).alias("others"), "all")
-        cost = rest.agg(F.sum(F.col("others") * F.col("all")), F.sum("all")).first()
-        if not cost[1]:
-            break
-        last = turn == len(LEADERS) or cost[0] <= 30 * cost[1]
-        if last:
-            others = members.join(rest.select("sig", "main"), "sig").where("component != main").drop("main")
-        else:
-            one = sizes.join(rest.select("sig", "main"), "sig").where(F.lit(turn == 0) | (F.col("component") != F.col("main")))
-            turns = Window.partitionBy("sig").orderBy("first")
-            others = (
-                one.withColumn("turn", F.row_number().over(turns))
-                .where(F.col("turn") <= LEADERS[turn])
-                .select("sig", "first.id", "first.n", "first.place", "first.alone", "component")
-            )
-        pairs = written(meeting(members, others).join(tested, ["a", "b"], "left_anti"), "pairs", parts)
-        links = written(links.union(linked(pairs, sets)), "links", parts)
-        found = written(components(links, parts), "components", parts)
-        if last:
-            break
-        tested = tested.union(pairs)
+    postings = written(posted(sets, boundary(sets)), "postings")
+    found = resolved(written(useful(postings), "lists", parts), sets, parts)
     return (
         rows.join(reps.withColumnRenamed("id", "rep"), "key", "left")
         .join(found.withColumnRenamed("id", "rep"), "rep", "left")
