@@ -5,8 +5,8 @@ hypotheses: for every place where the last token may still begin, the tokens bef
 since. A byte extends each; a hypothesis whose bytes form a token closes if that token may follow the
 one before it, which holds exactly when merging the two tokens' bytes gives the same two tokens again.
 Tokens on which all hypotheses agree are emitted, so lookahead is bounded by the longest token. States
-and transitions are made when first met and kept in bounded tables; beyond the bound, hypotheses are carried
-on without making states.
+and transitions are made when met for the second time and kept in bounded tables; a match that leaves them is run
+undeterminised, by the automaton that lists the tokens ending at each byte, and makes no states.
 
 Null text counts as empty: no ids, empty bytes. Texts of any length are encoded whole. Repeated rows are
 encoded alike; extra columns pass through, and an output column replaces one of the same name.
@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import base64
 import codecs
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -26,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries kept per worker: memoised words (in each of two generations) and transducer states. When the states are full,
-#: what is met for the first time runs undeterminised; after REFILL such words for each state the table starts anew.
-WORDS, STATES = 200_000, 64_000
+#: matches run undeterminised where they leave the table; after REFILL such matches for each state it starts anew.
+WORDS, STATES = 400_000, 64_000
 REFILL, ROOT = 10, 0
+#: Ids decoded at a time, and signs that words often end with.
+CHUNK, STOPS = 4096, ",.;:!?"
 #: Pairs of numbers are dictionary keys as a * SPREAD + b. Shifts would leave only b in the low bits, which choose the slot.
 SPREAD, SPREAD_TOKENS = 257, 16_777_259
 
@@ -56,6 +61,11 @@ class Transducer:
                     self.token.append(-1)
                     self.inner.append(False)
             self.token[node] = rank
+        #: lists the tokens that end at each place of a string of bytes
+        self.ending = ahocorasick.Automaton()
+        for text, rank in ranks.items():
+            self.ending.add_word(text.decode("latin-1"), (len(text), rank))
+        self.ending.make_automaton()
         self.pairs: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | tuple[()] | None] = {}
@@ -66,6 +76,7 @@ class Transducer:
         self.states: list[tuple] = []
         self.final: list[tuple[int, ...]] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.once: set[int] = set()  # transitions met once
         self.misses = 0
         self.state((-1, (((), ROOT),)))
 
@@ -187,13 +198,19 @@ class Transducer:
         if self.misses > REFILL * STATES:
             self.reset()
         at, out, step = 0, [], self.step
-        for i, byte in enumerate(word):
+        for byte in word:
             edge = at * SPREAD + byte
             move = step.get(edge)
             if move is None:
-                if len(self.states) >= STATES:
-                    self.misses += 1
-                    return self.undetermined(*self.states[at], word[i:], out)
+                full = len(self.states) >= STATES
+                if full or edge not in self.once:
+                    if full:
+                        self.misses += 1
+                    else:
+                        if len(self.once) >= 4 * STATES:
+                            self.once.clear()
+                        self.once.add(edge)
+                    return self.undetermined(word)
                 move = step[edge] = self.advance(at, byte)
             at, emitted = move
             if emitted:
@@ -201,16 +218,30 @@ class Transducer:
         out += self.final[at]
         return out
 
-    def undetermined(self, before: int, hypotheses: Iterable[tuple], rest: bytes, out: list[int]) -> list[int]:
-        """out with the ids of the rest of a match, without new states."""
-        for byte in rest:
-            before, hypotheses, emitted = self.moved(before, hypotheses, byte)
-            if emitted:
-                out += emitted
-        chain, node = hypotheses[-1]
-        if node == ROOT:
-            out += chain
-        return out
+    def undetermined(self, word: bytes) -> list[int]:
+        """Ids of a match without states: for every place the one token that ends there and may follow what is before."""
+        fits_of, last = self.fits, [-1] * (len(word) + 1)
+        for end, (size, token) in self.ending.iter(word.decode("latin-1")):
+            if last[end + 1] >= 0:
+                continue
+            before = last[end + 1 - size]
+            pair = before * SPREAD_TOKENS + token
+            fits = fits_of.get(pair)
+            if fits is None:
+                if len(fits_of) > 4 * STATES:
+                    fits_of.clear()
+                fits = fits_of[pair] = self.may_follow(before, token)
+            if fits:
+                last[end + 1] = token
+        out, at, bytes_of = [], len(word), self.bytes_of
+        while at:
+            out.append(last[at])
+            at -= len(bytes_of[last[at]])
+        return out[::-1]
+
+
+def packed(ids: list[int]) -> bytes:
+    return (np.array(ids, "<u4") if sys.byteorder == "big" else array("I", ids)).tobytes()
 
 
 class Memo(dict):
@@ -245,14 +276,30 @@ class Encoder:
     def __init__(self, ranks_path: str, pattern: str):
         self.transducer = Transducer(read_ranks(ranks_path))
         self.split = regex.compile(pattern).findall
-        self.matches = Memo(lambda m: np.array(self.transducer.run(m.encode()), "<u4").tobytes())
-        self.heads = Memo(self.by_pattern, WORDS // 4)
-        self.words = Memo(lambda w: self.by_pattern(" " + w))
+        self.letters = self.split(" Aéz, z.") == [" Aéz", ",", " z", "."] and all(self.split(" z" + c) == [" z", c] for c in STOPS)
+        self.matches = Memo(self.by_match, WORDS // 8)
+        self.heads = Memo(self.by_pattern, WORDS // 8)
+        self.words = Memo(self.after_blank)
         self.newline = self.by_pattern("\n")
 
+    def by_match(self, match: str) -> bytes:
+        return packed(self.transducer.run(match.encode()))
+
     def by_pattern(self, text: str) -> bytes:
         return b"".join(map(self.matches.__getitem__, self.split(text)))
 
+    def after_blank(self, word: str) -> bytes:
+        """Ids of a word with a blank before it. Letters alone, up to the end of Latin Extended-B, where all versions of
+        Unicode agree, are one match of the pattern with the blank; a sign of STOPS after them is another."""
+        if self.letters and word:
+            if word[-1] in STOPS:
+                letters = word[:-1]
+                if letters.isalpha() and max(letters) < "\u0250":
+                    return self.words[letters] + self.matches[word[-1]]
+            elif word.isalpha() and max(word) < "\u0250":
+                return self.by_match(" " + word)
+        return self.by_pattern(" " + word)
+
     def encode(self, text: str) -> bytes:
         lines = text.split("\n")
         out = []
@@ -324,15 +371,19 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str
 def round_trip(
     df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded"
 ) -> DataFrame:
-    """df with the ids of each whole text and the bytes that these ids stand for. One function does both, so that a
-    task has one Python worker with one set of tables, and ids do not travel back to it."""
+    """df with the ids of each whole text and the bytes that the streaming decoder makes of these ids. One function does
+    both, so that a task has one Python worker with one set of tables, and ids do not travel back to it."""
 
     @F.pandas_udf("ids binary, decoded binary")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of, back = encoder(ranks_path, pattern).encode, decoder(ranks_path).decode
+        of, stream = encoder(ranks_path, pattern).encode, decoder(ranks_path).stream
         for texts in batches:
             ids = [of(t) if t else b"" for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [back(x) if x else b"" for x in ids]}, index=texts.index, dtype=object)
-
-    made = df.withColumn("_both", both(F.col(text_col)))
-    return made.withColumn(ids_col, F.col("_both.ids")).withColumn(bytes_col, F.col("_both.decoded")).drop("_both")
+            back = ["".join(stream(x[i : i + 4 * CHUNK] for i in range(0, len(x), 4 * CHUNK))).encode() if x else b"" for x in ids]
+            yield pd.DataFrame({"ids": ids, "decoded": back}, index=texts.index, dtype=object)
+
+    held = "_both"
+    while held in df.columns:
+        held += "_"
+    made = df.withColumn(held, both(F.col(text_col)))
+    return made.withColumn(ids_col, F.col(held)["ids"]).withColumn(bytes_col, F.col(held)["decoded"]).drop(held)
