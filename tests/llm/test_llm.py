@@ -252,6 +252,14 @@ def test_packing_reads_added_tokens_as_library():
     assert 50256 in want[0] and np.frombuffer(own.encode(texts[:1])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_packing_encoders_agree(docs):
+    fast, slow = packing.Tokens(queries.BYTE), packing.Tokens(queries.BYTE, fast=False)
+    assert packing.alike(queries.BYTE) and fast.quick and not slow.quick
+    texts = [*strings(2000), *[t for t in ODD if t], " " * 300_000 + "x", "\n" * 9000, *[r["text"] or "" for r in docs.collect()]]
+    assert fast.encode(texts) == slow.encode(texts)
+    assert fast.ends[[fast.tokenizer.token_to_id(t) for t in (".", "!", "Ċ", "ãĢĤ", "ØŁ")]].all() and not fast.ends[fast.tokenizer.token_to_id("a")]
+
+
 def test_best_cuts_is_optimal():
     draw = random.Random(4)
     for _ in range(60):
