@@ -10,7 +10,7 @@ HUGE = 1e100
 
 def finite(x: Column) -> Column:
     x = x.cast("double")
-    return F.when(F.abs(x) < HUGE, x)  # NaN counts as larger than every number
+    return F.when(F.abs(x) < float("inf"), x)  # NaN counts as larger than every number
 
 
 def pair(x: Column, y: Column) -> tuple[Column, Column]:
@@ -19,10 +19,35 @@ def pair(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def pearson(x: Column, y: Column, least: int = 3) -> Column:
-    """Correlation of the pairs where both are finite; null for too few pairs or no spread."""
+    """Correlation of the pairs where both are finite; null for too few pairs, no spread or a value of HUGE or more."""
     x, y = pair(x, y)
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when((F.count(x) >= least) & (spread > 0), F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+    usable = (F.count(x) >= least) & (F.max(F.greatest(F.abs(x), F.abs(y))) < HUGE) & (spread > 0)
+    return F.when(usable, F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
+
+
+def regression_r2(x: Column, y: Column) -> Column:
+    """R2 of the line through the pairs where both are finite, under the same conditions."""
+    return F.pow(pearson(x, y), 2)
+
+
+def predictive_r2(predicted: Column, actual: Column) -> Column:
+    """1 - squared error over squared spread, for predictions that are given; may be negative."""
+    p, a = pair(predicted, actual)
+    spread = F.var_pop(a) * F.count(a)
+    return F.when(spread > 0, 1 - F.sum((a - p) * (a - p)) / F.nullif(spread, F.lit(0.0)))
+
+
+def skew(x: Column) -> Column:
+    """Population skewness of finite values; null for fewer than three or no spread."""
+    x = finite(x)
+    return F.when((F.count(x) >= 3) & (F.var_pop(x) > 0), F.skewness(x))
+
+
+def excess_kurtosis(x: Column) -> Column:
+    """Population excess kurtosis of finite values; null for fewer than four or no spread."""
+    x = finite(x)
+    return F.when((F.count(x) >= 4) & (F.var_pop(x) > 0), F.kurtosis(x))
 
 
 def slope(y: Column, x: Column) -> Column:

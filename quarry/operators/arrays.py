@@ -13,11 +13,23 @@ def moments(v: Column) -> dict[str, Column]:
     return {"count": n.cast("long"), "mean": total(v) / n, "std": F.sqrt(F.greatest(F.lit(0.0), energy(v) / n - F.pow(total(v) / n, 2))), "low": F.array_min(v), "high": F.array_max(v)}
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value bound to a variable, so that it is evaluated once for each array and not for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def centred(v: Column) -> Column:
+    return bound(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+
+
 def entropy(v: Column) -> Column:
-    """Shannon entropy in bits of the squared weights."""
-    e = energy(v)
-    p = F.filter(F.transform(v, lambda x: x * x / e), lambda q: q > 0)
-    return F.when(e > 0, -F.aggregate(F.transform(p, lambda q: q * F.log2(q)), F.lit(0.0), lambda s, x: s + x))
+    """Shannon entropy in nats of the squared weights."""
+
+    def of(e: Column) -> Column:
+        parts = F.transform(v, lambda x: F.when(x * x > 0, x * x / e * F.log(x * x / e)).otherwise(0.0))
+        return F.when(e > 0, -total(parts))
+
+    return bound(energy(v), of)
 
 
 def participation(v: Column) -> Column:
@@ -32,15 +44,20 @@ def hoyer(v: Column) -> Column:
 
 
 def autocorrelation(v: Column, lag: int) -> Column:
-    m = total(v) / F.size(v)
-    c = F.transform(v, lambda x: x - m)
+    return bound(centred(v), lambda c: lagged(c, lag))
+
+
+def lagged(c: Column, lag: int) -> Column:
     pairs = F.zip_with(F.slice(c, 1, F.size(c) - lag), F.slice(c, lag + 1, F.size(c) - lag), lambda a, b: a * b)
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.nullif(energy(c), F.lit(0.0))
 
 
 def local_minima(v: Column) -> Column:
-    inner = F.sequence(F.lit(1), F.size(v) - 2)
-    return F.size(F.filter(inner, lambda i: (F.get(v, i) < F.get(v, i - 1)) & (F.get(v, i) < F.get(v, i + 1)))).cast("long")
+    """Elements at most as large as both neighbours; an end has itself for the missing one."""
+    n = F.size(v)
+    at = lambda i: F.get(v, F.least(F.greatest(i, F.lit(0)), n - 1))
+    low = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.get(v, i) <= at(i - 1)) & (F.get(v, i) <= at(i + 1)))
+    return F.when(n <= 2, F.least(n, F.lit(1))).otherwise(F.size(low)).cast("long")
 
 
 def topk_energy(v: Column, k: int) -> Column:
@@ -65,17 +82,17 @@ def level_mass(v: Column, level: float) -> Column:
 def hamming_correlation(v: Column) -> Column:
     """Correlation of the elements with the number of one bits in their place."""
     ones = F.transform(v, lambda x, i: F.bit_count(i).cast("double"))
-    a, b = (F.transform(u, lambda x: x - total(u) / F.size(u)) for u in (v, ones))
-    return total(F.zip_with(a, b, lambda x, y: x * y)) / F.nullif(F.sqrt(energy(a) * energy(b)), F.lit(0.0))
+    a, b = centred(v), centred(ones)
+    return bound(a, lambda a: bound(b, lambda b: total(F.zip_with(a, b, lambda x, y: x * y)) / F.nullif(F.sqrt(energy(a) * energy(b)), F.lit(0.0))))
 
 
 def walsh(v: Column, size: int) -> Column:
-    """Unnormalised Walsh-Hadamard spectrum: a butterfly of whole-array expressions for each level."""
+    """Orthonormal Walsh-Hadamard spectrum: a butterfly of whole-array expressions for each level."""
     step = 1
     while step < size:
         v = butterfly(v, size, step)
         step *= 2
-    return v
+    return F.transform(v, lambda x: x / size**0.5)
 
 
 def butterfly(v: Column, size: int, step: int) -> Column:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.steps import written
+
 
 def collisions(tape: DataFrame, instance: str, x: str, y: str) -> DataFrame:
     """Per instance: values of y that several x share, and the pairs they form (counted, not listed)."""
@@ -12,30 +20,146 @@ def collisions(tape: DataFrame, instance: str, x: str, y: str) -> DataFrame:
     return groups.groupBy(instance).agg(F.count("*").alias("values"), F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
 
 
-def steps(tape: DataFrame, instance: str, x: str, y: str, op: str) -> DataFrame:
-    """Differences of neighbours among equal y, by xor or sum: successive members stand for the group."""
-    order = Window.partitionBy(instance, y).orderBy(x)
-    before = F.lag(x).over(order)
-    value = F.col(x).bitwiseXOR(before) if op == "xor" else F.col(x) + before
-    return tape.select(instance, y, x).distinct().select(instance, value.alias("value")).where("value is not null")
+def pair_values(tape: DataFrame, instance: str, x: str, y: str, op: str, modulus: int) -> DataFrame:
+    """(instance, value): the smallest x of each group of equal y with every other of the group; zeros are dropped."""
+    points = tape.select(instance, y, x).distinct()
+    base = points.groupBy(instance, y).agg(F.min(x).alias("_b"), F.count("*").alias("_n")).where("_n > 1")
+    rest = points.join(base, [instance, y]).where(F.col(x) != F.col("_b"))
+    return combined(rest.select(instance, F.col("_b").alias("base"), F.col(x).alias("other")), instance, op, modulus)
+
 
+def combined(pairs: DataFrame, instance: str, op: str, modulus: int) -> DataFrame:
+    base, other = F.col("base"), F.col("other")
+    if op == "ratio":
+        # the inverse of each base, where it shares no factor with the modulus
+        inverses = {b: pow(b, -1, modulus) for b in range(modulus) if math.gcd(b, modulus) == 1}
+        table = pairs.sparkSession.createDataFrame(list(inverses.items()), "_r long, _inverse long")
+        pairs = pairs.withColumn("_r", F.pmod(base, F.lit(modulus))).join(F.broadcast(table), "_r")
+        value = F.pmod(F.pmod(other, F.lit(modulus)) * F.col("_inverse"), F.lit(modulus))
+    else:
+        value = {
+            "xor": base.bitwiseXOR(other),
+            "sum": F.pmod(base + other, F.lit(modulus)),
+            "diff": F.pmod(other - base, F.lit(modulus)),
+        }[op]
+    return pairs.select(instance, value.alias("value")).where("value <> 0")
 
-def mode(values: DataFrame, instance: str, share: float) -> DataFrame:
-    """The commonest value of each instance where it holds the share; ties to the smallest."""
+
+def mode(values: DataFrame, instance: str, margin: float | None = None) -> DataFrame:
+    """The commonest value of each instance, ties to the smallest; with a margin, null unless it leads the second by so much."""
     counts = values.groupBy(instance, "value").agg(F.count("*").alias("n"))
-    best = counts.groupBy(instance).agg(F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("b"), F.sum("n").alias("all"))
-    return best.select(
-        instance, F.when(-F.col("b.m") >= share * F.col("all"), F.col("b.value")).alias("mode"), (-F.col("b.m")).alias("votes"), "all"
-    )
+    order = F.struct((-F.col("n")).alias("m"), "value")
+    top = counts.groupBy(instance).agg(F.min(order).alias("b"), F.sum("n").alias("all"))
+    if margin is not None:
+        rest = counts.join(top.select(instance, "b"), instance).where(F.col("value") != F.col("b.value"))
+        top = top.join(rest.groupBy(instance).agg(F.max("n").alias("second")), instance, "left")
+    best = F.col("b.value")
+    kept = best if margin is None else F.when(-F.col("b.m") >= margin * F.coalesce("second", F.lit(0)), best)
+    return top.select(instance, kept.alias("mode"), (-F.col("b.m")).alias("votes"), "all")
+
+
+def gcd_of(values: DataFrame, instance: str) -> DataFrame:
+    """Greatest common divisor of each instance's values: folded within tasks, then over the tasks' results."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, group in batch.groupby(instance)["value"]:
+                held[key] = math.gcd(held.get(key, 0), int(np.gcd.reduce(group.to_numpy())))
+        yield pd.DataFrame(list(held.items()), columns=[instance, "value"])
+
+    schema = f"{instance} long, value long"
+    parts = values.select(F.col(instance).cast("long").alias(instance), F.col("value").cast("long").alias("value")).mapInPandas(fold, schema)
+    return parts.repartition(instance).mapInPandas(fold, schema).select(instance, F.col("value").alias("gcd"))
+
+
+def post(value: Column, kind: str, bits: int) -> Column:
+    """A part of a recovered value: all, its low or high half, or its low three bits."""
+    half = max(1, bits // 2)
+    return {"id": value, "low_half": value.bitwiseAND(F.lit((1 << half) - 1)), "high_half": F.shiftright(value, half), "low_3": value.bitwiseAND(F.lit(7))}[kind]
+
+
+def program(values: DataFrame, instance: str, reducer: str, kind: str, bits: int) -> DataFrame:
+    """A collision program: the values' mode or gcd, then a part of it."""
+    reduced = mode(values, instance).select(instance, F.col("mode").alias("value")) if reducer == "mode" else gcd_of(values, instance).select(instance, F.col("gcd").alias("value"))
+    return reduced.select(instance, post(F.col("value"), kind, bits).alias("value"))
+
+
+def unique_masked(values: DataFrame, instance: str, bits: int) -> DataFrame:
+    """The distinct low bits of each instance's values, in order: at most 2^bits of them."""
+    low = values.select(instance, F.col("value").bitwiseAND(F.lit((1 << bits) - 1)).alias("value"))
+    return low.groupBy(instance).agg(F.array_sort(F.collect_set("value")).alias("values"))
+
+
+def gf2_basis(values: DataFrame, instance: str) -> DataFrame:
+    """Reduced basis over GF(2) of each instance's values, highest first: at most 63 numbers, so tasks' bases are merged."""
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            for key, group in batch.groupby(instance)["value"]:
+                basis = held.setdefault(key, {})
+                for v in np.unique(group.to_numpy()).tolist():
+                    add_to_basis(basis, v)
+        yield pd.DataFrame([(k, v) for k, basis in held.items() for v in basis.values()], columns=[instance, "value"])
+
+    schema = f"{instance} long, value long"
+    clean = values.select(F.col(instance).cast("long").alias(instance), F.col("value").cast("long").alias("value")).distinct()
+    parts = clean.mapInPandas(reduced, schema).repartition(instance).mapInPandas(reduced, schema)
+    return parts.groupBy(instance).agg(F.reverse(F.array_sort(F.collect_list("value"))).alias("basis"))
+
+
+def add_to_basis(basis: dict[int, int], value: int) -> None:
+    """Adds a number to a reduced basis (by highest bit)."""
+    for top in sorted(basis, reverse=True):
+        value = value ^ basis[top] if value >> top & 1 else value
+    if value:
+        new = value.bit_length() - 1
+        for top, other in basis.items():
+            basis[top] = other ^ value if other >> new & 1 else other
+        basis[new] = value
+
+
+def near_groups(tape: DataFrame, instance: str, x: str, y: str, radius: int, bits: int) -> DataFrame:
+    """(instance, x, component): points whose labels are within `radius` bits of another's, by connected components; the
+    component is its smallest x. Labels within the radius agree on one of radius + 1 blocks of their bits, so the pairs
+    come from an equi-join on blocks."""
+    edges = [bits * k // (radius + 1) for k in range(radius + 2)]
+    blocks = [F.struct(F.lit(k).alias("k"), F.shiftright(F.col(y), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(pairwise(edges))]
+    points = tape.select(F.col(instance).alias("i"), F.col(x).alias("x"), F.col(y).cast("long").alias("y")).distinct()
+    keyed = points.withColumn("block", F.explode(F.array(*blocks)))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    close = F.bit_count(F.col("a.y").bitwiseXOR(F.col("b.y"))) <= radius
+    met = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.x") < F.col("b.x")) & close)
+    links = met.select(F.col("a.i").alias("i"), F.col("a.x").alias("u"), F.col("b.x").alias("v")).distinct()
+    return grouped(links).select(F.col("i").alias(instance), "x", "component")
+
+
+def grouped(links: DataFrame) -> DataFrame:
+    """(i, x, component) of links (i, u, v): labels fall to the smallest neighbour's, and jump to their label's label."""
+    both = written(links.union(links.select("i", F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    labels = written(both.groupBy("i", F.col("u").alias("x")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select("i", F.col("x").alias("v"), "component"), ["i", "v"]).groupBy("i", F.col("u").alias("x")).agg(F.min("component").alias("near"))
+        moved = labels.join(near, ["i", "x"]).select("i", "x", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        jump = moved.select("i", F.col("x").alias("component"), F.col("component").alias("further"))
+        after = written(moved.join(jump, ["i", "component"]).select("i", "x", F.least("component", "further").alias("component"), "before"), "labels")
+        changed = after.where("component <> before").limit(1).count()
+        labels = after.drop("before")
+        if not changed:
+            return labels
 
 
 def recall(rows: DataFrame, matched: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg(F.col(matched).cast("double")).alias("recall"), F.count("*").alias("n"))
 
 
-def near(points: DataFrame, key: str, x: str, width: int) -> DataFrame:
-    """Pairs of one key whose x differ by at most `width`: bucketed equi-join on x, each bucket with itself and the next."""
-    b = points.withColumn("bucket", F.floor(F.col(x) / (width + 1)))
-    right = b.select(F.col(key).alias("k"), F.col(x).alias("other"), F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"))
-    joined = b.join(right, (F.col(key) == F.col("k")) & (b["bucket"] == right["bucket"]))
-    return joined.where((F.col("other") > F.col(x)) & (F.col("other") - F.col(x) <= width)).select(key, x, "other").distinct()
+def verdicts(rows: DataFrame, sizes: list[int], least: float, textbook: list[str]) -> DataFrame:
+    """Per protocol and family: least recall over the sizes among even seeds (discovery) and odd ones (confirmation), null
+    where a size is missing; a candidate holds on discovery and is no textbook protocol, a confirmed one holds on both."""
+    fold = F.when(F.col("seed") % 2 == 0, "discovery").otherwise("confirmatory")
+    rates = rows.where(F.col("size").isin(sizes)).groupBy("protocol", "family", "size", fold.alias("fold")).agg(F.avg(F.col("matched").cast("double")).alias("rate"))
+    held = lambda f: F.when(F.count(F.when(F.col("fold") == f, 1)) == len(sizes), F.min(F.when(F.col("fold") == f, F.col("rate"))))
+    per = rates.groupBy("protocol", "family").agg(held("discovery").alias("discovery"), held("confirmatory").alias("confirmatory"))
+    candidate = F.coalesce((F.col("discovery") >= least) & ~F.col("protocol").isin(textbook), F.lit(False))
+    return per.withColumn("candidate", candidate).withColumn("confirmed", candidate & F.coalesce(F.col("confirmatory") >= least, F.lit(False)))

@@ -11,45 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, pearson
-from quarry.operators import arrays, matrices, models, recovery, relational, representation, statistics
+from quarry.operators import arrays, candidates, matrices, models, recovery, relational, representation, statistics
+from quarry.operators.registered import FEATURES, FLAT, LONG, QUERIES, SQL, TAPE, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-FEATURES = ["quantity", "price", "discount", "tax", "retail"]
-FLAT = """WITH f AS (SELECT l_orderkey AS instance_id, l_linenumber AS family_index, p_size AS size, l_returnflag AS generator,
- l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, p_retailprice AS retail,
- l_extendedprice * (1 - l_discount) * (1 + l_tax) AS target FROM lineitem JOIN part ON l_partkey = p_partkey)
-"""
-LONG = FLAT + ", l AS (" + " UNION ALL ".join(f"SELECT size, target, '{c}' AS col, {c} AS v FROM f" for c in FEATURES) + ")\n"
-TAPE = "WITH t AS (SELECT user_id, event_id AS x, event_id % 97 AS y FROM events)\n"
-VEC = "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)\n"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
-    """Doubles rounded, without negative zero."""
-    return df.select(
-        *[(F.round(c, other.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-    )
-
-
-def safe_r(x: str, y: str) -> str:
-    """Correlation under the null policy; only for columns without NaN."""
-    return f"CASE WHEN regr_count({x}, {y}) >= 3 AND var_pop({x}) > 0 AND var_pop({y}) > 0 THEN corr({x}, {y}) END"
-
-
 @query(
     LONG
     + f""", o AS (SELECT col, {safe_r('v', 'target')} AS r, count(v) AS n FROM l GROUP BY col),
@@ -93,9 +59,9 @@ def distribution_summary_overall(spark, sf_dir):
     return rounded(statistics.distribution(flat_features(spark, sf_dir), "target", []), 4)
 
 
-@query(FLAT + ", s AS (SELECT avg(target) AS mu, stddev_pop(target) AS sd FROM f) SELECT instance_id, family_index, round(target, 4) AS target, round((target - mu) / sd, 4) AS z_score FROM f, s WHERE abs((target - mu) / sd) >= 2.5")
+@query("WITH s AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events) SELECT event_id, user_id, round(value, 4) AS value, round((value - mu) / sd, 4) AS z_score FROM events, s WHERE abs((value - mu) / sd) >= 2.5")
 def outlier_rows(spark, sf_dir):
-    return rounded(statistics.outliers(flat_features(spark, sf_dir), "target", ["instance_id", "family_index"]), 4)
+    return rounded(statistics.outliers(table(spark, sf_dir, "events"), "value", ["event_id", "user_id"]), 4)
 
 
 @query(FLAT + ", g AS (SELECT generator, count(target) AS n, avg(target) AS m, var_pop(target) AS v FROM f GROUP BY generator) SELECT count(*) AS groups, round((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / sum(n * v), 6) AS separation FROM g")
@@ -155,7 +121,16 @@ def bh_fdr(spark, sf_dir):
     return rounded(statistics.benjamini_hochberg(tests, "p", "p_brand"), 9)
 
 
-@query()
+STEPS = statistics.poisson_steps().tolist()
+
+
+@query(FLAT + """, m AS (SELECT avg(price) AS mx, avg(target) AS my, corr(price, target) AS pearson_r FROM f),
+c AS (SELECT instance_id, count(*) AS n, sum(price - mx) AS sx, sum(target - my) AS sy, sum(pow(price - mx, 2)) AS sxx, sum(pow(target - my, 2)) AS syy, sum((price - mx) * (target - my)) AS sxy FROM f, m GROUP BY instance_id),
+u AS (SELECT c.*, r, CAST('0x' || substr(h, CAST(1 + 8 * (r % 8) AS INTEGER), 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT c.*, b, sha256('0:' || CAST(b AS VARCHAR) || ':' || CAST(instance_id AS VARCHAR)) AS h FROM c, range(0, 63) t(b)) c JOIN range(0, 500) t(r) ON r // 8 = b),
+w AS (SELECT *, """ + " + ".join(f"CASE WHEN u >= {s!r} THEN 1 ELSE 0 END" for s in STEPS) + """ AS w FROM u),
+s AS (SELECT r, sum(n * w) AS n, sum(sx * w) AS sx, sum(sy * w) AS sy, sum(sxx * w) AS sxx, sum(syy * w) AS syy, sum(sxy * w) AS sxy FROM w GROUP BY r),
+b AS (SELECT (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM s)
+SELECT round(any_value(pearson_r), 6) AS pearson_r, count(*) AS replicates, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM b, m""")
 def bootstrap_clusters(spark, sf_dir):
     rows = flat_features(spark, sf_dir)
     r = statistics.cluster_bootstrap(rows, "price", "target", "instance_id", 500)
@@ -164,9 +139,9 @@ def bootstrap_clusters(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey % 5 AS size, o_orderkey AS k, o_totalprice AS v FROM orders),
-a AS (SELECT size, k, row_number() OVER (PARTITION BY size ORDER BY k, v) AS i FROM o),
-b AS (SELECT size, v, row_number() OVER (PARTITION BY size ORDER BY sha256('0:' || CAST(k AS VARCHAR)), v) AS i FROM o)
-SELECT a.size, a.k, b.v AS permuted FROM a JOIN b ON a.size = b.size AND a.i = b.i""")
+a AS (SELECT size, k, row_number() OVER (ORDER BY k, v) AS i FROM o),
+b AS (SELECT v, row_number() OVER (ORDER BY sha256('0:' || CAST(k AS VARCHAR)), v) AS i FROM o)
+SELECT a.size, a.k, b.v AS permuted FROM a JOIN b ON a.i = b.i""")
 def permuted_null(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("size"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     return statistics.permuted_target(orders, "v", ["k"])
@@ -179,19 +154,21 @@ def flatten_features(spark, sf_dir):
     return joined.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"), F.col("o_orderpriority").alias("generator"), "c_mktsegment")
 
 
-@query("""WITH s AS (SELECT o_orderkey, o_totalprice, 'sealed' AS origin FROM orders WHERE o_orderkey % 3 = 0),
-g AS (SELECT o_orderkey, o_totalprice, 'log' AS origin FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH s AS (SELECT o_orderkey, o_totalprice, 'sealed' AS origin FROM orders WHERE o_orderpriority < '3'),
+g AS (SELECT o_orderkey, o_totalprice, 'log' AS origin FROM orders WHERE o_orderpriority >= '2')
 SELECT * FROM s UNION ALL SELECT * FROM g WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)""")
 def union_sealed_and_log(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    sealed, log = orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0")
-    return relational.union_sealed_and_log(sealed.withColumn("origin", F.lit("sealed")), log.withColumn("origin", F.lit("log")), ["o_orderkey"])
+    """Together both sides hold every order; orders of priority 2 are on both."""
+    orders, columns = table(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice", "origin"]
+    sealed, log = orders.where("o_orderpriority < '3'").withColumn("origin", F.lit("sealed")), orders.where("o_orderpriority >= '2'").withColumn("origin", F.lit("log"))
+    return relational.union_sealed_and_log(sealed.select(columns), log.select(columns), ["o_orderkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""WITH done AS (SELECT DISTINCT o_custkey AS c_custkey, CAST(o_orderkey % 12 AS INTEGER) AS family_index FROM orders)
+SELECT c_custkey, CAST(i AS INTEGER) AS family_index FROM customer, range(0, 12) t(i) WHERE (c_custkey, CAST(i AS INTEGER)) NOT IN (SELECT (c_custkey, family_index) FROM done)""")
 def pending_work(spark, sf_dir):
-    customer, orders = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
-    return relational.pending(customer, orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"])
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 12).cast("int").alias("family_index"))
+    return relational.pending(table(spark, sf_dir, "customer"), done, ["c_custkey"], "family_index", list(range(12)))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
@@ -245,27 +222,30 @@ def mechanism_visibility(spark, sf_dir):
     return relational.visibility(flat_features(spark, sf_dir), ["quantity", "discount"], "size", "generator")
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS feature FROM part UNION SELECT DISTINCT 'quantity.' || CAST(p_size AS VARCHAR) FROM part UNION SELECT DISTINCT 'price.' || p_brand FROM part)
-SELECT feature, CASE WHEN feature LIKE 'quantity%' THEN 'structural' WHEN feature LIKE 'price%' THEN 'oracle' WHEN feature LIKE 'target%' THEN 'outcome' WHEN feature LIKE 'retail%' THEN 'structural' WHEN feature LIKE 'tax%' THEN 'structural' WHEN feature LIKE 'q%' THEN 'sampled' ELSE 'unknown' END AS origin,
- NOT (feature LIKE 'quantity%' OR feature LIKE 'retail%' OR feature LIKE 'tax%' OR feature LIKE 'q%') AS blocked FROM n""")
+#: Origins by prefix; a run brings its own table.
+CATALOG = [("q", "sampled"), ("quantity", "structural"), ("price", "oracle"), ("tax", "structural"), ("target", "outcome"), ("retail", "structural")]
+
+
+@query("""WITH n AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS feature FROM part UNION SELECT DISTINCT 'quantity.' || CAST(p_size AS VARCHAR) FROM part UNION SELECT DISTINCT 'price.' || p_brand FROM part),
+c(prefix, origin) AS (VALUES """ + ", ".join(f"('{p}', '{o}')" for p, o in CATALOG) + """),
+m AS (SELECT feature, arg_max(origin, len(prefix)) AS origin FROM n JOIN c ON starts_with(feature, prefix) GROUP BY feature)
+SELECT feature, coalesce(origin, 'unknown') AS origin, coalesce(origin, 'unknown') IN ('unknown', 'oracle', 'outcome') AS blocked FROM n LEFT JOIN m USING (feature)""")
 def audit_features(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = part.select(F.lower(F.split("p_type", " ")[0]).alias("feature"))
     names = names.union(part.select(F.concat(F.lit("quantity."), F.col("p_size").cast("string")))).union(part.select(F.concat(F.lit("price."), "p_brand")))
-    return relational.audited(names.distinct())
+    return relational.audited(names.distinct(), spark.createDataFrame(CATALOG, "prefix string, origin string"))
 
 
-@query(FLAT + "SELECT instance_id, family_index, round(ln(greatest(abs(price), 1e-12)) / (quantity + 1.0), 6) AS e1, round(sqrt(greatest(discount, 0.0)) * tax, 6) AS e2, CASE WHEN abs(tax) > 1e-12 THEN round(discount / tax, 6) END AS e3 FROM f")
+@query(FLAT + "SELECT instance_id, family_index, round(ln(greatest(price, 1e-300)) / (quantity + 1.0), 6) AS e1, round(sqrt(greatest(discount, 0.0)) * tax, 6) AS e2, CASE WHEN abs(tax) > 1e-12 THEN round(discount / tax, 6) END AS e3 FROM f")
 def expr_eval_clamped(spark, sf_dir):
     e = {"e1": "div(log(price), add(quantity, 1))", "e2": "mul(sqrt(discount), tax)", "e3": "div(discount, tax)"}
     return rounded(flat_features(spark, sf_dir).select("instance_id", "family_index", *[ex.compiled(ex.parsed(t)).alias(n) for n, t in e.items()]))
 
 
 def ranked(rows: DataFrame, nodes: list[ex.Node]) -> DataFrame:
-    """Candidates by |r| with the target: all candidates in one pass over the rows."""
-    one = rows.agg(*[pearson(ex.compiled(n), F.col("target")).alias(f"c{i}") for i, n in enumerate(nodes)])
-    cells = [F.struct(F.lit(str(n)).alias("candidate"), F.lit(n.size()).cast("long").alias("size"), F.col(f"c{i}").alias("r")) for i, n in enumerate(nodes)]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """Candidates with their r to the target: all candidates in one pass over the rows."""
+    return candidates.scored(rows, nodes).select("candidate", F.col("length").cast("long").alias("size"), "r")
 
 
 POSITIVE = ["quantity", "price", "retail"]
@@ -288,7 +268,7 @@ def array_stats(spark, sf_dir):
 
 
 @query(VEC + """, s AS (SELECT vec_id, v, list_sum(list_transform(v, lambda x: x * x)) AS e2, list_sum(list_transform(v, lambda x: abs(x))) AS e1, list_sort(list_transform(v, lambda x: abs(x))) AS a FROM e)
-SELECT vec_id, round(-list_sum(list_transform(list_filter(v, lambda x: x * x > 0), lambda x: x * x / e2 * log2(x * x / e2))), 5) AS entropy,
+SELECT vec_id, round(-list_sum(list_transform(list_filter(v, lambda x: x * x > 0), lambda x: x * x / e2 * ln(x * x / e2))), 5) AS entropy,
  round(2 * list_sum(list_transform(a, lambda x, i: x * i)) / (len(a) * e1) - (len(a) + 1.0) / len(a), 5) AS gini,
  round((sqrt(len(v)) - e1 / sqrt(e2)) / (sqrt(len(v)) - 1), 5) AS hoyer, round(pow(e2, 2) / list_sum(list_transform(v, lambda x: pow(x, 4))), 5) AS participation FROM s""")
 def array_sparsity(spark, sf_dir):
@@ -299,7 +279,7 @@ def array_sparsity(spark, sf_dir):
 @query(VEC + """, c AS (SELECT vec_id, v, list_transform(v, lambda x: x - list_avg(v)) AS c FROM e)
 SELECT vec_id, round(list_sum(list_transform(range(1, 64), lambda i: c[i] * c[i + 1])) / list_sum(list_transform(c, lambda x: x * x)), 5) AS lag1,
  round(list_sum(list_transform(range(1, 61), lambda i: c[i] * c[i + 4])) / list_sum(list_transform(c, lambda x: x * x)), 5) AS lag4,
- CAST(len(list_filter(range(2, 64), lambda i: v[i] < v[i - 1] AND v[i] < v[i + 1])) AS BIGINT) AS minima FROM c""")
+ CAST(len(list_filter(range(1, 65), lambda i: v[i] <= v[greatest(i - 1, 1)] AND v[i] <= v[least(i + 1, 64)])) AS BIGINT) AS minima FROM c""")
 def array_landscape(spark, sf_dir):
     v = F.col("embedding")
     found = {"lag1": arrays.autocorrelation(v, 1), "lag4": arrays.autocorrelation(v, 4), "minima": arrays.local_minima(v)}
@@ -313,7 +293,7 @@ def array_norms(spark, sf_dir):
     return rounded(arrays.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], {"p3": arrays.pnorm(v, 3.0), "top8": arrays.topk_energy(v, 8)}), 5)
 
 
-@query(VEC + """, w AS (SELECT vec_id, k, sum(x * CASE WHEN bit_count(i & k) % 2 = 0 THEN 1 ELSE -1 END) AS s
+@query(VEC + """, w AS (SELECT vec_id, k, sum(x * CASE WHEN bit_count(i & k) % 2 = 0 THEN 1 ELSE -1 END) / 8 AS s
  FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e), range(0, 64) r(k) GROUP BY vec_id, k)
 SELECT vec_id, round(max(abs(s)), 4) AS peak, round(sum(s * s), 4) AS energy FROM w GROUP BY vec_id""")
 def walsh_spectrum(spark, sf_dir):
@@ -344,26 +324,38 @@ def tape(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.col("event_id") % 97).alias("y"))
 
 
-def mode_sql(value: str) -> str:
-    return TAPE + f""", s AS (SELECT user_id, {value} AS value FROM (SELECT user_id, x, lag(x) OVER (PARTITION BY user_id, y ORDER BY x) AS b FROM t) WHERE b IS NOT NULL),
-c AS (SELECT user_id, value, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, value) AS i, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS a FROM c)
-SELECT user_id, CASE WHEN n >= 0.05 * a THEN value END AS mode, n AS votes, a AS "all" FROM k WHERE i = 1"""
+def mode_sql(value: str, margin: bool = False) -> str:
+    kept = "value" if not margin else "CASE WHEN n >= 3 * coalesce(second, 0) THEN value END"
+    return TAPE + f""", d AS (SELECT DISTINCT user_id, x, y FROM t), s AS (SELECT user_id, {value} AS value FROM (SELECT user_id, x, min(x) OVER (PARTITION BY user_id, y) AS b FROM d) WHERE x <> b),
+c AS (SELECT user_id, value, count(*) AS n FROM s WHERE value <> 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER o AS i, lead(n) OVER o AS second, CAST(sum(n) OVER (PARTITION BY user_id) AS BIGINT) AS a FROM c WINDOW o AS (PARTITION BY user_id ORDER BY n DESC, value))
+SELECT user_id, {kept} AS mode, n AS votes, a AS "all" FROM k WHERE i = 1"""
+
+
+MODULUS = 64
 
 
 @query(mode_sql("xor(x, b)"))
 def xor_mode(spark, sf_dir):
-    return recovery.mode(recovery.steps(tape(spark, sf_dir), "user_id", "x", "y", "xor"), "user_id", 0.05)
+    return recovery.mode(recovery.pair_values(tape(spark, sf_dir), "user_id", "x", "y", "xor", MODULUS), "user_id")
 
 
-@query(mode_sql("x + b"))
+@query(mode_sql(f"(x + b) % {MODULUS}"))
 def sum_mode(spark, sf_dir):
-    return recovery.mode(recovery.steps(tape(spark, sf_dir), "user_id", "x", "y", "sum"), "user_id", 0.05)
+    return recovery.mode(recovery.pair_values(tape(spark, sf_dir), "user_id", "x", "y", "sum", MODULUS), "user_id")
+
+
+@query(mode_sql(f"(x - b) % {MODULUS}", True))
+def confident_mode(spark, sf_dir):
+    return recovery.mode(recovery.pair_values(tape(spark, sf_dir), "user_id", "x", "y", "diff", MODULUS), "user_id", 3.0)
 
 
-@query("SELECT DISTINCT a.user_id, a.event_id AS x, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id > a.event_id AND b.event_id - a.event_id <= 40")
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT user_id, event_id AS x, event_id * 2654435761 % 65536 AS y FROM events),
+p AS (SELECT a.user_id, a.x AS a, b.x AS b FROM t a JOIN t b ON a.user_id = b.user_id AND a.x <> b.x AND bit_count(xor(a.y, b.y)) <= 2),
+r AS (SELECT user_id, a AS x, a AS c FROM (SELECT DISTINCT user_id, a FROM p) UNION SELECT p.user_id, p.b, r.c FROM r JOIN p ON r.user_id = p.user_id AND r.x = p.a AND r.c < p.b)
+SELECT user_id, x, min(c) AS component FROM r GROUP BY ALL""")
 def near_collisions(spark, sf_dir):
-    points = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"))
-    return recovery.near(points, "user_id", "x", 40)
+    points = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.col("event_id") * 2654435761 % 65536).alias("y"))
+    return recovery.near_groups(points, "user_id", "x", "y", 2, 16)
 
 
 @query("SELECT lang, source, round(avg(CAST(quality AS DOUBLE)), 6) AS recall, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
@@ -408,9 +400,11 @@ def periodicity(spark, sf_dir):
     return rounded(vectors(spark, sf_dir).select("vec_id", representation.periodicity(F.col("v")).alias("periodicity")))
 
 
-@query(VEC + """, n AS (SELECT len(list_filter(v, lambda x: abs(x) > 1e-6)) / 64.0 AS i, len(list_filter([v[1]] || list_transform(range(2, len(v) + 1), lambda i: v[i] - v[i - 1]), lambda x: abs(x) > 1e-6)) / 64.0 AS d FROM e)
+@query(VEC + """, q AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS j FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e)),
+b AS (SELECT vec_id, count(*) FILTER (WHERE step <> 1) / 64.0 AS breaks FROM (SELECT vec_id, i - lag(i) OVER (PARTITION BY vec_id ORDER BY j) AS step FROM q) GROUP BY vec_id),
+n AS (SELECT breaks, len(list_filter(v, lambda x: abs(x) > 1e-6)) / 64.0 AS i, len(list_filter([v[1]] || list_transform(range(2, len(v) + 1), lambda i: v[i] - v[i - 1]), lambda x: abs(x) > 1e-6)) / 64.0 AS d FROM e JOIN b USING (vec_id))
 SELECT 'identity' AS encoding, round(avg(i), 6) AS share, true AS verified, count(*) AS n FROM n UNION ALL
-SELECT 'difference', round(avg(d), 6), true, count(*) FROM n UNION ALL SELECT 'sorted_permutation', round(avg(i), 6), true, count(*) FROM n""")
+SELECT 'difference', round(avg(d), 6), true, count(*) FROM n UNION ALL SELECT 'sorted_permutation', round(avg(i + breaks), 6), true, count(*) FROM n""")
 def rank_representations(spark, sf_dir):
     return rounded(representation.ranked_encodings(vectors(spark, sf_dir), "v"))
 
@@ -507,6 +501,10 @@ def codec_sizes(spark, sf_dir):
     return matrices.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], matrices.codecs, matrices.CODECS)
 
 
+# these register their queries when they are imported
+from quarry.operators import array_queries, recovery_queries, search_queries, storage_queries  # noqa: E402,F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

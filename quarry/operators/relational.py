@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Prefixes of predictor names and what they say about a feature's origin, longest first in effect.
-CATALOG = {"q": "sampled", "quantity": "structural", "price": "oracle", "tax": "structural", "target": "outcome", "retail": "structural"}
-
-
 def union_sealed_and_log(sealed: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Sealed rows, and the log's rows whose key is not sealed."""
     return sealed.unionByName(log.join(sealed.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
-def pending(requested: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    return requested.join(done.select(*keys).distinct(), keys, "left_anti")
+def pending(instances: DataFrame, done: DataFrame, keys: list[str], index: str, indices: list[int]) -> DataFrame:
+    """Every instance with every index, less what is done. The indices are a short list, so they multiply by explode."""
+    requested = instances.select(*keys, F.explode(F.array(*[F.lit(i) for i in indices])).alias(index))
+    return requested.join(done.select(*keys, index).distinct(), [*keys, index], "left_anti")
 
 
 def subset(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -56,10 +54,63 @@ def visibility(rows: DataFrame, columns: list[str], block: str, label: str) -> D
     return per.agg(F.count("*").alias("blocks"), F.coalesce(F.sum((F.col("vectors") > 1).cast("long")), F.lit(0)).alias("visible"))
 
 
-def audited(features: DataFrame) -> DataFrame:
-    """Longest matching prefix of the catalogue decides the origin; what is unknown or an outcome is blocked."""
-    matches = [F.when(F.col("feature").startswith(p), F.struct(F.lit(len(p)).alias("n"), F.lit(o).alias("origin"))) for p, o in CATALOG.items()]
-    best = F.array_max(F.filter(F.array(*matches), lambda m: m.isNotNull()))
-    return features.select("feature", F.coalesce(best["origin"], F.lit("unknown")).alias("origin")).withColumn(
-        "blocked", F.col("origin").isin("unknown", "oracle", "outcome")
-    )
+def origins(features: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(feature, origin): the longest prefix of the catalogue decides. Every prefix of a name meets the catalogue by equality."""
+    prefixes = features.select("feature", F.explode(F.transform(F.sequence(F.lit(1), F.length("feature")), lambda n: F.col("feature").substr(F.lit(1), n))).alias("prefix"))
+    best = prefixes.join(catalog, "prefix").groupBy("feature").agg(F.max_by("origin", F.length("prefix")).alias("origin"))
+    return features.join(best, "feature", "left").select("feature", F.coalesce("origin", F.lit("unknown")).alias("origin"))
+
+
+def audited(features: DataFrame, catalog: DataFrame, exempt: tuple[str, ...] = ("size", "family_index")) -> DataFrame:
+    """What is unknown, an oracle or an outcome is blocked; exempt names are metadata and may predict."""
+    found = origins(features, catalog)
+    return found.withColumn("blocked", F.col("origin").isin("unknown", "oracle", "outcome") & ~F.col("feature").isin(*exempt))
+
+
+def names_of(expressions: DataFrame, column: str, key: str) -> DataFrame:
+    """(key, feature): the variables of expression texts; a name before a bracket is a function."""
+    return expressions.select(key, F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"([A-Za-z_][\w.]*)(?![\w.]*\s*\()"), F.lit(1)))).alias("feature"))
+
+
+def audited_expressions(expressions: DataFrame, column: str, key: str, catalog: DataFrame) -> DataFrame:
+    """An expression is blocked if any of its variables is."""
+    used = names_of(expressions, column, key)
+    verdicts = audited(used.select("feature").distinct(), catalog)
+    per = used.join(verdicts, "feature").groupBy(key).agg(F.max("blocked").alias("blocked"), F.array_sort(F.collect_list(F.when(F.col("blocked"), F.col("feature")))).alias("because"))
+    return expressions.select(key, column).join(per, key, "left").select(key, column, F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce(F.concat_ws(",", "because"), F.lit("")).alias("because"))
+
+
+def with_split(rows: DataFrame, assignment: DataFrame, key: str) -> DataFrame:
+    """rows with their instance's fold; a row whose instance has none is an error."""
+    one = assignment.select(key, "split_fold").dropDuplicates([key])
+    joined = rows.join(one, key, "left")
+    missing = F.raise_error(F.concat(F.lit("no split for instance "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.withColumn("split_fold", F.coalesce("split_fold", missing.cast("string")))
+
+
+def typed_errors(rows: DataFrame, required: dict[str, str]) -> DataFrame:
+    """Rows with errors: a required text field that is missing, or is not of its type (long, double or string)."""
+    checks = []
+    for name, kind in required.items():
+        c = F.col(name).cast("string")
+        checks.append(F.when(c.isNull(), F.lit(f"missing {name}")))
+        if kind != "string":
+            checks.append(F.when(c.isNotNull() & c.try_cast(kind).isNull(), F.lit(f"{name} is no {kind}")))
+    return rows.withColumn("errors", F.array_compact(F.array(*checks))).where(F.size("errors") > 0)
+
+
+def duplicated_scalars(slices: DataFrame, scalars: DataFrame, key: str, column: str) -> DataFrame:
+    """Names that both the slices and the instance of a key hold: (key, name)."""
+    a = slices.select(key, F.explode(F.map_keys(column)).alias("name")).distinct()
+    b = scalars.select(key, F.explode(F.map_keys(column)).alias("name")).distinct()
+    return a.join(b, [key, "name"])
+
+
+def flattened(slices: DataFrame, scalars: DataFrame, key: str) -> DataFrame:
+    """Nested rows as one map: descriptors, metrics under `metric.`, and the instance's scalars where a slice lacks the name."""
+    joined = slices.join(scalars.select(key, F.col("scalars").alias("_scalars")), key, "left")
+    none = F.create_map().cast("map<string,double>")
+    metrics = F.transform_keys(F.coalesce("metrics", none), lambda k, v: F.concat(F.lit("metric."), k))
+    own = F.map_concat(F.map_filter(F.coalesce("descriptors", none), lambda k, v: ~F.map_contains_key(metrics, k)), metrics)
+    extra = F.map_filter(F.coalesce("_scalars", none), lambda k, v: ~F.map_contains_key(own, k))
+    return joined.select(*[c for c in slices.columns if c not in ("descriptors", "metrics")], F.map_concat(own, extra).alias("features"))

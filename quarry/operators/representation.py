@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, total
+from quarry.operators.models import gram
 
 NEGLIGIBLE = 1e-6
 
@@ -24,7 +29,9 @@ def difference(v: Column) -> Column:
 
 def undifference(steps: Column) -> Column:
     """Running sums: the inverse of difference."""
-    return F.transform(steps, lambda x, i: total(F.slice(steps, 1, i + 1)))
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["out"], s["sum"] + x).alias("out"))
+    return F.aggregate(steps, start, step, lambda s: s["out"])
 
 
 def sorted_permutation(v: Column) -> Column:
@@ -75,14 +82,15 @@ def ranked_encodings(df: DataFrame, vector: str) -> DataFrame:
     """Per encoding: the mean share of elements needed and the largest error of its inverse, cheapest verified first."""
     v = F.col(vector)
     candidates = {
-        "identity": (v, v),
-        "difference": (difference(v), undifference(difference(v))),
-        "sorted_permutation": (F.transform(sorted_permutation(v), lambda p: p["x"]), unsorted(sorted_permutation(v))),
+        "identity": (v, v, F.lit(0)),
+        "difference": (difference(v), undifference(difference(v)), F.lit(0)),
+        # a permutation costs an element wherever it does not go on to the next one
+        "sorted_permutation": (F.transform(sorted_permutation(v), lambda p: p["x"]), unsorted(sorted_permutation(v)), permutation_breaks(sorted_permutation(v))),
     }
     worst = lambda back: F.array_max(F.zip_with(back, v, lambda a, b: F.abs(a - b)))
     cells = [
-        F.struct(F.lit(name).alias("encoding"), (complexity(e) / F.size(v)).alias("share"), worst(back).alias("error"))
-        for name, (e, back) in candidates.items()
+        F.struct(F.lit(name).alias("encoding"), ((complexity(e) + extra) / F.size(v)).alias("share"), worst(back).alias("error"))
+        for name, (e, back, extra) in candidates.items()
     ]
     per = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("encoding")
     return per.agg(F.avg("share").alias("share"), (F.max("error") <= 1e-6).alias("verified"), F.count("*").alias("n"))
@@ -104,3 +112,210 @@ def canonical(df: DataFrame, by: str, order: list[str], identity: str) -> DataFr
     """The first candidate of each group by its objectives, ties by identity."""
     least = F.min(F.struct(*order, identity)).alias("best")
     return df.groupBy(by).agg(least).select(by, *[F.col(f"best.{c}").alias(c) for c in [*order, identity]])
+
+
+def frontier(df: DataFrame, objectives: list[str]) -> DataFrame:
+    """Rows that no other row beats in any number of objectives. Each task keeps its own frontier, then the few that are
+    left meet: what a task drops is beaten by one that it keeps."""
+    clean = df.where(" AND ".join(f"{o} IS NOT NULL" for o in objectives))
+    points = clean.select(*[F.col(o).cast("double").alias(o) for o in objectives]).distinct()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = np.zeros((0, len(objectives)))
+        for batch in batches:
+            kept = undominated(np.concatenate([kept, batch.to_numpy(dtype=float)]))
+        yield pd.DataFrame(kept, columns=objectives)
+
+    schema = ", ".join(f"{o} double" for o in objectives)
+    least = points.mapInPandas(best, schema).coalesce(1).mapInPandas(best, schema).distinct()
+    keys = [F.col(o).cast("double") == F.col(f"_{o}") for o in objectives]
+    return clean.join(F.broadcast(least.toDF(*[f"_{o}" for o in objectives])), keys, "left_semi")
+
+
+def undominated(points: np.ndarray) -> np.ndarray:
+    """Distinct points that no other is at most in all and less in one: in rising order of their sums, each meets those kept."""
+    points = np.unique(points, axis=0)
+    points = points[np.argsort(points.sum(1), kind="stable")]
+    kept: list[np.ndarray] = []
+    held = np.zeros((0, points.shape[1]))
+    for p in points:
+        if not len(held) or not (held <= p).all(1).any():
+            kept.append(p)
+            held = np.array(kept)
+    return held
+
+
+def weighted_score(weights: dict[str, float]) -> Column:
+    """Higher is better: the weighted sum of objectives to be small, negated."""
+    return -sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+
+
+#: Encodings on stacked rows: (encode, decode, extra cost in elements for each row).
+def walk(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1)
+
+
+@lru_cache(8)
+def cosine_basis(n: int) -> np.ndarray:
+    k, i = np.arange(n)[:, None], np.arange(n)[None, :]
+    return np.cos(np.pi * (i + 0.5) * k / n) * np.where(k == 0, (1 / n) ** 0.5, (2 / n) ** 0.5)
+
+
+def real_fourier(x: np.ndarray) -> np.ndarray:
+    """Cosine parts, then sine parts, orthonormal up to the ends."""
+    c = np.fft.rfft(x, norm="ortho")
+    n = x.shape[1]
+    return np.concatenate([c.real, c.imag[:, 1 : (n + 1) // 2]], axis=1)
+
+
+def from_real_fourier(e: np.ndarray) -> np.ndarray:
+    n = e.shape[1]
+    c = e[:, : n // 2 + 1].astype(complex)
+    c[:, 1 : (n + 1) // 2] += 1j * e[:, n // 2 + 1 :]
+    return np.fft.irfft(c, n, norm="ortho")
+
+
+STEPS = {
+    "difference": (walk, lambda e: np.cumsum(e, axis=1)),
+    "dct": (lambda x: x @ cosine_basis(x.shape[1]).T, lambda e: e @ cosine_basis(e.shape[1])),
+    "dft": (real_fourier, from_real_fourier),
+}
+SORTED = "sorted_permutation"
+
+
+def encoded(x: np.ndarray, chain: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(encoding, extra elements by row, largest error of the inverse by row) of a chain of encodings."""
+    e, extra, undo = x, np.zeros(len(x)), []
+    for name in chain:
+        if name == SORTED:
+            order = np.argsort(e, axis=1, kind="stable")
+            e = np.take_along_axis(e, order, 1)
+            extra = extra + (np.diff(order, axis=1) != 1).sum(1)
+            undo.append(order)
+        elif name != "identity":
+            e = STEPS[name][0](e)
+            undo.append(None)
+        else:
+            undo.append(None)
+    back = e
+    for name, order in zip(reversed(chain), reversed(undo), strict=True):
+        if name == SORTED:
+            out = np.empty_like(back)
+            np.put_along_axis(out, order, back, 1)
+            back = out
+        elif name != "identity":
+            back = STEPS[name][1](back)
+    return e, extra, np.abs(back - x).max(1)
+
+
+def chains(depth: int) -> list[tuple[str, ...]]:
+    """Chains of encodings up to a depth, without a repeat of one after itself; identity stands alone."""
+    names = [*STEPS, SORTED]
+    found: list[tuple[str, ...]] = [("identity",)]
+    last: list[tuple[str, ...]] = [()]
+    for _ in range(depth):
+        last = [(*c, n) for c in last for n in names if not c or c[-1] != n]
+        found += last
+    return found
+
+
+def search_chains(df: DataFrame, vector: str, train: Column, depth: int, tolerance: float = 1e-6) -> DataFrame:
+    """(encoding, share, holdout_share, error, verified): mean share of elements that are not negligible, by half; verified
+    if the inverse holds on every vector. One pass over the vectors for all chains; verified ones first, then the cheapest."""
+    tried = chains(depth)
+    schema = "encoding string, train boolean, n long, share double, error double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            sizes = batch["v"].map(len)
+            for (side, size), part in batch.groupby([batch["train"], sizes]):
+                if not size:
+                    continue
+                x = np.stack(part["v"].to_list())
+                for chain in tried:
+                    e, extra, error = encoded(x, chain)
+                    share = float((((np.abs(e) > NEGLIGIBLE).sum(1) + extra) / size).sum())
+                    n, s, w = held.get((chain, side), (0, 0.0, 0.0))
+                    held[chain, side] = n + len(x), s + share, max(w, float(error.max()))
+        yield pd.DataFrame([("+".join(c), bool(side), n, s, w) for (c, side), (n, s, w) in held.items()], columns=[c.split()[0] for c in schema.split(", ")])
+
+    v = F.col(vector).cast("array<double>")
+    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    parts = df.where(usable).select(v.alias("v"), train.alias("train")).mapInPandas(run, schema)
+    mean = lambda side: F.sum(F.when(F.col("train") == side, F.col("share"))) / F.sum(F.when(F.col("train") == side, F.col("n")))
+    found = parts.groupBy("encoding").agg(mean(True).alias("share"), mean(False).alias("holdout_share"), F.max("error").alias("error"))
+    found = found.withColumn("verified", F.col("error") <= tolerance)
+    return found.orderBy(F.desc("verified"), "holdout_share", "encoding").select("encoding", "share", "holdout_share", "verified")
+
+
+def fourier(df: DataFrame, vector: str, keep: list[str]) -> DataFrame:
+    """(keep..., k, re, im): complex Fourier coefficients 0 to n / 2 of each vector."""
+
+    @F.pandas_udf("array<struct<k:int,re:double,im:double>>")
+    def transform(values: pd.Series) -> pd.Series:
+        out = [None if v is None or not len(v) else np.fft.rfft(np.asarray(v, dtype=float)) for v in values]
+        return pd.Series([None if c is None else [{"k": k, "re": z.real, "im": z.imag} for k, z in enumerate(c)] for c in out], index=values.index)
+
+    return df.select(*keep, F.explode(transform(F.col(vector).cast("array<double>"))).alias("c")).select(*keep, "c.*")
+
+
+def structure(df: DataFrame, vector: str, least: float = 0.1) -> DataFrame:
+    """Of vectors as square matrices: the mean singular profile gives an effective rank (singular values above `least` of the
+    first) and whether that is low or one; deviation from the average over reversals; energy off the diagonal in the Fourier
+    basis. (n, effective_rank, low_rank, separable, deviation, conserved, off_diagonal, dual)"""
+    schema = "n long, profile array<double>, deviation double, off_diagonal double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, profile, deviation, off = 0, 0.0, 0.0, 0.0
+        for batch in batches:
+            sides = batch["v"].map(lambda v: int(round(len(v) ** 0.5)) if round(len(v) ** 0.5) ** 2 == len(v) else 0)
+            side = int(sides.max()) if len(sides) else 0
+            x = [v for v, s in zip(batch["v"], sides, strict=True) if s and s == side]
+            if not x:
+                continue
+            m = np.stack(x).reshape(len(x), side, side)
+            s = np.linalg.svd(m, compute_uv=False)
+            profile = profile + (s / np.maximum(s[:, :1], 1e-300)).sum(0)
+            norm = np.maximum(np.sqrt((m * m).sum((1, 2))), 1e-300)
+            mean = (m + m[:, ::-1, ::-1]) / 2
+            deviation += float((np.sqrt(((m - mean) ** 2).sum((1, 2))) / norm).sum())
+            f = np.fft.fft(np.eye(side), norm="ortho")
+            turned = f @ m @ f.conj().T
+            off += float((np.sqrt((np.abs(turned * ~np.eye(side, dtype=bool)) ** 2).sum((1, 2))) / norm).sum())
+            n += len(m)
+        if n:
+            yield pd.DataFrame([(n, list(np.asarray(profile)), deviation, off)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    v = F.col(vector).cast("array<double>")
+    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    parts = df.where(usable).select(v.alias("v")).mapInPandas(run, schema)
+    places = parts.select("n", F.posexplode("profile").alias("i", "p")).groupBy("i").agg((F.sum("p") / F.sum("n")).alias("p"))
+    profile = places.agg(F.count(F.when(F.col("p") > least, 1)).alias("effective_rank"), F.count("*").alias("side"), F.coalesce(F.max(F.when(F.col("i") == 1, F.col("p"))), F.lit(0.0)).alias("second"))
+    sums = parts.agg(F.sum("n").alias("n"), (F.sum("deviation") / F.sum("n")).alias("deviation"), (F.sum("off_diagonal") / F.sum("n")).alias("off_diagonal"))
+    return sums.join(F.broadcast(profile), on=F.lit(True)).select(
+        "n", "effective_rank", (F.col("effective_rank") <= F.col("side") / 2).alias("low_rank"), (F.col("second") <= least).alias("separable"),
+        "deviation", (F.col("deviation") <= 0.05).alias("conserved"), "off_diagonal", (F.col("off_diagonal") <= 0.05).alias("dual"),
+    )
+
+
+def klt(df: DataFrame, vector: str, most: int) -> DataFrame:
+    """(place, eigenvalue, held): eigenvalues of the second moments without centring, and the share of energy held so far."""
+    v = F.col(vector).cast("array<double>")
+    n, g = gram(df.select(v.alias("v")).where("v IS NOT NULL"), ["v"])
+    values = np.clip(np.linalg.eigvalsh(g)[::-1], 0, None) / max(n - 1, 1) if n else np.zeros(0)
+    held = np.cumsum(values) / values.sum() if len(values) and values.sum() > 0 else values
+    return df.sparkSession.createDataFrame([(k, float(values[k]), float(held[k])) for k in range(min(most, len(values)))], "place int, eigenvalue double, held double")
+
+
+#: Floating-point operations of each stage for n elements, up to a constant.
+COSTS = {"identity": "0", "matrix_reshape": "0", "difference": "n", "sorted_permutation": "n * log2(n)", "dft": "n * log2(n)", "dft_full": "n * log2(n)", "dct": "n * n", "polynomial_vandermonde": "n * n"}
+
+
+def computational_cost(stages: Column, n: Column) -> Column:
+    """Summed cost of a `+`-joined chain; an unknown stage is an error."""
+    n = F.greatest(n.cast("double"), F.lit(2.0))
+    forms = {"0": F.lit(0.0), "n": n, "n * log2(n)": n * F.log2(n), "n * n": n * n}
+    prices = F.create_map(*[x for name, form in COSTS.items() for x in (F.lit(name), forms[form])])
+    unknown = F.raise_error(F.concat(F.lit("unknown stage in "), stages)).cast("double")
+    return total(F.transform(F.split(stages, r"\+"), lambda s: F.coalesce(F.try_element_at(prices, s), unknown)))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.numeric import finite, intercept, pearson, slope
+from quarry.functions.numeric import HUGE, finite, intercept, pearson, slope
+from quarry.operators.candidates import correlation, pooled, scored, var
+from quarry.sources.steps import written
 
 
 def unpivoted(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -15,37 +23,61 @@ def unpivoted(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame
 
 
 def correlate(rows: DataFrame, columns: list[str], target: str = "target", least: float = 0.0) -> DataFrame:
-    """Per column: r, r2, n and the share of size groups whose sign of r agrees with the overall sign."""
-    long = unpivoted(rows, columns, ["size", target])
-    overall = long.groupBy("column").agg(
-        pearson(F.col("value"), F.col(target)).alias("r"),
-        F.count(F.when(finite(F.col("value")).isNotNull() & finite(F.col(target)).isNotNull(), 1)).alias("n"),
-    )
-    by_size = long.groupBy("column", "size").agg(pearson(F.col("value"), F.col(target)).alias("r_size"))
-    signs = (
-        by_size.where(F.col("r_size").isNotNull() & (F.col("r_size") != 0))
-        .join(overall.select("column", "r"), "column")
-        .groupBy("column")
-        .agg(F.when(F.count("*") >= 2, F.avg((F.signum("r_size") == F.signum("r")).cast("double"))).alias("stability"))
-    )
-    return overall.join(signs, "column", "left").where(F.abs("r") >= least).select(
-        "column", F.col("r"), (F.col("r") * F.col("r")).alias("r2"), "n", "stability"
-    )
+    """Per column: r, r2, n and the share of size groups whose sign of r agrees with the overall sign; strongest first."""
+    scores = scored(rows, [var(c) for c in columns], target).where(F.abs("r") >= least)
+    return scores.select(F.col("candidate").alias("column"), "r", "r2", "n", "stability").orderBy(F.desc(F.abs("r")), "column")
+
+
+def report(rows: DataFrame, columns: list[str], target: str = "target", least: float = 0.2) -> DataFrame:
+    """The same, with a place: columns of known stability first, most stable first, then by strength."""
+    found = correlate(rows, columns, target, least)
+    order = [F.col("stability").isNull(), F.desc("stability"), F.desc(F.abs("r")), "column"]
+    return found.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a row for each column
+
+
+def pair_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Centred moments of every pair of columns, over the rows where both are finite: one row a task and pair is shuffled."""
+    k = len(columns)
+    schema = "a int, b int, seen long, n long, mx double, my double, xx double, xy double, yy double, huge boolean"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shift, sums, seen, huge = None, None, 0, np.zeros(k, dtype=bool)
+        for batch in batches:
+            x = batch.to_numpy(dtype=float)
+            if not len(x):
+                continue
+            good = np.isfinite(x)
+            huge |= (good & (np.abs(x) >= HUGE)).any(0)
+            good &= np.abs(x) < HUGE
+            if shift is None:  # sums about a value near the mean do not cancel
+                shift = np.where(good, x, 0).sum(0) / np.maximum(good.sum(0), 1)
+            d, m = np.where(good, x - shift, 0), good.astype(float)
+            fresh = np.stack([m.T @ m, d.T @ m, m.T @ d, (d * d).T @ m, d.T @ d, m.T @ (d * d)])
+            sums, seen = fresh if sums is None else sums + fresh, seen + len(x)
+        if sums is not None:
+            n, sx, sy, xx, xy, yy = sums
+            some = np.maximum(n, 1)
+            a, b = np.triu_indices(k)
+            out = [seen, n, shift[:, None] + sx / some, shift[None, :] + sy / some, xx - sx * sx / some, xy - sx * sy / some, yy - sy * sy / some]
+            cells = {name: (np.full(len(a), v) if np.isscalar(v) else v[a, b]) for name, v in zip(("seen", "n", "mx", "my", "xx", "xy", "yy"), out, strict=True)}
+            yield pd.DataFrame({"a": a, "b": b, **cells, "huge": huge[a] | huge[b]}).astype({"n": "int64"})
+
+    clean = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    return pooled(clean.mapInPandas(partial, schema), ["a", "b"])
 
 
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Long matrix (a, b, r) from one aggregation of all pairs."""
-    pairs = [(a, b) for a in columns for b in columns]
-    one = rows.agg(*[pearson(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs if a < b])
-    cells = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            (F.lit(1.0) if a == b else F.col(f"`{min(a, b)}|{max(a, b)}`")).alias("r"),
-        )
-        for a, b in pairs
-    ]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """Long matrix (a, b, r): 1 on the diagonal, null where undefined."""
+    names = F.array(*[F.lit(c) for c in columns])
+    upper = pair_moments(rows, columns).select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(correlation()).alias("r"))
+    both = upper.union(upper.where("a <> b").select(F.col("b"), F.col("a"), "r"))
+    return both.select(F.get(names, "a").alias("a"), F.get(names, "b").alias("b"), "r")
+
+
+def top_correlation_matrix(rows: DataFrame, columns: list[str], target: str = "target", most: int = 12, least: float = 0.2) -> DataFrame:
+    """The matrix over the target and its strongest columns."""
+    chosen = [r["column"] for r in correlate(rows, columns, target, least).limit(most).collect()]  # at most `most` names
+    return correlation_matrix(rows, [target, *chosen])
 
 
 def distribution(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -73,16 +105,56 @@ def separation(rows: DataFrame, column: str, label: str = "generator") -> DataFr
     ).select("groups", F.when((F.col("groups") >= 2) & (F.col("within") > 0), F.col("between") / F.col("within")).alias("separation"))
 
 
+def ranks(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """rows with their place (from 0) in a total order: sorted ranges, numbered within, plus the count of rows before each
+    range. No task holds more than a range. The ranges are written first, since two passes must see the same ones."""
+    within = F.monotonically_increasing_id()  # the task's number above the low 33 bits, then the row's
+    laid = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", within), name)
+    laid = laid.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = laid.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return laid.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
+
+
+def medians(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """(by..., median, n) of finite values, exactly, whatever the size of a group: equal values are counted first, then the
+    distinct ones are placed in order. Rows whose group is null are left out."""
+    counted = rows.select(*by, finite(value).alias("v")).dropna().groupBy(*by, "v").agg(F.count("*").alias("held"))
+    groups = counted.groupBy(*by).agg(F.sum("held").alias("n"))
+    placed = weighted_places(counted, by)
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    here = placed.join(groups, by) if by else placed.join(F.broadcast(groups), on=F.lit(True))
+    inside = lambda k: (F.col("first") <= k) & (k < F.col("first") + F.col("held"))
+    middle = here.where(inside(low) | inside(high)).groupBy(*by, "n")
+    return middle.agg(F.avg("v").alias("median")).select(*by, "median", "n")
+
+
+def weighted_places(counted: DataFrame, by: list[str]) -> DataFrame:
+    """counted with `first`: how many values of its group lie before it."""
+    within = F.monotonically_increasing_id()
+    order = [*by, "v"]
+    laid = written(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", within), "places")
+    laid = laid.withColumn("_part", F.shiftright("_id", 33))
+    local = Window.partitionBy("_part", *by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("_before", F.coalesce(F.sum("held").over(local), F.lit(0)))
+    parts = laid.groupBy("_part", *by).agg(F.sum("held").alias("_n"))  # a group has a row for each range that it reaches
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("_part", *by, F.coalesce(ahead, F.lit(0)).alias("_start"))
+    return laid.join(starts, ["_part", *by]).withColumn("first", F.col("_start") + F.col("_before")).drop("_id", "_part", "_before", "_start")
+
+
 def group_median_error(rows: DataFrame, target: str, label: str) -> DataFrame:
-    """Mean absolute error of the median of each group."""
-    medians = rows.groupBy(label).agg(F.median(target).alias("centre"))
-    return rows.join(medians, label).agg(F.avg(F.abs(F.col(target) - F.col("centre"))).alias("mae"), F.count("*").alias("n"))
+    """Mean absolute error of the median of each group; rows without a label form the group unknown."""
+    named = rows.withColumn(label, F.coalesce(label, F.lit("unknown")))
+    centres = medians(named, [label], F.col(target)).select(label, F.col("median").alias("centre"))
+    return named.join(centres, label).agg(F.avg(F.abs(F.col(target) - F.col("centre"))).alias("mae"), F.count("*").alias("n"))
 
 
 def variation_within(rows: DataFrame, target: str, key: str = "instance_id") -> DataFrame:
     """Median over instances of the coefficient of variation."""
     per = rows.groupBy(key).agg(F.count(target).alias("n"), F.stddev_pop(target).alias("sd"), F.avg(target).alias("m")).where("n >= 2")
-    return per.agg(F.median(F.col("sd") / F.greatest("m", F.lit(1e-12))).alias("cv"), F.count("*").alias("instances"))
+    return medians(per.drop("n"), [], F.col("sd") / F.greatest("m", F.lit(1e-12))).select(F.col("median").alias("cv"), F.col("n").alias("instances"))
 
 
 def degeneracy(rows: DataFrame, target: str) -> DataFrame:
@@ -94,19 +166,14 @@ def degeneracy(rows: DataFrame, target: str) -> DataFrame:
 
 
 def median_by_size(rows: DataFrame, column: str) -> DataFrame:
-    return rows.groupBy("size").agg(F.median(finite(F.col(column))).alias("median"), F.count(finite(F.col(column))).alias("n"))
+    return medians(rows, ["size"], F.col(column))
 
 
 def log_scaling(rows: DataFrame, columns: list[str], exponential: float = 0.3) -> DataFrame:
     """Fit ln(median) = a * size + b over sizes with a positive median."""
-    medians = (
-        unpivoted(rows, columns, ["size"])
-        .groupBy("column", "size")
-        .agg(F.median(finite(F.col("value"))).alias("median"))
-        .where("median > 0")
-    )
+    found = medians(unpivoted(rows, columns, ["size"]), ["column", "size"], F.col("value")).where("median > 0")
     y, x = F.log("median"), F.col("size").cast("double")
-    return medians.groupBy("column").agg(
+    return found.groupBy("column").agg(
         F.count("*").alias("sizes"), slope(y, x).alias("a"), intercept(y, x).alias("b"), pearson(x, y, 2).alias("r")
     ).select("column", "sizes", "a", "b", F.pow("r", 2).alias("r2"), (F.col("a") > exponential).alias("is_exponential"))
 
@@ -141,30 +208,124 @@ def draw(*parts: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
+def poisson_steps(most: int = 12) -> np.ndarray:
+    """The distribution function of Poisson(1) at 0, 1, ...: as many numbers are at or below a uniform draw as it stands for."""
+    share = np.cumprod([1.0, *range(1, most)])
+    return np.cumsum(1 / share) / math.e
+
+
 def cluster_bootstrap(rows: DataFrame, x: str, y: str, key: str, replicates: int, seed: int = 0) -> DataFrame:
-    """Correlation per replicate, with Poisson-like weights drawn per cluster: moments are additive, so clusters are
-    reduced to sums first and only those are replicated."""
-    moments = rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"),
-    )
-    copies = moments.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = draw(F.col("replicate"), F.col(key), seed=seed)
-    # inverse of the Poisson(1) distribution, cut at five draws
-    weight = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    sums = copies.withColumn("w", weight).groupBy("replicate").agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
+    """Correlation per replicate, clusters drawn by Poisson(1) numbers, which stand for resampling with replacement. Moments
+    are additive, so clusters are reduced to sums about the overall means first; a task then weighs its clusters for all
+    replicates at once. Draws are keyed by cluster: a SHA-256 gives eight replicates their 32 bits each."""
+    px, py = finite(F.col(x)), finite(F.col(y))
+    clean = rows.select(F.col(key).cast("string").alias("key"), px.alias("x"), py.alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND key IS NOT NULL")
+    means = clean.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    about = clean.join(F.broadcast(means), on=F.lit(True)).select("key", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    moments = about.groupBy("key").agg(
+        F.count("*").cast("double").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"),
+    )
+    blocks, steps = -(-replicates // 8), poisson_steps()
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((replicates, len(names) + 1))
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                part = batch.iloc[at : at + 4096]
+                digests = [hashlib.sha256(f"{seed}:{b}:{k}".encode()).digest() for k in part["key"] for b in range(blocks)]
+                u = np.frombuffer(b"".join(digests), ">u4").reshape(len(part), -1)[:, :replicates] / 2.0**32
+                w = np.searchsorted(steps, u, "right").astype(float)
+                total[:, 0] += (w > 0).sum(0)
+                total[:, 1:] += w.T @ part[names].to_numpy()
+        yield pd.DataFrame(total, columns=["clusters", *names]).assign(replicate=np.arange(replicates))
+
+    schema = "clusters double, " + ", ".join(f"{c} double" for c in names) + ", replicate long"
+    sums = moments.mapInPandas(drawn, schema).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("clusters", *names)])
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    sd = F.sqrt((F.col("sxx") - F.pow("sx", 2) / F.col("n")) * (F.col("syy") - F.pow("sy", 2) / F.col("n")))
-    return sums.select("replicate", (cov / F.nullif(sd, F.lit(0.0))).alias("r"))
+    spread = (F.col("sxx") - F.pow("sx", 2) / F.col("n")) * (F.col("syy") - F.pow("sy", 2) / F.col("n"))
+    return sums.where("clusters >= 2").select("replicate", F.when(spread > 0, cov / F.sqrt(spread)).alias("r"))
 
 
 def permuted_target(rows: DataFrame, target: str, key: list[str], seed: int = 0) -> DataFrame:
-    """The target shuffled across the rows of each size: the i-th row by key gets the i-th target by hashed key."""
+    """The target shuffled across all rows: the i-th row by key gets the i-th target by hashed key."""
     ident = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-    here = Window.partitionBy("size").orderBy(*key, target)
-    there = Window.partitionBy("size").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), ident), 256), target)
-    a = rows.select("size", *key, F.row_number().over(here).alias("i"))
-    b = rows.select("size", F.col(target).alias("permuted"), F.row_number().over(there).alias("i"))
-    return a.join(b, ["size", "i"]).drop("i")
+    a = ranks(rows.select("size", *key, F.col(target).alias("_t")), [*key, "_t"], "by-key").drop("_t")
+    hashed = rows.select(F.sha2(F.concat_ws(":", F.lit(str(seed)), ident), 256).alias("_h"), F.col(target).alias("permuted"))
+    b = ranks(hashed, ["_h", "permuted"], "by-hash").drop("_h")
+    return a.join(b, "place").drop("place")
+
+
+def permutation_max(rows: DataFrame, columns: list[str], target: str, key: list[str], replicates: int, seed: int = 0) -> DataFrame:
+    """Largest |r| over the columns, and its p value among permutations of the target.
+
+    A permutation pairs the target of one row with the columns of the row that is a keyed shift away in a hashed order, so
+    that only places are joined. The target's places are exploded by replicate; r comes from sums about the means."""
+    ident = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    hashed = rows.select(F.sha2(F.concat_ws(":", F.lit(str(seed)), ident), 256).alias("_h"), finite(F.col(target)).alias("t"), *[finite(F.col(c)).alias(c) for c in columns]).dropna()
+    placed = written(ranks(hashed, ["_h", "t", *columns], "by-hash"), "placed")
+    about = placed.agg(
+        F.count("*").alias("n"), F.avg("t").alias("mt"), F.stddev_pop("t").alias("st"),
+        *[f(c).alias(f"{m}_{c}") for c in columns for m, f in (("m", F.avg), ("s", F.stddev_pop))],
+    )
+    x = placed.join(F.broadcast(about), on=F.lit(True))
+    turned = x.select("place", ((F.col("t") - F.col("mt")) / F.col("st")).alias("z"), "n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    # replicate 0 is the observed order
+    shift = F.when(F.col("replicate") == 0, 0).otherwise(1 + F.floor(draw(F.col("replicate"), seed=seed) * (F.col("n") - 1)))
+    turned = turned.select("replicate", "z", F.pmod(F.col("place") + shift, F.col("n")).alias("place"))
+    scaled = x.select("place", "n", *[((F.col(c) - F.col(f"m_{c}")) / F.nullif(f"s_{c}", F.lit(0.0))).alias(c) for c in columns])
+    per = turned.join(scaled, "place").groupBy("replicate").agg(F.array_max(F.array(*[F.abs(F.sum(F.col("z") * F.col(c)) / F.max("n")) for c in columns])).alias("r"))
+    observed = F.max(F.when(F.col("replicate") == 0, F.col("r")))
+    beside = per.join(F.broadcast(per.agg(observed.alias("observed"))), on=F.lit(True)).where("replicate > 0")
+    return beside.groupBy("observed").agg(((F.count(F.when(F.col("r") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("replicates"))
+
+
+def kmeans(rows: DataFrame, columns: list[str], start: list[list[float]], rounds: int) -> DataFrame:
+    """Lloyd's rounds from given centroids on mean-imputed columns: (cluster, size, centroid...). An empty cluster keeps its
+    centroid. The centroids are few: they go into the next round's expressions."""
+    clean = imputed(rows, columns, []).persist()
+    centres = [list(map(float, c)) for c in start]
+    for _ in range(rounds):
+        found = clean.groupBy(nearest(columns, centres).alias("cluster")).agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns]).collect()
+        moved = list(centres)
+        for r in found:
+            moved[r["cluster"]] = [r[c] for c in columns]
+        if moved == centres:
+            break
+        centres = moved
+    out = clean.groupBy(nearest(columns, centres).alias("cluster")).agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
+    return out
+
+
+def nearest(columns: list[str], centres: list[list[float]]) -> Column:
+    """Number of the nearest centroid; ties to the smaller number."""
+    away = [sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(columns, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(away)]))["i"]
+
+
+def size_index_r2(rows: DataFrame, target: str, size: str = "size", index: str = "family_index") -> DataFrame:
+    """R2 of the target on size and index: the baseline that a discovery must beat. From centred moments of three columns."""
+    y, a, b = (finite(F.col(c)) for c in (target, size, index))
+    clean = rows.select(y.alias("y"), a.alias("a"), b.alias("b")).dropna()
+    m = clean.agg(
+        F.count("*").alias("n"), F.var_pop("y").alias("yy"), F.var_pop("a").alias("aa"), F.var_pop("b").alias("bb"),
+        F.covar_pop("a", "b").alias("ab"), F.covar_pop("a", "y").alias("ay"), F.covar_pop("b", "y").alias("by"),
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    both = (F.col("bb") * F.pow("ay", 2) - 2 * F.col("ab") * F.col("ay") * F.col("by") + F.col("aa") * F.pow("by", 2)) / F.nullif(det, F.lit(0.0))
+    return m.select("n", F.when((F.col("n") >= 3) & (F.col("yy") > 0), both / F.col("yy")).alias("r2"))
+
+
+def panel(rows: DataFrame, witnesses: list[str], rank_like: list[str], order_like: list[str]) -> DataFrame:
+    """(witness, slope, exponential, baseline, negative). Ranks match their baseline where they grow by 0.25 or more and
+    exponentially, orders where their median is at most 4; the panel is negative with two exponential witnesses and a match."""
+    by_size = medians(unpivoted(rows, witnesses, ["size"]), ["column", "size"], F.col("value")).where("median > 0")
+    y, x = F.log("median"), F.col("size").cast("double")
+    per = by_size.groupBy("column").agg(slope(y, x).alias("slope"), F.median("median").alias("centre"))  # few sizes
+    exponential = F.coalesce(F.col("slope") > 0.3, F.lit(False))
+    baseline = F.when(F.col("column").isin(*rank_like), exponential & (F.col("slope") >= 0.25)).when(F.col("column").isin(*order_like), F.col("centre") <= 4).otherwise(False)
+    all_rows = Window.partitionBy()  # a row for each witness
+    found = per.select(F.col("column").alias("witness"), "slope", exponential.alias("exponential"), baseline.alias("baseline"))
+    count = lambda c: F.sum(F.col(c).cast("int")).over(all_rows)
+    return found.withColumn("negative", (count("exponential") >= 2) & (count("baseline") >= 1))

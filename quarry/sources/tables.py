@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per slice: identity, numeric descriptors and the target."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
+    return line.join(part, line["l_partkey"] == part["p_partkey"], "left").select(
         F.col("l_orderkey").alias("instance_id"),
         F.col("l_linenumber").alias("family_index"),
         F.col("p_size").alias("size"),

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -19,13 +20,13 @@ def test_walsh_twice_is_identity(spark):
     v = [random.Random(3).random() for _ in range(16)]
     twice = arrays.walsh(arrays.walsh(F.col("v"), 16), 16)
     got = spark.createDataFrame([(v,)], "v array<double>").select(twice.alias("w")).first()[0]
-    assert all(abs(a / 16 - b) < 1e-12 for a, b in zip(got, v, strict=True))
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, v, strict=True))
 
 
 def test_sparsity_of_constant_vector(spark):
     df = spark.createDataFrame([([1.0, 1.0, 1.0, 1.0],)], "v array<double>")
     row = df.select(arrays.entropy(F.col("v")), gini(F.col("v")), arrays.hoyer(F.col("v"))).first()
-    assert abs(row[0] - 2) < 1e-12 and abs(row[1]) < 1e-12 and abs(row[2]) < 1e-12
+    assert abs(row[0] - math.log(4)) < 1e-12 and abs(row[1]) < 1e-12 and abs(row[2]) < 1e-12
 
 
 def test_expressions_are_clamped(spark):
@@ -33,7 +34,7 @@ def test_expressions_are_clamped(spark):
     trees = ["exp(a)", "div(a, b)", "log(b)", "sqrt(neg(a))"]
     got = df.select(*[ex.compiled(ex.parsed(t)) for t in trees]).first()
     assert got[0] is None or got[0] < 1e305
-    assert got[1] is None and got[2] < -20 and got[3] == 0.0
+    assert got[1] is None and abs(got[2] - math.log(1e-300)) < 1e-9 and got[3] == 0.0
 
 
 def test_fdr_rejects_first_only(spark):
