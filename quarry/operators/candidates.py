@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import HUGE
-from quarry.plans.expression import Node, evaluated, var
+from quarry.plans.expression import Node, applied, evaluated, var
 
 __all__ = ["moments", "ranked", "scored", "var"]
 
@@ -41,45 +41,84 @@ def moments(rows: DataFrame, nodes: list[Node], target: str = "target", size: st
     names = variables(nodes)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+        groups: dict[float | None, int] = {}
+        held = np.zeros((len(nodes), 0, 8))
         for batch in batches:
             if not len(batch):
                 continue
-            columns = {c: batch[c].to_numpy(dtype=float) for c in names}
-            y = batch["_y"].to_numpy(dtype=float)
-            groups, own = np.unique(batch["_size"].to_numpy(dtype=float), return_inverse=True)
-            seen, k = np.bincount(own, minlength=len(groups)), len(groups)
-            for place, node in enumerate(nodes):
-                x = evaluated(node, columns)
-                good = np.isfinite(x) & np.isfinite(y)
-                huge = np.bincount(own, good & ((np.abs(x) >= HUGE) | (np.abs(y) >= HUGE)), minlength=k) > 0
-                n = np.bincount(own, good, minlength=k)
-                some, tame = np.maximum(n, 1), good & ~huge[own]  # with huge values there is no r, so their moments don't matter
-                xw, yw = np.where(tame, x, 0), np.where(tame, y, 0)
-                mx, my = np.bincount(own, xw, minlength=k) / some, np.bincount(own, yw, minlength=k) / some
-                dx, dy = np.where(tame, xw - mx[own], 0), np.where(tame, yw - my[own], 0)
-                sums = [np.bincount(own, d, minlength=k) for d in (dx * dx, dx * dy, dy * dy)]
-                fresh = np.stack([seen, n, mx, my, *sums, huge])
-                for g, group in enumerate(groups.tolist()):
-                    key = (place, group if group == group else None)
-                    held[key] = merged(held[key], fresh[:, g]) if key in held else fresh[:, g]
-        if held:
-            out = pd.DataFrame([(*key, *v) for key, v in held.items()], columns=[c.split()[0] for c in MOMENTS.split(", ")])
+            batch = batch.sort_values("_size", kind="stable")  # a size's rows lie together, so that sums are over runs
+            own = batch["_size"].to_numpy(dtype=float)
+            begins = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) & ~(np.isnan(own[1:]) & np.isnan(own[:-1]))])
+            fresh = of_batch(nodes, {c: batch[c].to_numpy(dtype=float) for c in names}, batch["_y"].to_numpy(dtype=float), begins)
+            keys = [None if s != s else s for s in own[begins].tolist()]
+            at = [groups.setdefault(k, len(groups)) for k in keys]
+            held = np.concatenate([held, np.zeros((len(nodes), len(groups) - held.shape[1], 8))], axis=1)
+            held[:, at] = merged(held[:, at], fresh)
+        if groups:
+            out = pd.DataFrame(held.reshape(-1, 8), columns=[c.split()[0] for c in MOMENTS.split(", ")][2:])
+            out.insert(0, "place", np.repeat(np.arange(len(nodes)), len(groups)))
+            out.insert(1, "size", pd.array(list(groups) * len(nodes), dtype="Float64"))
             yield out.astype({"size": "Int64", "seen": "int64", "n": "int64", "huge": bool})
 
     parts = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names], F.col(target).cast("double").alias("_y"), F.col(size).cast("double").alias("_size"))
     return pooled(parts.mapInPandas(partial, MOMENTS), ["place", "size"])
 
 
+#: Values of common parts of candidates that a batch keeps.
+KEPT = 256
+
+
+def of_batch(nodes: list[Node], columns: dict[str, np.ndarray], y: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Moments (last axis as in MOMENTS) of each candidate over each run of rows."""
+    sizes = np.diff(np.append(begins, len(y)))
+    run = lambda v: np.add.reduceat(v, begins)
+    kept: dict[Node, np.ndarray] = {}
+    out = np.zeros((len(nodes), len(begins), 8))
+    known = np.isfinite(y)
+    plain = known.all() and (np.abs(y) < HUGE).all()
+    my = run(np.where(known, y, 0)) / sizes
+    dy = y - np.repeat(my, sizes)
+    yy = run(dy * dy)
+
+    def part(node: Node) -> np.ndarray:
+        if node not in kept:
+            value = evaluated(node, columns)
+            if len(kept) >= KEPT:
+                return value
+            kept[node] = value
+        return kept[node]
+
+    for place, node in enumerate(nodes):
+        with np.errstate(all="ignore"):
+            x = applied(node, [part(p) for p in node.parts], columns) if node.parts else part(node)
+        own = out[place]
+        own[:, 0] = sizes
+        if plain and np.abs(x).max() < HUGE:  # false for NaN
+            mx = run(x) / sizes
+            dx = x - np.repeat(mx, sizes)
+            own[:, 1:7] = np.stack([sizes, mx, my, run(dx * dx), run(dx * dy), yy], axis=1)
+            continue
+        good = np.isfinite(x) & known
+        n, huge = run(good.astype(float)), run((good & ((np.abs(x) >= HUGE) | (np.abs(y) >= HUGE))).astype(float)) > 0
+        tame = good & ~np.repeat(huge, sizes)  # with huge values there is no r, so their moments don't matter
+        some, xw, yw = np.maximum(n, 1), np.where(tame, x, 0), np.where(tame, y, 0)
+        mx, mw = run(xw) / some, run(yw) / some
+        dx, dw = np.where(tame, xw - np.repeat(mx, sizes), 0), np.where(tame, yw - np.repeat(mw, sizes), 0)
+        own[:, 1:] = np.stack([n, mx, mw, run(dx * dx), run(dx * dw), run(dw * dw), huge], axis=1)
+    return out
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Moments of two disjoint sets of rows together."""
-    n = a[1] + b[1]
-    if not n:
-        return a + b
-    wx, wy, share = b[2] - a[2], b[3] - a[3], a[1] * b[1] / n
-    cross = np.array([wx * wx, wx * wy, wy * wy]) * share
-    means = (a[1] * a[2:4] + b[1] * b[2:4]) / n
-    return np.concatenate([[a[0] + b[0], n], means, a[4:7] + b[4:7] + cross, [max(a[7], b[7])]])
+    """Moments of disjoint sets of rows together."""
+    na, nb = a[..., 1], b[..., 1]
+    n = na + nb
+    some = np.maximum(n, 1)
+    wx, wy, share = b[..., 2] - a[..., 2], b[..., 3] - a[..., 3], na * nb / some
+    out = a + b
+    out[..., 2:4] = (na[..., None] * a[..., 2:4] + nb[..., None] * b[..., 2:4]) / some[..., None]
+    out[..., 4:7] += np.stack([wx * wx, wx * wy, wy * wy], axis=-1) * share[..., None]
+    out[..., 7] = np.maximum(a[..., 7], b[..., 7])
+    return out
 
 
 def pooled(parts: DataFrame, by: list[str]) -> DataFrame:

@@ -95,30 +95,32 @@ def compiled(root: Node) -> Column:
     return F.when(F.abs(out) < float("inf"), out)  # NaN counts as larger than every number
 
 
-def evaluated(root: Node, columns: dict[str, np.ndarray]) -> np.ndarray:
-    """Values over whole columns; NaN where undefined."""
+def applied(node: Node, parts: list[np.ndarray], columns: dict[str, np.ndarray]) -> np.ndarray:
+    """One operation on the values of its parts."""
+    if node.kind == "var":
+        return columns[node.value]
+    if node.kind == "const":
+        return np.float64(node.value)
+    a, b = parts[0], parts[-1]
+    return {
+        "neg": lambda: -a,
+        "abs": lambda: np.abs(a),
+        "sqrt": lambda: np.sqrt(np.maximum(a, 0)),
+        "log": lambda: np.log(np.maximum(a, LEAST)),
+        "exp": lambda: np.exp(np.clip(a, -LIMIT, LIMIT)),
+        "add": lambda: a + b,
+        "sub": lambda: a - b,
+        "mul": lambda: a * b,
+        "div": lambda: np.where(np.abs(b) >= TINY, a / np.where(np.abs(b) >= TINY, b, 1), np.nan),
+        "pow": lambda: np.power(a, b),
+    }[node.kind]()
 
-    def values(node: Node, parts: list[np.ndarray]) -> np.ndarray:
-        if node.kind == "var":
-            return columns[node.value]
-        if node.kind == "const":
-            return np.float64(node.value)
-        a, b = parts[0], parts[-1]
-        return {
-            "neg": lambda: -a,
-            "abs": lambda: np.abs(a),
-            "sqrt": lambda: np.sqrt(np.maximum(a, 0)),
-            "log": lambda: np.log(np.maximum(a, LEAST)),
-            "exp": lambda: np.exp(np.clip(a, -LIMIT, LIMIT)),
-            "add": lambda: a + b,
-            "sub": lambda: a - b,
-            "mul": lambda: a * b,
-            "div": lambda: np.where(np.abs(b) >= TINY, a / np.where(np.abs(b) >= TINY, b, 1), np.nan),
-            "pow": lambda: np.power(a, b),
-        }[node.kind]()
 
+def evaluated(root: Node, columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Values over whole columns; NaN where undefined."""
     with np.errstate(all="ignore"):
-        return folded(root, values) + np.zeros(len(next(iter(columns.values()))))
+        out = folded(root, lambda node, parts: applied(node, parts, columns))
+        return out if np.ndim(out) else np.full(len(next(iter(columns.values()))), out)
 
 
 def parsed(text: str) -> Node:
