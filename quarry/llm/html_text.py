@@ -9,8 +9,9 @@ Null and empty pages have an empty text. Broken markup is read as far as it goes
 container, a tag cut off at the end of the page is dropped. Character references are decoded, white space inside a
 block becomes one space, blocks are joined in page order by an empty line. Pages of any size are read whole.
 A tag whose quotes do not pair ends at its first '>'. Hidden is what has the attribute hidden, aria-hidden=true or an
-inline style of display:none or visibility:hidden; html and body never are. Class names and ids only weigh: main, an article
-that is not nested in another one, and within layout wrappers a content name set the weight anew.
+inline style of display:none or visibility:hidden; html and body never are. Class names and ids only weigh, less where
+other words stand beside them, and text and neighbours can outweigh them: main, an article that is not nested in another
+one, and within layout wrappers a content name set the weight anew. Time grows in proportion to a page's size.
 Repeated rows are treated alike; extra columns pass through, and the output column replaces one of the same name.
 """
 
@@ -18,9 +19,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,10 +61,22 @@ LAYOUT_NAMES = frozenset("aside header menu modal nav navbar navigation overlay
 MODIFIERS = frozenset("and enabled has layout no with without".split())
 #: An article of these names inside a boilerplate wrapper is not the page's.
 MINOR_NAMES = frozenset("ad ads advert comment promo promoted recommended related reply sponsored teaser widget".split())
+#: Words that say nothing of what a name is about. A token with other words beside a boilerplate name ("legal-history",
+#: "share-of-market") is a weak sign only.
+STRUCTURE = frozenset(
+    """action actions area article author avatar bar big block body bottom box btn button buttons call card cards cell children col
+    column columns container content count counter cta date depth desktop dfp div entry even fixed float floating form global
+    google grid group heading holder home icon icons image info inline inner item items label large layer left level line link links
+    list loader main media meta mobile module more msg new news number odd outer page pane panel parent placeholder policy post posts
+    primary reader readers region right row secondary section simple site slot small static sticky story strip tab tabs text
+    thread title to tool tools top unit user users video view web widget wrap wrapper your zone""".split()
+)
 #: Kinds of boilerplate: a wrapper of the layout, other names, elements that are boilerplate by their meaning.
 LAYOUT, NAMED, MEANT = 1, 2, 3
 #: Not rendered, which holds for all inside, or invisible, which an element inside may end.
 INVISIBLE, UNRENDERED = 1, 2
+#: Classifier weights of a boilerplate name, and what a weak sign adds. Text and neighbours can outweigh both.
+NAME_CUE, WEAK_CUE = -4.5, -2.0
 CONTENT_NAMES = frozenset("article body content entry main maincontent post story text prose".split())
 
 
@@ -78,6 +92,10 @@ class Element:
     hidden: int = 0
     nested: bool = False  # inside an article element, or one itself
     parent: Element | None = None
+    block: Element | None = None  # this element or the nearest above it that is not inline
+
+    def __post_init__(self):
+        self.block = self.parent.block if self.tag in INLINE and self.parent is not None else self
 
 
 @dataclass(slots=True)
@@ -98,13 +116,21 @@ def attributes_of(raw: str) -> dict[str, str]:
     return out
 
 
-def names_of(attributes: dict[str, str]) -> set[str]:
+def names_of(attributes: dict[str, str]) -> tuple[set[str], bool]:
+    """Words of class, id and role, and whether some token is a weak sign of boilerplate; its boilerplate names are left out."""
     out: set[str] = set()
+    weak = False
     for name in ("class", "id", "role"):
         for token in attributes.get(name, "").split():
             words = {w.lower() for w in WORD.findall(token)}
-            out |= words if MODIFIERS.isdisjoint(words) else words - BOILER_NAMES
-    return out
+            own = words & BOILER_NAMES
+            if own and not MODIFIERS.isdisjoint(words):
+                words -= own
+            elif own and words - own - STRUCTURE:
+                words -= own
+                weak = True
+            out |= words
+    return out, weak
 
 
 def hidden_by(attributes: dict[str, str], above: int) -> int:
@@ -132,9 +158,10 @@ def opened(tag: str, attributes: str, parent: Element, number: int) -> Element:
     cue, boiler, hidden = parent.cue, parent.boiler, parent.hidden
     article = parent.article or tag in ("article", "main")
     names: set[str] = set()
+    weak = False
     if attributes and tag not in ("html", "body"):
         found = attributes_of(attributes)
-        names, hidden = names_of(found), hidden_by(found, hidden)
+        (names, weak), hidden = names_of(found), hidden_by(found, hidden)
     own = names & BOILER_NAMES
     if tag == "main":
         cue, boiler = 4.0, 0
@@ -145,7 +172,9 @@ def opened(tag: str, attributes: str, parent: Element, number: int) -> Element:
         kind = LAYOUT if tag in ("form", "fieldset", "header") else MEANT
         cue, boiler = -6.0, max(boiler, kind)
     elif own and not (parent.article and names <= {"header", "byline", "content", "article", "entry", "post"}):
-        cue, boiler = -6.0, max(boiler, LAYOUT if own <= LAYOUT_NAMES else NAMED)
+        cue, boiler = min(cue, NAME_CUE), max(boiler, LAYOUT if own <= LAYOUT_NAMES else NAMED)
+    elif weak:
+        cue = min(cue, max(cue + WEAK_CUE, NAME_CUE))
     elif boiler <= LAYOUT and not CONTENT_NAMES.isdisjoint(names):
         cue = max(cue, 0.0 if boiler else 2.0)
     nested = parent.nested or tag == "article"
@@ -157,6 +186,7 @@ def blocks_of(page: str) -> list[Block]:
     top, out, parts, linked, tag = root, [], [], 0, ""
     container = root
     at, n, size = 0, 0, len(page)
+    open_tags: Counter[str] = Counter()
 
     def end_block() -> None:
         nonlocal parts, linked
@@ -172,9 +202,7 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             if not parts or not text.isspace():
                 if not any(p.strip() for p in parts):
-                    container = top
-                    while container.tag in INLINE:
-                        container = container.parent
+                    container = top.block
                     tag = container.tag
             parts.append(text)
             if top.link:
@@ -202,25 +230,27 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             end_block()
         if closing:
-            place = top
-            while place.parent is not None and place.tag != name:
-                place = place.parent
-            if place.parent is not None:
-                top = place.parent
+            if open_tags[name]:
+                while top.tag != name:
+                    open_tags[top.tag] -= 1
+                    top = top.parent
+                open_tags[name] -= 1
+                top = top.parent
             continue
         if name in VOID:
             continue
         if block:
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6") or top.tag in ("p", *INLINE):
                 # a block ends an open paragraph, with the inline elements inside it; an item ends the item before
-                place = top
-                while place.tag in INLINE:
-                    place = place.parent
+                place = top.block
                 if place.tag == "p" or (place.tag == name and name in ("li", "td", "th", "tr", "dt", "dd")):
-                    top = place.parent
+                    while top is not place.parent:
+                        open_tags[top.tag] -= 1
+                        top = top.parent
         n += 1
         if not found.group(3).endswith("/"):
             top = opened(name, found.group(3), top, n)
+            open_tags[name] += 1
     end_block()
     return out
 
@@ -231,7 +261,7 @@ def score(block: Block) -> float:
     words = text.count(" ") + 1
     links = block.linked / len(text)
     value = cue - 0.5
-    value += 1.5 if words >= 12 else 0.5 if words >= 5 else -0.5
+    value += 2.5 if words >= 40 else 1.5 if words >= 12 else 0.5 if words >= 5 else -0.5
     value += 0.7 if text[-1] in ".!?\"'”»…" else 0.0
     value -= 3.0 * min(1.0, links) * (1.0 if words < 30 else 0.5)
     value += {"p": 0.8, "h1": 0.8, "h2": 0.3, "h3": 0.3, "blockquote": 0.6, "pre": 0.6, "li": -0.3}.get(block.tag, 0.0)
@@ -253,41 +283,86 @@ def apart(a: Element, b: Element) -> int:
 
 
 def minimum_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Source side of a minimum cut, by shortest augmenting paths.
+    """Source side of a minimum cut (the smallest one), by maximum flow.
 
-    terminal: capacity from the source if positive, to the sink if negative. edges: (a, b, capacity) both ways.
+    terminal: capacity from the source if positive, to the sink if negative. edges: (a, b, capacity) both ways. A node
+    whose terminal outweighs all its edges is cut from no minimum: it is settled first, and its edges become terminals of
+    its neighbours. Flow is then pushed in phases along shortest paths of what is left.
     """
     n = len(terminal)
     left = list(terminal)
     room: list[dict[int, int]] = [{} for _ in range(n)]
     for a, b, c in edges:
-        room[a][b] = room[a].get(b, 0) + c
-        room[b][a] = room[b].get(a, 0) + c
+        if a != b and c > 0:
+            room[a][b] = room[a].get(b, 0) + c
+            room[b][a] = room[b].get(a, 0) + c
+    weight = [sum(r.values()) for r in room]
+    side: list[bool | None] = [None] * n
+    waiting = list(range(n))
+    while waiting:
+        v = waiting.pop()
+        if side[v] is not None or -weight[v] < left[v] <= weight[v]:
+            continue
+        side[v] = left[v] > 0
+        for u, c in room[v].items():
+            if side[u] is None:
+                left[u] += c if side[v] else -c
+                weight[u] -= c
+                del room[u][v]
+                waiting.append(u)
+        room[v] = {}
+    flow(left, room)
+    reached = [x is None and left[v] > 0 for v, x in enumerate(side)]
+    queue = deque(v for v in range(n) if reached[v])
+    while queue:
+        for u, c in room[v := queue.popleft()].items():
+            if c > 0 and not reached[u]:
+                reached[u] = True
+                queue.append(u)
+    return [reached[v] if x is None else x for v, x in enumerate(side)]
+
+
+def flow(left: list[int], room: list[dict[int, int]]) -> None:
+    """Pushes as much as can flow from nodes with something left to nodes that lack something; room: residual capacities."""
+    n = len(left)
     while True:
-        came: list[int] = [-1 if left[i] > 0 else -2 for i in range(n)]
-        queue = deque(i for i in range(n) if left[i] > 0)
-        sink = -1
-        while queue and sink < 0:
-            a = queue.popleft()
-            for b, c in room[a].items():
-                if c > 0 and came[b] == -2:
-                    came[b] = a
-                    if left[b] < 0:
-                        sink = b
+        level = [-1] * n
+        queue = deque(v for v in range(n) if left[v] > 0 and room[v])
+        for v in queue:
+            level[v] = 0
+        found = False
+        while queue:
+            v = queue.popleft()
+            for u, c in room[v].items():
+                if c > 0 and level[u] < 0:
+                    level[u] = level[v] + 1
+                    found = found or left[u] < 0
+                    queue.append(u)
+        if not found:
+            return
+        ways = [iter(room[v].copy()) if level[v] >= 0 else iter(()) for v in range(n)]
+        for start in [v for v in range(n) if level[v] == 0]:
+            path = [start]
+            while path and left[start] > 0:
+                v = path[-1]
+                if left[v] < 0:
+                    amount = min(left[start], -left[v], *(room[x][y] for x, y in pairwise(path)))
+                    left[start] -= amount
+                    left[v] += amount
+                    for x, y in pairwise(path):
+                        room[x][y] -= amount
+                        room[y][x] += amount
+                    # go on before the first edge that is full, else beside the node that was filled
+                    full = next((k for k, (x, y) in enumerate(pairwise(path)) if not room[x][y]), len(path) - 2)
+                    del path[full + 1 :]
+                    continue
+                for u in ways[v]:
+                    if room[v][u] > 0 and level[u] == level[v] + 1:
+                        path.append(u)
                         break
-                    queue.append(b)
-        if sink < 0:
-            return [x != -2 for x in came]
-        path, b = [], sink
-        while came[b] >= 0:
-            path.append((came[b], b))
-            b = came[b]
-        flow = min(left[b], -left[sink], *(room[x][y] for x, y in path))
-        left[b] -= flow
-        left[sink] += flow
-        for x, y in path:
-            room[x][y] -= flow
-            room[y][x] += flow
+                else:
+                    path.pop()
+                    level[v] = -2  # nothing goes on from here in this phase
 
 
 def label(blocks: list[Block]) -> None:
