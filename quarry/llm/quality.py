@@ -5,7 +5,7 @@ case, symbols, word lengths), encoded by a learned layer, weighted by learned ga
 scored. Document labels alone train it, on a bounded sample: the SAMPLE labelled documents with the smallest hashes of
 their ids, outside the held-out part.
 
-Whole texts are scored, of any length. Null counts as empty; an empty text is one passage without words. Labels that
+Whole texts are scored, of any length: long ones in slices, whose attention is merged. Null counts as empty; an empty text is one passage without words. Labels that
 are null or belong to no document are ignored; where there are no usable labels, or one class only, scores are that
 class's share (0.5 without labels). Repeated rows score alike; extra columns pass through, and the output column
 replaces one of the same name. Labels, language, source and ids are not inputs of a score.
@@ -42,9 +42,10 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 
 
-def passages_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, number of passages of each text)."""
-    buffer = b"\n\n".join(texts) + b"\n"
+def passages_of(texts: list[bytes], whole: int | None = None, tail: bytes = b"\n") -> tuple[np.ndarray, np.ndarray]:
+    """(features, number of passages of each text). whole: the words of the text that a single given slice is of; tail: what
+    follows the last text, nothing after a slice that its text goes on from."""
+    buffer = b"\n\n".join(texts) + tail
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     begins = np.cumsum(sizes + 2) - sizes - 2
     starts, ends, w = words_of(buffer)
@@ -83,7 +84,7 @@ def passages_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         shape[:, 10] = np.sqrt(np.maximum(spread, 0)) / 4
         shape[:, 11] = 4 * np.bincount(own, length == 1, minlength=n) / some
         shape[:, 12] = np.log1p(held) / 4
-        shape[:, 13] = np.repeat(np.log1p(words) / 8, number)
+        shape[:, 13] = np.repeat(np.log1p(words if whole is None else [whole]) / 8, number)
     return out, number
 
 
@@ -139,9 +140,46 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.trained:
             return np.full(len(texts), self.prior)
+        if len(texts) == 1 and len(texts[0]) > 2 * SLICE:
+            return self.score_long(texts[0])
         x, number = passages_of(texts)
         return self.forward(x, number)[-1]
 
+    def score_long(self, text: bytes) -> np.ndarray:
+        """The same score from slices of whole passages: their weighted sums merge by the largest exponent so far."""
+        p, cuts = self.p, slices_of(text)
+        words = sum(n for _, _, n in cuts)
+        top, weight, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for a, b, _ in cuts:
+            x, _ = passages_of([text[a:b]], words, b"" if b < len(text) else b"\n")
+            h = np.tanh(x @ p["w"] + p["b"])
+            e = (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]
+            high = max(top, float(e.max()))
+            old, e = np.exp(top - high), np.exp(e - high)
+            top, weight, z = high, weight * old + e.sum(), z * old + e @ h
+        return 1 / (1 + np.exp(-np.clip(z[None] / weight @ p["s"] + p["c"], -30, 30)))
+
+
+def slices_of(text: bytes) -> list[tuple[int, int, int]]:
+    """(begin, end, words) of slices of a text; all but the last hold whole passages, and a slice ends where the next begins."""
+    out, at, begin, words = [], 0, 0, 0
+    while at < len(text):
+        # the piece ends after white space, so that words stay whole
+        end = at + SLICE
+        while end < len(text) and text[end - 1] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        end = min(end, len(text))
+        starts, _, _ = words_of(text[begin:end])
+        whole = len(starts) // PASSAGE * PASSAGE
+        if end == len(text):
+            out.append((begin, end, len(starts)))
+        elif 0 < whole < len(starts):
+            stop = begin + int(starts[whole])
+            out.append((begin, stop, whole))
+            begin = stop
+        at = end
+    return out
+
 
 def parts(texts: list) -> Iterator[list[bytes]]:
     out, size = [], 0
@@ -160,14 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from the bounded sample. The sample's features are made on the executors."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     own = own.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
-    own = own.where(~F.coalesce(held_out("id"), F.lit(True))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    own = own.where(~F.coalesce(held_out("id"), F.lit(True)))
+    # labels of documents that are there, before the bound is set: only ids are shuffled
+    own = own.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, number = passages_of([(t or "").encode() for t in batch["text"]])
-            rows = np.split(x.astype(np.float32), np.cumsum(number)[:-1])
-            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": [r.tobytes() for r in rows]})
+            at = 0
+            for texts in parts(batch["text"].tolist()):
+                x, number = passages_of(texts)
+                rows = np.split(x.astype(np.float32), np.cumsum(number)[:-1])
+                own = batch.iloc[at : at + len(texts)]
+                at += len(texts)
+                yield pd.DataFrame({"id": own["id"], "label": own["label"], "x": [r.tobytes() for r in rows]})
 
     seen = rows.mapInPandas(describe, "id long, label int, x binary").toPandas()
     # a fixed order of rows, so that sums and with them the model don't depend on the partitions
