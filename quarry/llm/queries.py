@@ -70,7 +70,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.read_records(warc.normalise(archives), payloads=False).select(
+    index = warc.read_index(warc.normalise(archives))
+    return warc.read_records(index, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 

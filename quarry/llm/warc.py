@@ -4,7 +4,7 @@ and read back by the index.
 Writing: each task writes archives into the shared folder, as one gzip stream per file. Of pages with equal
 payloads the one with the smallest page_id becomes a response, the others revisit it. Normalising inflates each
 stream once, in chunks, rewrites every record as its own member and writes `<archive>.idx`, whose lines hold offset,
-length, record type and record id. Reading opens members at their offsets.
+length, record type and record id. Reading takes the sidecars and opens members at their offsets.
 
 Null html is an empty payload; null urls are empty. Records are found by the digest of the whole payload. Rows that
 repeat a page are each written; of equal rows that hold the smallest page_id each is a response. Rows with a null
@@ -188,6 +188,22 @@ def normalise(archives: DataFrame) -> DataFrame:
     return written(spread.mapInPandas(rewrite, schema), "index")
 
 
+def read_index(archives: DataFrame) -> DataFrame:
+    """The index as the sidecar files beside the normalised archives tell it (archives: column archive)."""
+    schema = "archive string, offset long, length long, record_type string, record_id string"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["archive"]:
+                store, path = store_of(uri)
+                with store.open_input_stream(f"{path}.idx", compression=None) as source:
+                    lines = [line.split(" ", 3) for line in source.read().decode().splitlines()]
+                rows = [(uri, int(o), int(n), kind, name) for o, n, kind, name in lines]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return archives.select("archive").distinct().mapInPandas(read, schema)
+
+
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Rows of the indexed records: page_id, url, payload_bytes, payload_digest, record_type, refers_to and, if wanted,
     payload (null for revisits). Digests of responses are taken from the payload read and must agree with the header."""
