@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, finite, slope
-from quarry.operators import candidates, descriptors, matrices, models
+from quarry.operators import candidates, descriptors, matrices, models, recovery, storage
 from quarry.operators.registered import VEC, query, rounded
 from quarry.sources.tables import table
 
@@ -367,3 +367,17 @@ def parity_claim(spark, sf_dir):
     odd = F.filter("v", lambda x, i: i % 2 == 1)
     return embeddings(spark, sf_dir).select("vec_id", (energy(odd) < 0.4 * energy(F.col("v"))).alias("mostly_even"))
 
+
+
+@query()
+def recurrence_outcome(spark, sf_dir):
+    return recovery.recurrence_verdict(recurrence_order(spark, sf_dir), 30)
+
+
+@query(VEC + """SELECT d.doc_id AS instance_id, CAST(d.doc_id % 3 AS INTEGER) AS family_index, CAST(len(e.v) AS INTEGER) AS n FROM documents d LEFT JOIN e ON e.vec_id = d.doc_id AND e.label % 3 = d.doc_id % 3""")
+def array_payload(spark, sf_dir):
+    key = F.col("label") % 3
+    arrays = embeddings(spark, sf_dir).select(F.col("vec_id").alias("instance_id"), key.cast("int").alias("family_index"), F.col("v").alias("values"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("instance_id"), (F.col("doc_id") % 3).cast("int").alias("family_index"))
+    joined = storage.with_arrays(docs, arrays)
+    return joined.select("instance_id", "family_index", F.when(F.col("values").isNotNull(), F.size("values")).alias("n"))

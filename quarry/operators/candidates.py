@@ -193,3 +193,24 @@ def ranked(scores: DataFrame, most: int, least_r: float = 0.0) -> DataFrame:
         F.desc("r2"), "length", F.desc(F.abs("r")), "candidate",
     ]
     return scores.where(F.abs("r") >= least_r).orderBy(*key).limit(most)
+
+
+def rediscovered(rows: DataFrame, nodes: list[Node], key: str, target: str = "target", splits: int = 5, share: float = 0.7, seed: int = 0) -> DataFrame:
+    """How often each candidate wins (by |r|) on random subsets of the rows: (candidate, wins, frequency). A row's subsets are
+    drawn by a hash of its key; all subsets are scored in one pass, each in the place of a size."""
+    draws = [F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col(key).cast("string")), 256), 1, 8), 16, 10).cast("long") < int(share * (1 << 32)) for k in range(splits)]
+    chosen = F.array_compact(F.array(*[F.when(d, F.lit(k)) for k, d in enumerate(draws)]))
+    copies = rows.withColumn("_split", F.explode(chosen))
+    names = rows.sparkSession.createDataFrame([(i, str(n), n.size()) for i, n in enumerate(nodes)], "place int, candidate string, length int")
+    scores = moments(copies, nodes, target, "_split").select("place", "size", F.abs(correlation()).alias("strength")).where("strength IS NOT NULL").join(names, "place")
+    order = F.struct((-F.round("strength", 9)).alias("s"), "length", "candidate")
+    winners = scores.groupBy("size").agg(F.min(order)["candidate"].alias("candidate"))
+    return winners.groupBy("candidate").agg(F.count("*").alias("wins"), (F.count("*") / splits).alias("frequency"))
+
+
+def replicated(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Scores of the same candidates on two seeds side by side; a candidate holds if both |r| reach `least` with one sign."""
+    left = a.select("candidate", F.col("r").alias("r_a"), F.col("r2").alias("r2_a"))
+    right = b.select("candidate", F.col("r").alias("r_b"), F.col("r2").alias("r2_b"))
+    holds = (F.abs("r_a") >= least) & (F.abs("r_b") >= least) & (F.signum("r_a") == F.signum("r_b"))
+    return left.join(right, "candidate", "full").withColumn("holds", F.coalesce(holds, F.lit(False)))

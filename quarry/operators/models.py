@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, finite, intercept, pearson, slope, total
+from quarry.operators.statistics import successors
 
 
 def moments(rows: DataFrame, names: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -84,10 +85,10 @@ def templates(rows: DataFrame, features: list[str], target: str) -> DataFrame:
 
 def next_step(rows: DataFrame, key: str, order: str, column: str) -> DataFrame:
     """Regression of a column's next value in its sequence on the present one."""
-    after = F.lead(column).over(Window.partitionBy(key).orderBy(order))
-    pairs = rows.withColumn("_next", after).where(F.col("_next").isNotNull())
-    x, y = F.col(column), F.col("_next")
-    return pairs.agg(slope(y, x).alias("slope"), intercept(y, x).alias("intercept"), F.pow(pearson(x, y), 2).alias("r2"), F.count("*").alias("n"))
+    pairs = successors(rows, key, [order, column], [column]).where("has_next")
+    x, y = F.col(column), F.col(f"next_{column}")
+    known = F.count(F.when(y.isNotNull(), 1))
+    return pairs.agg(slope(y, x).alias("slope"), intercept(y, x).alias("intercept"), F.pow(pearson(x, y), 2).alias("r2"), known.alias("n"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -163,3 +163,34 @@ def verdicts(rows: DataFrame, sizes: list[int], least: float, textbook: list[str
     per = rates.groupBy("protocol", "family").agg(held("discovery").alias("discovery"), held("confirmatory").alias("confirmatory"))
     candidate = F.coalesce((F.col("discovery") >= least) & ~F.col("protocol").isin(textbook), F.lit(False))
     return per.withColumn("candidate", candidate).withColumn("confirmed", candidate & F.coalesce(F.col("confirmatory") >= least, F.lit(False)))
+
+
+def near_pair_values(groups: DataFrame, instance: str, x: str, op: str, modulus: int) -> DataFrame:
+    """(instance, value) of near groups: the smallest x of a component, which names it, with every other; zeros are dropped."""
+    rest = groups.where(F.col(x) != F.col("component"))
+    return combined(rest.select(instance, F.col("component").alias("base"), F.col(x).alias("other")), instance, op, modulus)
+
+
+def closed_values(tape: DataFrame, instance: str, x: str, y: str, bits: int) -> DataFrame:
+    """(instance, values): the largest set of low bits, relative to a label's smallest x, that is closed under xor. A set has
+    at most 2^bits numbers; of equally large ones the first label's stays."""
+    mask = (1 << bits) - 1
+    points = tape.select(instance, y, x).distinct()
+    base = points.groupBy(instance, y).agg(F.min(x).alias("_b"), F.count("*").alias("_n")).where("_n > 1")
+    low = F.col(x).bitwiseXOR(F.col("_b")).bitwiseAND(F.lit(mask))
+    sets = points.join(base, [instance, y]).groupBy(instance, y).agg(F.array_sort(F.collect_set(low)).alias("values"))  # the base itself gives zero
+
+    def closed(values: Column) -> Column:
+        return F.forall(values, lambda a: F.forall(values, lambda b: F.array_contains(values, a.bitwiseXOR(b))))
+
+    good = sets.where((F.size("values") > 1) & closed(F.col("values")))
+    return good.groupBy(instance).agg(F.min(F.struct((-F.size("values")).alias("s"), y, "values"))["values"].alias("values"))
+
+
+def recurrence_verdict(rows: DataFrame, largest_size: int) -> DataFrame:
+    """Whether orders are finite and stable: (median_order, ratio, met) over rows that are eligible for identification."""
+    able = rows.where("identification_eligible")
+    median = F.median("estimated_order")
+    ratio = median / F.lit(float(2**largest_size))
+    met = (median <= 32) & (ratio < 1e-6) & (F.min(F.coalesce("withheld_stable", F.lit(False)).cast("int")) >= 1)
+    return able.agg(F.count("*").alias("n"), median.alias("median_order"), ratio.alias("ratio"), F.coalesce(met, F.lit(False)).alias("met"))

@@ -73,3 +73,24 @@ def protocol_verdict(spark, sf_dir):
 @query("SELECT CASE WHEN event_id % 2 = 0 THEN 'discovery' ELSE 'confirmatory' END AS fold, count(*) AS n FROM events GROUP BY ALL")
 def seed_folds(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.when(F.col("event_id") % 2 == 0, "discovery").otherwise("confirmatory").alias("fold")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id, event_id AS x, event_id % 97 AS y FROM events), b AS (SELECT *, min(x) OVER (PARTITION BY user_id, y) AS b FROM d),
+s AS (SELECT user_id, y, list_sort(list(DISTINCT xor(x, b) & 7)) AS v FROM b GROUP BY user_id, y HAVING count(*) > 1),
+g AS (SELECT * FROM s WHERE len(v) > 1 AND len(list_filter(v, lambda a: len(list_filter(v, lambda c: NOT list_contains(v, xor(a, c)))) > 0)) = 0)
+SELECT user_id, array_to_string(v, ',') AS "values" FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY len(v) DESC, y) = 1""")
+def group_closure(spark, sf_dir):
+    c = recovery.closed_values(tape(spark, sf_dir), "user_id", "x", "y", 3)
+    return c.select("user_id", F.concat_ws(",", F.col("values").cast("array<string>")).alias("values"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT DISTINCT user_id, event_id AS x, event_id * 2654435761 % 65536 AS y FROM events),
+p AS (SELECT a.user_id, a.x AS a, b.x AS b FROM t a JOIN t b ON a.user_id = b.user_id AND a.x <> b.x AND bit_count(xor(a.y, b.y)) <= 2),
+r AS (SELECT user_id, a AS x, a AS c FROM (SELECT DISTINCT user_id, a FROM p) UNION SELECT p.user_id, p.b, r.c FROM r JOIN p ON r.user_id = p.user_id AND r.x = p.a AND r.c < p.b),
+g AS (SELECT user_id, x, min(c) AS b FROM r GROUP BY ALL), v AS (SELECT user_id, (x - b) % 64 AS value FROM g WHERE x <> b AND (x - b) % 64 <> 0),
+k AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, value) AS i FROM v GROUP BY user_id, value)
+SELECT user_id, value & 7 AS value FROM k WHERE i = 1""")
+def near_program(spark, sf_dir):
+    points = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.col("event_id") * 2654435761 % 65536).alias("y"))
+    groups = recovery.near_groups(points, "user_id", "x", "y", 2, 16)
+    return recovery.program(recovery.near_pair_values(groups, "user_id", "x", "diff", MODULUS), "user_id", "mode", "low_3", 6)

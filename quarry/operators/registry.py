@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.numeric import energy, pearson
-from quarry.operators import arrays, candidates, matrices, models, recovery, relational, representation, statistics
+from quarry.functions.numeric import energy, pearson, slope
+from quarry.operators import arrays, candidates, descriptors, matrices, models, recovery, relational, representation, statistics
 from quarry.operators.registered import FEATURES, FLAT, LONG, QUERIES, SQL, TAPE, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
@@ -305,13 +305,10 @@ def walsh_spectrum(spark, sf_dir):
 @query("""WITH o AS (SELECT user_id, value, row_number() OVER w AS i, lag(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, count(*) AS steps, round(regr_slope(value, i), 6) AS slope, round(avg(abs(value - b)), 5) AS update_size FROM o GROUP BY user_id""")
 def dynamics_slope(spark, sf_dir):
-    from pyspark.sql import Window
-
-    from quarry.functions.numeric import slope
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    o = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).withColumn("b", F.lag("value").over(w))
-    return rounded(o.groupBy("user_id").agg(F.count("*").alias("steps"), slope(F.col("value"), F.col("i")).alias("slope"), F.avg(F.abs(F.col("value") - F.col("b"))).alias("update_size")), 6, update_size=5)
+    """A place in the order of all events serves for the number within the user's: it moves the line, not its slope."""
+    o = statistics.successors(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["value"])
+    step = F.abs(F.col("next_value") - F.col("value"))
+    return rounded(o.groupBy("user_id").agg(F.count("*").alias("steps"), slope(F.col("value"), F.col("place")).alias("slope"), F.avg(step).alias("update_size")), 6, update_size=5)
 
 
 @query(TAPE + """, g AS (SELECT user_id, y, count(DISTINCT x) AS n FROM t GROUP BY ALL HAVING count(DISTINCT x) > 1)
@@ -388,16 +385,15 @@ def sorted_permutation_cost(spark, sf_dir):
 c AS (SELECT vec_id, k, sum(x * cos(pi() * (i + 0.5) * k / 64)) * sqrt(CASE WHEN k = 0 THEN 1 ELSE 2 END / 64.0) AS c FROM x, range(0, 64) r(k) GROUP BY vec_id, k)
 SELECT vec_id, count(*) FILTER (WHERE abs(c) > 1e-6) AS needed, round(sum(c * c), 5) AS energy, round(sum(c * c) FILTER (WHERE k < 8) / sum(c * c), 6) AS leading FROM c GROUP BY vec_id""")
 def dct_complexity(spark, sf_dir):
-    c = vectors(spark, sf_dir).select("vec_id", representation.cosine_transform(F.col("v")).alias("c"))
-    leading = representation.leading_energy(F.col("c"), 8)
-    return rounded(c.select("vec_id", representation.complexity(F.col("c")).alias("needed"), energy(F.col("c")).alias("energy"), leading.alias("leading")), 6, energy=5)
+    d = descriptors.described(vectors(spark, sf_dir), "v", ["vec_id"], representation.cosine_shape, ["needed", "energy", "leading"])
+    return rounded(d.withColumn("needed", F.col("needed").cast("long")), 6, energy=5)
 
 
 @query(VEC + """, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e),
 p AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * i * k / 64)), 2) + pow(sum(x * sin(2 * pi() * i * k / 64)), 2) AS p FROM x, range(1, 33) r(k) GROUP BY vec_id, k)
 SELECT vec_id, round(max(p) / sum(p), 6) AS periodicity FROM p GROUP BY vec_id""")
 def periodicity(spark, sf_dir):
-    return rounded(vectors(spark, sf_dir).select("vec_id", representation.periodicity(F.col("v")).alias("periodicity")))
+    return rounded(descriptors.described(vectors(spark, sf_dir), "v", ["vec_id"], representation.period_shape, ["periodicity"]))
 
 
 @query(VEC + """, q AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS j FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e)),
@@ -465,8 +461,10 @@ def pca_variance(spark, sf_dir):
 SELECT label, count(*) AS steps, round(avg(abs(list_cosine_similarity(v, w))), 6) AS overlap,
  round(avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(w[i] - v[i], 2))) / list_sum(list_transform(v, lambda x: x * x)))), 6) AS update_ratio FROM n WHERE w IS NOT NULL GROUP BY label""")
 def overlap_consecutive(spark, sf_dir):
-    after = F.lead("v").over(Window.partitionBy("label").orderBy("vec_id"))
-    n = vectors(spark, sf_dir).withColumn("w", after).where(F.col("w").isNotNull())
+    """Ids are paired first and the vectors joined to them, so that no task holds a label's vectors."""
+    e = vectors(spark, sf_dir)
+    pairs = statistics.successors(e.select("label", "vec_id"), "label", ["vec_id"], ["vec_id"]).where("has_next")
+    n = pairs.join(e.select("vec_id", "v"), "vec_id").join(e.select(F.col("vec_id").alias("next_vec_id"), F.col("v").alias("w")), "next_vec_id")
     step = F.sqrt(energy(F.zip_with("w", "v", lambda a, b: a - b)) / energy(F.col("v")))
     overlap = F.abs(models.cosine(F.col("v"), F.col("w")))
     return rounded(n.groupBy("label").agg(F.count("*").alias("steps"), F.avg(overlap).alias("overlap"), F.avg(step).alias("update_ratio")))
@@ -487,8 +485,8 @@ def hamming_corr(spark, sf_dir):
 @query(VEC + """SELECT vec_id, round(list_sum(list_transform(range(0, 8), lambda i: v[9 * i + 1])), 5) AS trace, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS frobenius,
  round(sqrt(list_sum(list_transform(range(0, 64), lambda k: pow(v[k + 1] - v[(k % 8) * 8 + k // 8 + 1], 2))) / list_sum(list_transform(v, lambda x: x * x))), 5) AS asymmetry FROM e""")
 def matrix_norms(spark, sf_dir):
-    d = matrices.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], matrices.matrix, matrices.MATRIX)
-    return rounded(d.select("vec_id", "trace", "frobenius", "asymmetry"), 5)
+    d = descriptors.described(table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"], descriptors.entries, descriptors.ENTRIES)
+    return rounded(d.select("vec_id", "trace", "frobenius", F.col("symmetry_error").alias("asymmetry")), 5)
 
 
 @query()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, total
@@ -50,28 +49,22 @@ def permutation_breaks(ordered: Column) -> Column:
     return F.size(F.filter(inner, lambda j: F.get(ordered, j)["i"] != F.get(ordered, j - 1)["i"] + 1)).cast("long")
 
 
-def projection(v: Column, k: Column, wave, shift: float, scale: float) -> Column:
-    n = F.size(v)
-    return total(F.transform(v, lambda x, i: x * wave(F.lit(math.pi * scale) * (i + shift) * k / n)))
+def cosine_shape(x: np.ndarray, first: int = 8) -> dict[str, np.ndarray]:
+    """Of the orthonormal cosine transform of the rows: coefficients that are not negligible, energy, and the share of the
+    first ones."""
+    c = x @ cosine_basis(x.shape[1]).T
+    energies = (c * c).sum(1)
+    return {
+        "needed": (np.abs(c) > NEGLIGIBLE).sum(1).astype(float), "energy": energies,
+        "leading": np.where(energies > 0, (c[:, :first] ** 2).sum(1) / np.where(energies > 0, energies, 1), np.nan),
+    }
 
 
-def cosine_transform(v: Column) -> Column:
-    """Orthonormal cosine transform of type two."""
-    n = F.size(v)
-    unit = lambda k: F.sqrt(F.when(k == 0, F.lit(1.0)).otherwise(F.lit(2.0)) / n)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: unit(k) * projection(v, k, F.cos, 0.5, 1.0))
-
-
-def power_spectrum(v: Column) -> Column:
-    """Squared magnitudes at the frequencies 1 to n / 2 of the Fourier transform."""
-    ks = F.sequence(F.lit(1), F.floor(F.size(v) / 2).cast("int"))
-    return F.transform(ks, lambda k: F.pow(projection(v, k, F.cos, 0.0, 2.0), 2) + F.pow(projection(v, k, F.sin, 0.0, 2.0), 2))
-
-
-def periodicity(v: Column, top: int = 1) -> Column:
-    """Share of the varying energy in the strongest frequencies."""
-    p = F.reverse(F.array_sort(power_spectrum(v)))
-    return total(F.slice(p, 1, top)) / F.nullif(total(p), F.lit(0.0))
+def period_shape(x: np.ndarray, top: int = 1) -> dict[str, np.ndarray]:
+    """Share of the varying energy in the strongest frequencies of each row."""
+    power = np.sort(np.abs(np.fft.rfft(x)[:, 1:]) ** 2, axis=1)[:, ::-1]
+    held = power.sum(1)
+    return {"periodicity": np.where(held > 0, power[:, :top].sum(1) / np.where(held > 0, held, 1), np.nan)}
 
 
 def leading_energy(encoded: Column, first: int) -> Column:
@@ -97,15 +90,8 @@ def ranked_encodings(df: DataFrame, vector: str) -> DataFrame:
 
 
 def pareto_frontier(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no other row beats: at most as much in both objectives and less in one.
-
-    Rows are reduced to the least y of each x before the ordered window, so that only distinct values of x meet there:
-    x must be a coarse objective, such as a size or depth.
-    """
-    best = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.min(y).alias(y))
-    before = F.min(y).over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    kept = best.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(y) < F.col("_before"))).drop("_before")
-    return df.join(kept, [x, y], "left_semi")
+    """Rows that no other row beats: at most as much in both objectives and less in one."""
+    return frontier(df, [x, y])
 
 
 def canonical(df: DataFrame, by: str, order: list[str], identity: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import excess_kurtosis, finite, predictive_r2, regression_r2, skew
-from quarry.operators import candidates, models, representation, statistics
+from quarry.operators import candidates, latent, models, representation, statistics, storage
 from quarry.operators.registered import FEATURES, FLAT, LONG, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
@@ -254,3 +254,96 @@ def klt_basis(spark, sf_dir):
 def encoding_costs(spark, sf_dir):
     chain = F.when(F.col("p_size") % 2 == 0, "difference+dft").otherwise("dct+difference+identity")
     return rounded(table(spark, sf_dir, "part").select("p_partkey", representation.computational_cost(chain, F.col("p_size")).alias("cost")), 4)
+
+
+HALF = ["quantity", "price", "tax"]
+
+
+def replicate_sql() -> str:
+    side = lambda k: f"(SELECT col, {safe_r('v', 'target')} AS r FROM l WHERE odd = {k} GROUP BY col)"
+    long = " UNION ALL ".join(f"SELECT instance_id % 2 AS odd, target, '{c}' AS col, {c} AS v FROM f" for c in HALF)
+    holds = "coalesce(abs(a.r) >= 0.3 AND abs(b.r) >= 0.3 AND sign(a.r) = sign(b.r), false)"
+    return FLAT + f", l AS ({long}) SELECT a.col AS candidate, round(a.r, 6) AS r_a, round(a.r * a.r, 6) AS r2_a, round(b.r, 6) AS r_b, round(b.r * b.r, 6) AS r2_b, {holds} AS holds FROM {side(0)} a JOIN {side(1)} b ON a.col = b.col"
+
+
+@query(replicate_sql())
+def seed_replication(spark, sf_dir):
+    rows, nodes = flat_features(spark, sf_dir), [ex.var(c) for c in HALF]
+    a, b = (candidates.scored(rows.where(F.col("instance_id") % 2 == k), nodes) for k in (0, 1))
+    return rounded(candidates.replicated(a, b, 0.3))
+
+
+NODES = [ex.var("quantity"), ex.op("mul", ex.var("price"), ex.var("tax")), ex.op("mul", ex.var("quantity"), ex.var("discount"))]
+
+
+@query(FLAT + ", d AS (" + " UNION ALL ".join(f"SELECT {k} AS split, * FROM f WHERE CAST('0x' || substr(sha256('0:{k}:' || CAST(instance_id AS VARCHAR)), 1, 8) AS BIGINT) < 3006477107" for k in range(5))
+    + "), s AS (" + " UNION ALL ".join(f"SELECT split, '{n}' AS candidate, {n.size()} AS length, round(abs(corr({e}, target)), 9) AS r FROM d GROUP BY split" for n, e in zip(NODES, ("quantity", "price * tax", "quantity * discount"), strict=True))
+    + "), w AS (SELECT candidate FROM s QUALIFY row_number() OVER (PARTITION BY split ORDER BY r DESC, length, candidate) = 1) SELECT candidate, count(*) AS wins, count(*) / 5.0 AS frequency FROM w GROUP BY candidate")
+def rediscovery(spark, sf_dir):
+    return candidates.rediscovered(flat_features(spark, sf_dir), NODES, "instance_id")
+
+
+#: Principal axes of two columns in closed form: the first axis lies at half the angle of (2 cov, var - var).
+PCA2 = FLAT + """, m AS (SELECT avg(quantity) AS ma, avg(price / 1000) AS mb, var_pop(quantity) AS aa, var_pop(price / 1000) AS bb, covar_pop(quantity, price / 1000) AS ab FROM f),
+t AS (SELECT *, 0.5 * atan2(2 * ab, aa - bb) AS angle FROM m),
+c AS (SELECT instance_id, family_index, discount, target, size, (quantity - ma) * cos(angle) + (price / 1000 - mb) * sin(angle) AS c0, (price / 1000 - mb) * cos(angle) - (quantity - ma) * sin(angle) AS c1 FROM f, t)
+"""
+
+
+def scaled(spark, sf_dir):
+    return flat_features(spark, sf_dir).withColumn("price", F.col("price") / 1000)
+
+
+@query(PCA2 + """, r AS (""" + " UNION ALL ".join(f"SELECT 'latent.pca_{k}' AS latent, '{d}' AS descriptor, abs(corr(c{k}, {d})) AS strength FROM c" for k in (0, 1) for d in ("target", "discount", "size"))
+    + ") SELECT latent, descriptor, round(strength, 6) AS strength FROM r WHERE strength >= 0.01")
+def latent_correlations(spark, sf_dir):
+    coded, names = latent.with_codes(scaled(spark, sf_dir), ["quantity", "price"], 2)
+    found = latent.correlated(coded, names, ["target", "discount", "size"], 0.01)
+    return rounded(found.select("latent", "descriptor", F.abs("r").alias("strength")))
+
+
+@query(PCA2 + "SELECT CAST(CASE WHEN abs(corr(c1, target)) > abs(corr(c0, target)) THEN 2 ELSE 1 END AS INTEGER) AS k, round(greatest(abs(corr(c0, target)), abs(corr(c1, target))), 6) AS r FROM c")
+def linear_coordinates(spark, sf_dir):
+    return rounded(latent.coordinates(scaled(spark, sf_dir), ["quantity", "price"], "target").drop("explained"))
+
+
+@query(PCA2 + ", i AS (SELECT instance_id, avg(c0 * c0) AS spread FROM c GROUP BY instance_id) SELECT o_orderkey, o_custkey, round(spread, 4) AS spread FROM orders LEFT JOIN i ON o_orderkey = instance_id")
+def latent_broadcast(spark, sf_dir):
+    coded, names = latent.with_codes(scaled(spark, sf_dir), ["quantity", "price"], 1)
+    code = F.col(f"`{names[0]}`")
+    per = coded.groupBy(F.col("instance_id").alias("o_orderkey")).agg(F.avg(code * code).alias("spread"))
+    return rounded(latent.broadcast_latents(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), per, "o_orderkey"), 4)
+
+
+def multi_sql() -> str:
+    parts = []
+    for t in ("target", "quantity"):
+        m = f"(SELECT avg(price) AS ma, avg(tax) AS mb, avg({t}) AS mt, var_pop(price) * count(*) + 0.001 AS aa, var_pop(tax) * count(*) + 0.001 AS bb, covar_pop(price, tax) * count(*) AS ab, covar_pop(price, {t}) * count(*) AS ta, covar_pop(tax, {t}) * count(*) AS tb FROM f)"
+        w = f"(SELECT *, (bb * ta - ab * tb) / (aa * bb - ab * ab) AS wa, (aa * tb - ab * ta) / (aa * bb - ab * ab) AS wb FROM {m})"
+        parts += [f"SELECT '{t}' AS target, '{n}' AS term, round({e}, 4) + 0.0 AS coefficient FROM {w}" for n, e in (("price", "wa"), ("tax", "wb"), ("intercept", "mt - wa * ma - wb * mb"))]
+    return FLAT + " UNION ALL ".join(parts)
+
+
+@query(multi_sql())
+def multi_ridge(spark, sf_dir):
+    return rounded(latent.multi_ridge(flat_features(spark, sf_dir), ["price", "tax"], ["target", "quantity"]).drop("r2"), 4)
+
+
+@query()
+def random_feature_codes(spark, sf_dir):
+    return latent.random_features(flat_features(spark, sf_dir), FEATURES, "target", 4)
+
+
+@query()
+def diagonalising_basis(spark, sf_dir):
+    """The operator from each vector to its smoothed rotation: encodings by how diagonal they make it."""
+    v = table(spark, sf_dir, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"))
+    y = F.transform("x", lambda a, i: 0.5 * a + 0.25 * F.get("x", (i + 1) % 16) + 0.25 * F.get("x", (i + 15) % 16))
+    return rounded(latent.diagonalising(v.withColumn("y", y), "x", "y"))
+
+
+@query("SELECT l_orderkey AS instance_id, l_linenumber AS family_index, max(l_quantity) AS quantity, max(o_totalprice) AS total FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = 1 GROUP BY ALL")
+def target_lookup(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("instance_id"), F.col("l_linenumber").alias("family_index")).agg(F.max("l_quantity").alias("quantity"))
+    targets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("instance_id"), F.lit(1).alias("family_index"), F.col("o_totalprice").alias("total"))
+    return storage.with_target(line, targets, "total")

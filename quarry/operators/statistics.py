@@ -117,6 +117,14 @@ def ranks(rows: DataFrame, order: list, name: str) -> DataFrame:
     return laid.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
 
 
+def successors(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
+    """(by, place, columns, next_<column>...): each row beside the next one of its group in the order, null at the end. Places
+    are joined, so that a group of any size is spread over tasks. Rows without a group are left out."""
+    placed = written(ranks(rows.select(*dict.fromkeys([by, *order, *columns])).where(F.col(by).isNotNull()), [by, *order], "successors"), "placed")
+    after = placed.select(F.col(by), (F.col("place") - 1).alias("place"), *[F.col(c).alias(f"next_{c}") for c in columns], F.lit(True).alias("has_next"))
+    return placed.select(by, "place", *[c for c in columns if c != by]).join(after, [by, "place"], "left")
+
+
 def medians(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
     """(by..., median, n) of finite values, exactly, whatever the size of a group: equal values are counted first, then the
     distinct ones are placed in order. Rows whose group is null are left out."""

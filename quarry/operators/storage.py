@@ -55,6 +55,14 @@ class Run:
             place = jvm.Path(folder)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
+    def save_arrays(self, arrays: DataFrame) -> None:
+        """Appends arrays (instance_id, family_index, values)."""
+        self.append(arrays.select(*KEY, "values"), "arrays")
+
+    def arrays(self) -> DataFrame:
+        found = self.table("arrays")
+        return found if found is not None else self.spark.createDataFrame([], "instance_id long, family_index int, values array<double>")
+
     def completed(self) -> DataFrame:
         rows = self.features()
         return rows.select(*KEY).distinct() if rows is not None else self.spark.createDataFrame([], "instance_id long, family_index int")
@@ -125,3 +133,19 @@ def missing_instances(rows: DataFrame, instances: DataFrame) -> DataFrame:
     """Instance records to add: instances that have rows and no record, with the size and generator of their first row."""
     per = rows.groupBy("instance_id").agg(F.min_by(F.struct("size", "generator"), "family_index").alias("first"))
     return per.join(instances.select("instance_id").distinct(), "instance_id", "left_anti").select("instance_id", "first.*")
+
+
+def numeric_columns(rows: DataFrame, prefix: str = "") -> list[str]:
+    """Names of numeric columns that are no identity, optionally of one family such as `metric.`."""
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    return [c for c, t in rows.dtypes if (t in kinds or t.startswith("decimal")) and c not in (*KEY, "size", "seed") and c.startswith(prefix)]
+
+
+def with_arrays(rows: DataFrame, arrays: DataFrame, vector: str = "values") -> DataFrame:
+    """rows with their stored array; null where none is stored. Arrays: KEY and the vector; of repeated keys one counts."""
+    return rows.join(arrays.select(*KEY, vector).dropDuplicates(KEY), KEY, "left")
+
+
+def with_target(rows: DataFrame, targets: DataFrame, target: str) -> DataFrame:
+    """rows with the target of their key; null where it is missing."""
+    return rows.join(targets.select(*KEY, target).dropDuplicates(KEY), KEY, "left")

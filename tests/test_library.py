@@ -183,3 +183,99 @@ def test_a_cluster_session_needs_a_shared_folder(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_path(Session(), "x")
     assert math.isfinite(len(shared_path(spark, "x")))
+
+
+def test_latent_codes_equal_svd(spark):
+    from quarry.operators import latent
+
+    a = np.random.default_rng(2).normal(size=(60, 3)) @ np.array([[3.0, 0.4, 0], [0, 1.5, 0.2], [0, 0, 0.4]])
+    t = a[:, 1] * 2
+    df = spark.createDataFrame([(*map(float, r), float(y)) for r, y in zip(a, t, strict=True)], "a double, b double, c double, t double")
+    coded, names = latent.with_codes(df, ["a", "b", "c"], 2)
+    got = np.array([[r[n] for n in names] for r in coded.collect()])
+    _, _, v = np.linalg.svd(a - a.mean(0), full_matrices=False)
+    want = (a - a.mean(0)) @ v[:2].T
+    assert np.allclose(np.sort(np.abs(got), axis=0), np.sort(np.abs(want), axis=0))
+    pairs = {(r["latent"], r["descriptor"]): r["r"] for r in latent.correlated(coded, names, ["t"], 0.0).collect()}
+    assert abs(abs(pairs[names[0], "t"]) - abs(np.corrcoef(want[:, 0], t)[0, 1])) < 1e-9
+    best = latent.coordinates(df, ["a", "b", "c"], "t").first()
+    rs = [abs(np.corrcoef((a - a.mean(0)) @ u, t)[0, 1]) for u in v]
+    assert best["k"] == int(np.argmax(rs)) + 1 and abs(best["r"] - max(rs)) < 1e-9
+
+
+def test_multi_ridge_equals_numpy(spark):
+    from quarry.operators import latent
+
+    x = np.random.default_rng(3).normal(size=(40, 2))
+    y = np.stack([x @ [2.0, -1.0] + 3, x @ [0.5, 0.0]], axis=1)
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 1.0)], "a double, b double, y double, z double")
+    got = {(r["target"], r["term"]): r["coefficient"] for r in latent.multi_ridge(df, ["a", "b"], ["y", "z"], 1e-9).collect()}
+    assert abs(got["y", "a"] - 2) < 1e-6 and abs(got["y", "b"] + 1) < 1e-6 and abs(got["y", "intercept"] - 3) < 1e-6 and abs(got["z", "a"] - 0.5) < 1e-6
+
+
+def test_random_features_equal_numpy(spark):
+    from quarry.operators import latent
+
+    x = np.random.default_rng(4).normal(size=(50, 3))
+    t = x @ [1.0, 2.0, -1.0]
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, t, strict=True)], "a double, b double, c double, t double")
+    got = latent.random_features(df, ["a", "b", "c"], "t", 2).first()
+    w = np.random.default_rng(latent.SEED).normal(scale=0.5, size=(3, 2))
+    h = np.hstack([np.ones((50, 1)), np.tanh((x - x.mean(0)) @ w)])
+    decode = np.linalg.solve(h.T @ h + 1e-3 * np.eye(3), h.T @ x)
+    assert got["hidden"] == 2 and abs(got["reconstruction_mse"] - ((x - h @ decode) ** 2).mean()) < 1e-9
+    beta = np.linalg.solve(h.T @ h + 1e-3 * np.eye(3), h.T @ t)
+    assert abs(got["target_r2"] - (1 - ((t - h @ beta) ** 2).sum() / ((t - t.mean()) ** 2).sum())) < 1e-9
+    assert latent.random_features(df.limit(0), ["a"], "t").count() == 0
+
+
+def test_a_circulant_operator_is_diagonal_in_the_fourier_basis(spark):
+    from quarry.operators import latent
+
+    n = 6
+    u = np.stack([np.roll([0.5, 0.25, 0, 0, 0, 0.1], k) for k in range(n)])
+    x = np.random.default_rng(5).normal(size=(30, n))
+    df = spark.createDataFrame([(a.tolist(), (u @ a).tolist()) for a in x], "x array<double>, y array<double>")
+    got = latent.diagonalising(df, "x", "y").collect()
+    assert got[0]["encoding"] == "dft_full" and got[0]["off_diagonal"] < 1e-9 and got[0]["residual"] < 1e-9
+    assert got[-1]["off_diagonal"] > 0.1 and latent.diagonalising(df.limit(3), "x", "y").count() == 0
+
+
+def test_rediscovery_and_replication(spark):
+    from quarry.operators import candidates
+    from quarry.plans import expression as ex
+
+    rows = [(i, 1, float(i % 13), DRAW.random(), 3.0 * (i % 13)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, size int, x double, y double, target double")
+    got = candidates.rediscovered(df, [ex.var("y"), ex.var("x"), ex.op("neg", ex.var("x"))], "k").collect()
+    assert [(r["candidate"], r["wins"], r["frequency"]) for r in got] == [("x", 5, 1.0)]
+    a = spark.createDataFrame([("x", 0.5, 0.25), ("y", 0.5, 0.25), ("z", None, None)], "candidate string, r double, r2 double")
+    b = spark.createDataFrame([("x", 0.4, 0.16), ("y", -0.5, 0.25), ("w", 0.9, 0.81)], "candidate string, r double, r2 double")
+    assert {r["candidate"]: r["holds"] for r in candidates.replicated(a, b, 0.3).collect()} == {"x": True, "y": False, "z": False, "w": False}
+
+
+def test_closed_values_take_the_largest_set(spark):
+    rows = [(1, x, 0) for x in (8, 9)] + [(1, x, 1) for x in (16, 17, 18, 19)] + [(1, x, 2) for x in (32, 33, 34)] + [(2, 5, 7)]
+    got = recovery.closed_values(spark.createDataFrame(rows, "t long, x long, y long"), "t", "x", "y", 3).collect()
+    assert [(r["t"], r["values"]) for r in got] == [(1, [0, 1, 2, 3])]
+
+
+def test_recurrence_verdict(spark):
+    schema = "identification_eligible boolean, estimated_order long, withheld_stable boolean"
+    good = spark.createDataFrame([(True, 4, True), (True, 6, True), (False, 99, False)], schema)
+    assert recovery.recurrence_verdict(good, 30).first()["met"] and not recovery.recurrence_verdict(good, 6).first()["met"]
+    assert not recovery.recurrence_verdict(good.union(spark.createDataFrame([(True, 4, False)], schema)), 30).first()["met"]
+    assert not recovery.recurrence_verdict(good.limit(0), 30).first()["met"]
+
+
+def test_near_pairs_and_stored_arrays(spark, tmp_path):
+    groups = spark.createDataFrame([(1, 3, 3), (1, 6, 3), (1, 5, 3)], "t long, x long, component long")
+    assert sorted(r["value"] for r in recovery.near_pair_values(groups, "t", "x", "xor", 8).collect()) == [5, 6]
+    run = storage.Run(spark, str(tmp_path / "arrays"))
+    assert run.arrays().count() == 0
+    arrays = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, [3.0])], "instance_id long, family_index int, values array<double>")
+    run.save_arrays(arrays)
+    rows = spark.createDataFrame([(1, 1), (1, 3)], "instance_id long, family_index int")
+    assert {(r["family_index"], tuple(r["values"] or ())) for r in storage.with_arrays(rows, run.arrays()).collect()} == {(1, (1.0, 2.0)), (3, ())}
+    wide = spark.createDataFrame([(1, 1, 4, "a", 1.0, 2)], "instance_id long, family_index int, size int, generator string, `metric.x` double, y int")
+    assert storage.numeric_columns(wide) == ["metric.x", "y"] and storage.numeric_columns(wide, "metric.") == ["metric.x"]
