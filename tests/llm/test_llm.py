@@ -5,8 +5,10 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -230,7 +232,7 @@ def test_packing(docs, odd):
             assert all(p["doc_tokens"] == len(want) for p in parts)
             for p in parts:
                 ids = np.frombuffer(p["ids"], "<u4").tolist()
-                assert ids == want[p["start"] : p["start"] + p["length"]] and zlib.crc32(p["ids"]) >= 0
+                assert ids == want[p["start"] : p["start"] + p["length"]]
             assert sum(p["length"] for p in parts) % len(want) == 0
         padding = total = 0
         for parts in by_sequence.values():
@@ -257,7 +259,7 @@ def test_packing_encoders_agree(docs):
     assert packing.alike(queries.BYTE) and fast.quick and not slow.quick
     texts = [*strings(2000), *[t for t in ODD if t], " " * 300_000 + "x", "\n" * 9000, *[r["text"] or "" for r in docs.collect()]]
     assert fast.encode(texts) == slow.encode(texts)
-    assert fast.ends[[fast.tokenizer.token_to_id(t) for t in (".", "!", "Ċ", "ãĢĤ", "ØŁ")]].all() and not fast.ends[fast.tokenizer.token_to_id("a")]
+    assert fast.ends[[fast.tokenizer.token_to_id(t) for t in (".", "!", "Ċ", "ãĢĤ")]].all() and not fast.ends[fast.tokenizer.token_to_id("a")]
 
 
 def test_best_cuts_is_optimal():
@@ -320,6 +322,89 @@ def test_html(spark):
         assert "track(" not in r["text"] and "©" not in r["text"] and r["n_chars"] == len(r["text"])
 
 
+class Article(HTMLParser):
+    """Texts of the headings, paragraphs and items inside article elements, for pages of well-formed markup."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.held, self.found = 0, None, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if self.inside and tag in ("h1", "h2", "p", "li"):
+            self.close_block()
+            self.held = []
+        elif tag == "br" and self.held is not None:
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("h1", "h2", "p", "li", "article"):
+            self.close_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.held is not None:
+            self.held.append(data)
+
+    def close_block(self):
+        if self.held and (text := " ".join("".join(self.held).split())):
+            self.found.append(text)
+        self.held = None
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_html_query_equals_the_articles(spark, sf):
+    folder = SF.replace("sf0.001", sf)
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = queries.op3_html(spark, folder).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        parser = Article()
+        parser.feed(pages[r["page_id"]]["html"])
+        assert r["text"] == "\n\n".join(parser.found) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+
+
+def test_html_frames(spark):
+    rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, None), (3, "u", "", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages).collect())
+    assert got[0] == got[1] == (1, html_text.main_text(PAGE)) and got[2:] == [(2, ""), (3, "")]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_long_pages_take_time_in_proportion():
+    parts = "".join(f"<p>{LINE} {i}</p><div class=related><a href=x>more {i}</a></div>" for i in range(8000))
+    began = time.process_time()
+    text = html_text.main_text(f"<article>{parts}</article>")
+    html_text.main_text("<div><b>" * 8000 + "</p></span></x>" * 8000 + "<p>x" * 8000)
+    assert text.count(LINE) == 8000 and "more" not in text and time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("attribute", ['class="share-of-market"', 'id="legal-history"', 'class="search-and-rescue"'])
+def test_html_names_with_other_words_are_weak(attribute):
+    assert html_text.main_text(f"<article><p>{LINE}</p><div {attribute}><p>{LINE}</p><p>{LINE}</p></div><p>{LINE}</p></article>").count(LINE) == 4
+
+
+@pytest.mark.parametrize("attribute", ["class=comments", 'class="comment-list"', 'id="related-posts"', "role=navigation", 'class="cookie-notice"'])
+def test_html_names_alone_are_strong(attribute):
+    assert html_text.main_text(f"<article><p>{LINE}</p><div {attribute}><p>{LINE}</p><p>{LINE}</p></div><p>{LINE}</p></article>").count(LINE) == 2
+
+
+def test_minimum_cut_is_the_smallest_of_the_minima():
+    draw = random.Random(1)
+    for _ in range(500):
+        n = draw.randrange(1, 8)
+        terminal = [draw.randrange(-5, 6) for _ in range(n)]
+        edges = [(i, j, draw.randrange(4)) for i in range(n) for j in range(i) if draw.random() < 0.5]
+
+        def cost(side, terminal=terminal, edges=edges):
+            return sum(abs(t) for t, s in zip(terminal, side, strict=True) if (t > 0) != s and t) + sum(c for a, b, c in edges if side[a] != side[b])
+
+        best = min((cost(side), sum(side)) for side in ([bool(m >> i & 1) for i in range(n)] for m in range(1 << n)))
+        got = html_text.minimum_cut(terminal, edges)
+        assert (cost(got), sum(got)) == best
+
+
 LINE = "A long sentence of the article that says a lot of things about it."
 
 
@@ -368,23 +453,43 @@ def test_minimum_cut_against_enumeration():
         assert cost(html_text.minimum_cut(terminal, edges)) == best
 
 
-def test_ann_recall_and_odd_vectors(spark):
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors.collect()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall(spark, sf):
+    folder = SF.replace("sf0.001", sf)
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    ids = np.array(list(rows))
+    x = np.stack(list(rows.values()))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     found = {}
-    for r in ann.search(vectors, vectors.where("vec_id % 50 = 0")).collect():
+    for r in queries.op2_ann(spark, folder).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert found.keys() == {i for i in rows if i % 50 == 0}
     hits = total = 0
     for q, got in found.items():
-        score = {i: v @ rows[q] / np.linalg.norm(v) / np.linalg.norm(rows[q]) for i, v in rows.items() if i != q}
+        score = dict(zip(ids.tolist(), (x @ x[list(rows).index(q)]).tolist(), strict=True))
+        del score[q]
         best = sorted(score, key=lambda i: (-score[i], i))[:5]
         assert all(abs(score[i] - s) < 1e-12 for _, i, s in got) and sorted(r for r, _, _ in got) == [1, 2, 3, 4, 5]
         hits, total = hits + len(set(best) & {i for _, i, _ in got}), total + 5
-    assert hits / total >= 0.9
+    assert hits / total >= 0.92
+
+
+def test_ann_odd_vectors(spark):
     odd = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [float("inf"), 1.0]), (8, [1e200, 1e200])], "vec_id long, embedding array<double>")
     got = [tuple(r)[:3] for r in ann.search(odd, odd.where("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 5), (0, 2, 6), (0, 3, 8)]
     assert ann.search(odd.limit(0), odd).count() == 0
+    # null and repeated ids, other lengths, a clashing column
+    more = spark.createDataFrame([(1, [1.0, 0.0], 9), (1, [1.0, 0.0], 9), (None, [1.0, 0.0], 9), (2, [1.0], 9), (3, [0.6, 0.8], 9), (4, [0.0, 1.0], 9)], "vec_id long, embedding array<double>, cell int")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(more, more.where("vec_id = 3")).orderBy("rank").collect()]
+    assert got == [(3, 1, 4), (3, 2, 1), (3, 3, 1)]
+
+
+def test_ann_share_follows_structure():
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(40, 16)) * 20
+    clustered, loose = centres[draw.integers(40, size=3000)] + draw.normal(size=(3000, 16)), draw.normal(size=(3000, 16))
+    assert ann.Index(clustered, 3000).share(clustered, 5, 0.97) < 0.1 < ann.Index(loose, 3000).share(loose, 5, 0.97) <= 1
 
 
 def test_quality_held_out(spark):
@@ -393,6 +498,50 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] == r["quality"] for r in got) / len(got) >= 0.9
 
 
+def test_quality_forward_and_gradient_against_loops(spark):
+    draw = np.random.default_rng(4)
+    model = quality.Model(6, 0.5)
+    x, number, y = draw.normal(size=(7, 6)), np.array([3, 1, 3]), np.array([1.0, 0.0, 1.0])
+
+    def loss(p):
+        out, at = 0.0, 0
+        for n, label in zip(number, y, strict=True):
+            h = [np.tanh(x[i] @ p["w"] + p["b"]) for i in range(at, at + n)]
+            e = np.array([np.exp((np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"])))) @ p["a"]) for v in h])
+            z = sum(w * v for w, v in zip(e / e.sum(), h, strict=True))
+            s = 1 / (1 + np.exp(-(z @ p["s"] + p["c"][0])))
+            out -= (label * np.log(s) + (1 - label) * np.log(1 - s)) / len(y)
+            at += n
+        return out
+
+    score = model.forward(x, number)[-1]
+    assert abs(loss(model.p) + np.mean(y * np.log(score) + (1 - y) * np.log(1 - score))) < 1e-12
+    before = loss(model.p)
+    model.train(x, number, y)
+    assert loss(model.p) < before / 2
+
+
+def test_quality_long_texts_score_as_whole(spark, docs, monkeypatch):
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = [(r["text"] or "").encode() for r in docs.limit(20).collect()]
+    text = b" \n ".join(texts)
+    want = model.forward(*quality.passages_of([text]))[-1]
+    monkeypatch.setattr(quality, "SLICE", 3000)
+    assert len(text) > 6000 and abs(model.score([text])[0] - want[0]) < 1e-9
+    assert [text[a:b] for a, b, _ in quality.slices_of(text)] and b"".join(text[a:b] for a, b, _ in quality.slices_of(text)).strip() == text.strip()
+
+
+def test_quality_with_more_labels_than_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "$$ ### bad") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.trained
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert min(s for i, s in got.items() if i % 2) > max(s for i, s in got.items() if not i % 2)
+    assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
+
+
 def test_quality_edge_cases(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(odd, quality.train(odd, labels)).collect()} == {0.5}
@@ -466,3 +615,80 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     for (key, text), n in brute_pipeline(rows).items():
         want[key, np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()] += n
     assert got == want
+
+
+def test_registered_columns_of_the_tokenizers(spark, docs):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    library = tiktoken_encoding()
+    for r in queries.op4_bpe(spark, SF).collect():
+        ids = np.array(library.encode_ordinary(texts[r["doc_id"]]), "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    pieces = token_counts.pieces_of(queries.PIECES)
+    unigram = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace()
+    assert all(r["n_tokens"] == len(unigram.encode(texts[r["doc_id"]]).ids) for r in queries.op9_token_counts(spark, SF).collect())
+    whole = Tokenizer.from_file(queries.BYTE)
+    pieces, held = queries.op10_packing(spark, SF).collect(), Counter()
+    for p in pieces:
+        ids = np.array([*whole.encode(texts[p["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+        held[p["doc_id"]] += p["length"]
+        assert p["start"] + p["length"] <= len(ids)
+    assert all(held[i] == next(p["doc_tokens"] for p in pieces if p["doc_id"] == i) for i in texts)
+
+
+def test_registered_columns_of_the_joins(spark, docs):
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_components(texts)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op5_ngram_join(spark, SF).collect()} == want
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = queries.op7_warc(spark, SF).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        raw = pages[r["page_id"]]
+        first = min(p for p, b in pages.items() if b == raw)
+        kind = ("response", None) if first == r["page_id"] else ("revisit", first)
+        assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), *kind)
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijklmno", "x", "y", 5, 1), (1, "token = abcdefghijklmno", "x", "y", 5, 1), (2, None, "x", "y", 5, 1)], "doc_id long, text string, blob string, path string, n_tokens long, _both int")
+    none = docs.limit(0)
+    assert secrets.scan(none)[0].count() == 0 and exact_dedup.dedup(none).count() == 0 and token_counts.count_tokens(none, queries.PIECES).count() == 0
+    assert bpe.round_trip(none, queries.MULTI, public_tokenizers.PATTERN).count() == 0
+    assert sorted(len(r["spans"]) for r in secrets.scan(docs)[0].collect()) == [0, 1, 1]
+    assert [(r["n_tokens"] > 0, r["_both"]) for r in token_counts.count_tokens(docs, queries.PIECES).orderBy("doc_id").collect()] == [(True, 1), (True, 1), (False, 1)]
+    both = bpe.round_trip(docs, queries.MULTI, public_tokenizers.PATTERN).collect()
+    assert all(r["_both"] == 1 and bytes(r["decoded"]) == (r["text"] or "").encode() for r in both)
+    assert sorted(r["kept"] for r in exact_dedup.dedup(docs).collect()) == [True, True, True]
+    links = spark.createDataFrame([(1, 1), (None, 2), (3, None)], "a long, b long")
+    assert components.components(links).count() == 0
+
+
+def test_warc_sidecar_and_repeated_pages(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.normalise(warc.write_archives(pages, f"file://{tmp_path}/w"))
+    beside = warc.read_index(index)
+    assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, index.collect()))
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read_records(beside).collect())
+    assert got == [(0, "response", None), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, _key string, _row int, _blob string, _spans int, _score double, component_id int, n_chars long"
+    rows = [(1, "a text with token = abcdefghijklmno inside it", "k", 1, "b", 2, 0.5, 3, 9), (None, None, None, None, None, None, None, None, None), (1, "a text  with token = abcdefghijklmno inside it", "k", 1, "b", 2, 0.5, 3, 9)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.redact):
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {(r["_key"], r["_row"], r["_spans"]) for r in out.collect()} == {("k", 1, 2), (None, None, None)}
+    assert corpus_pipeline.exact(spark, docs, SF).count() == 2 and corpus_pipeline.redact(spark, docs, SF).count() == 3
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
