@@ -17,27 +17,31 @@ CODECS = "raw_bits long, gzip_bits long, zlib_bits long, lzma_bits long, bz2_bit
 RELATIVE = 1e-10
 
 
-def square(values: np.ndarray) -> np.ndarray | None:
-    side = int(round(len(values) ** 0.5))
-    return values.reshape(side, side) if side and side * side == len(values) and np.isfinite(values).all() else None
-
-
-def of_matrix(values) -> tuple:
-    """Null for an array that is no finite square."""
-    m = None if values is None else square(np.asarray(values, dtype=float))
-    if m is None:
-        return (None,) * 7
-    s = np.linalg.svd(m, compute_uv=False)
-    norm = float(np.sqrt((s * s).sum()))
-    return (
-        float(np.trace(m)), norm, float(s[0]), float(s.sum()), float(s[0] / s[-1]) if s[-1] > 0 else None,
-        int((s > RELATIVE * s[0]).sum()) if s[0] > 0 else 0, float(np.linalg.norm(m - m.T) / norm) if norm else None,
-    )
-
-
 def matrix(values: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([of_matrix(v) for v in values], columns=[c.split()[0] for c in MATRIX.split(", ")])
-    return out.astype({"rank": "Int32"})
+    """All arrays of one length at a time. Null for an array that is no finite square."""
+    names = [c.split()[0] for c in MATRIX.split(", ")]
+    out = np.full((len(values), len(names)), None, dtype=object)
+    sizes = np.array([0 if v is None else len(v) for v in values])
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        side = int(round(size**0.5))
+        if side * side != size:
+            continue
+        at = np.flatnonzero(sizes == size)
+        m = np.stack([np.asarray(values.iloc[i], dtype=float) for i in at]).reshape(-1, side, side)
+        good = np.isfinite(m).all((1, 2))
+        at, m = at[good], m[good]
+        if not len(m):
+            continue
+        s = np.linalg.svd(m, compute_uv=False)
+        norm, first, last = np.sqrt((s * s).sum(1)), s[:, 0], s[:, -1]
+        skewed = np.sqrt(((m - m.transpose(0, 2, 1)) ** 2).sum((1, 2)))
+        with np.errstate(all="ignore"):
+            columns = [np.trace(m, axis1=1, axis2=2), norm, first, s.sum(1), first / last, (s > RELATIVE * first[:, None]).sum(1), skewed / norm]
+        for k, column in enumerate(columns):
+            out[at, k] = column.tolist()
+        out[at[last <= 0], names.index("condition")] = None
+        out[at[norm <= 0], names.index("asymmetry")] = None
+    return pd.DataFrame(out, columns=names, index=values.index)
 
 
 def of_codecs(values) -> tuple:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import candidates, relational, storage
 from quarry.operators.registered import FEATURES, FLAT, query, rounded
 from quarry.sources.tables import flat_features, table
+from quarry.streaming.ingest import drained, feature_stream, windowed_counts
 
 ORIGINS = [("quantity", "structural"), ("price", "oracle"), ("discount", "sampled"), ("tax", "structural"), ("target", "outcome")]
 CATALOG_SQL = "c(prefix, origin) AS (VALUES " + ", ".join(f"('{p}', '{o}')" for p, o in ORIGINS) + ")"
@@ -125,3 +126,14 @@ def duplicated_scalar_keys(spark, sf_dir):
 def population_fingerprint(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("keys"), F.bit_xor(F.col("event_id") * 31 + F.col("user_id")).alias("mark"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_counts(spark, sf_dir):
+    """Events read as a stream and counted in windows of an hour."""
+    # a pattern, since the table may be one file or a folder
+    stream = feature_stream(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
+    # a watermark needs an instant; whole hours are the same in the session's time zone
+    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "2 days")
+    hours = drained(counts, ["start", "event_type"], "stream-counts")
+    return rounded(hours.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "total"), 4)

@@ -279,3 +279,15 @@ def test_near_pairs_and_stored_arrays(spark, tmp_path):
     assert {(r["family_index"], tuple(r["values"] or ())) for r in storage.with_arrays(rows, run.arrays()).collect()} == {(1, (1.0, 2.0)), (3, ())}
     wide = spark.createDataFrame([(1, 1, 4, "a", 1.0, 2)], "instance_id long, family_index int, size int, generator string, `metric.x` double, y int")
     assert storage.numeric_columns(wide) == ["metric.x", "y"] and storage.numeric_columns(wide, "metric.") == ["metric.x"]
+
+
+def test_streams_keep_the_last_state(spark, tmp_path):
+    from quarry.streaming.ingest import drained, feature_stream, windowed_counts
+
+    rows = [("2020-01-01 00:00:10", "a", 1.0), ("2020-01-01 05:00:00", "a", 2.0), ("2020-01-02 00:00:00", "b", 4.0)]
+    source = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    for k in range(2):
+        source.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = feature_stream(spark, str(tmp_path / "in"), source.schema)
+    got = drained(windowed_counts(stream, "ts", "1 day", "1 day"), ["start", "event_type"], "test").collect()
+    assert sorted((r["event_type"], r["n"], r["total"]) for r in got) == [("a", 4, 6.0), ("b", 2, 8.0)]
