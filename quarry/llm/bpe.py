@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: Entries kept per worker: memoised words (in each of two generations) and transducer states. When the states are full,
 #: matches run undeterminised where they leave the table; after REFILL such matches for each state it starts anew.
-WORDS, STATES = 400_000, 64_000
+WORDS, STATES = 320_000, 64_000
 REFILL, ROOT = 10, 0
 #: Ids decoded at a time, and signs that words often end with.
 CHUNK, STOPS = 4096, ",.;:!?"
@@ -132,7 +132,7 @@ class Transducer:
         pair = left * SPREAD_TOKENS + right
         rank = self.pairs.get(pair)
         if rank is None:
-            if len(self.pairs) > 4 * STATES:
+            if len(self.pairs) > 2 * STATES:
                 self.pairs.clear()
             rank = self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60)
         return rank
@@ -207,7 +207,7 @@ class Transducer:
                     if full:
                         self.misses += 1
                     else:
-                        if len(self.once) >= 4 * STATES:
+                        if len(self.once) >= STATES:
                             self.once.clear()
                         self.once.add(edge)
                     return self.undetermined(word)
