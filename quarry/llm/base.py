@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, as in single-machine tests, a temporary folder stands in for it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = Path(tempfile.gettempdir(), "quarry-shared").as_uri()
-    elif "://" not in root and root.startswith("/"):
-        root = f"file://{root}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from quarry.sources.steps import shared_path
 
 
 def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
@@ -43,6 +28,14 @@ def filled(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: the name, with as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pow2_at_least(x: float) -> int:
     n = 1
     while n < x:

@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps over a written edge table."""
+"""Connected components by alternating large-star and small-star steps over a written edge table.
+
+Links with a null end, links of an id with itself and repeated links have no effect. No links give an empty result. Ids
+without a link are not in the result.
+"""
 
 from __future__ import annotations
 

@@ -45,8 +45,8 @@ SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLICE, CHUNK_TEXTS, CHUNK_BYTES, SHINGLES_PER_BUCKET = 1 << 20, 8192, 4 << 20, 1 << 20
 #: Texts of one chunk from which a shingle is sent once; the frequency that then stands for it.
 FREQUENT, MANY = 32, 30_000
-#: Largest size up to which subsets are considered.
-LARGEST_SMALL = 48
+#: Largest size up to which subsets are considered: beyond, a set would post more than two thousand.
+LARGEST_SMALL = 256
 #: Members of a list that are compared to all others, by turn, and how their number grows in further turns. All others of a
 #: list are leaders at once where that makes at most FEW pairs for each member.
 LEADERS, GROWTH, FEW = (1, 16), 8, 2

@@ -1,7 +1,8 @@
 """Order-preserving packing into fixed windows by dynamic programming.
 
 The documents of a partition form one stream of tokens in the order of its rows. Cuts may fall at document
-ends, at sentence ends and, where a sentence exceeds the window, inside it. The programme minimises padding
+ends, at every sentence end (a token that ends with a sign of ENDS) and, where a sentence exceeds the window, inside it at
+whole windows from its start; among these places the programme is optimal. The programme minimises padding
 plus a penalty for each cut that is not a document end: the best predecessor of a cut is a sliding-window
 minimum, held by a monotone queue. A window whose length is a power of two needs no padding and is a further
 transition. Long streams are packed in blocks; the last window of a block is carried into the next, so that
