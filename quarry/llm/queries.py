@@ -127,6 +127,25 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN k USING (doc_id)
 """
 
+#: Exact overlaps of all pairs that share a shingle, then components by propagation of the smallest id.
+OP5_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n_shingles + nb.n_shingles - shared)),
+r AS (SELECT a AS doc_id, a AS c FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id AND r.c < l.b),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT doc_id, n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id FROM n LEFT JOIN m USING (doc_id)"""
+
+#: The base-32 digits of a SHA-1 from eight groups of twenty bits.
+OP7_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+c AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(h, CAST(1 + 5 * k AS INTEGER), 5) AS BIGINT)) AS v FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((x >> s) % 32 + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM c"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op1_secrets": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}

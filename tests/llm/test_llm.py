@@ -692,3 +692,12 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_oracle(spark, duck, name):
+    df, want = queries.queries()[name](spark, SF), duck.sql(queries.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert columns == sorted(df.columns)
+    rows = lambda names, found: Counter(tuple(dict(zip(names, r, strict=True))[c] for c in columns) for r in found)
+    assert rows(df.columns, map(tuple, df.collect())) == rows(want.columns, want.fetchall())
