@@ -45,8 +45,8 @@ SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLICE, CHUNK_TEXTS, CHUNK_BYTES, SHINGLES_PER_BUCKET = 1 << 20, 8192, 4 << 20, 1 << 20
 #: Texts of one chunk from which a shingle is sent once; the frequency that then stands for it.
 FREQUENT, MANY = 32, 30_000
-#: Largest size up to which subsets are considered: beyond, a set would post more than two thousand.
-LARGEST_SMALL = 256
+#: Largest size up to which subsets are considered: beyond, a set would post more than a hundred, and each near copy as many.
+LARGEST_SMALL = 48
 #: Members of a list that are compared to all others, by turn, and how their number grows in further turns. All others of a
 #: list are leaders at once where that makes at most FEW pairs for each member.
 LEADERS, GROWTH, FEW = (1, 16), 8, 2
@@ -255,7 +255,9 @@ def boundary(sets: DataFrame) -> int:
 
 
 def posted(sets: DataFrame, small: int) -> DataFrame:
-    """(sig, id, n, place, alone): place is the rank of the first shingle of the signature in the set's order."""
+    """(sig, id, n, place, alone): n - place bounds the overlap of two sets whose first common signature this is. It is the
+    rank of a single shingle in the set's order; of two shingles, the rank of the second less one, since at most the later
+    ones are shared beside both."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,7 +273,7 @@ def posted(sets: DataFrame, small: int) -> DataFrame:
                     pairs = list(combinations(range(min(prefix + 1, len(token))), 2))
                     a, b = np.array(pairs).T
                     low, high = np.minimum(token[a], token[b]), np.maximum(token[a], token[b])
-                    out.append((mixed(mixed(low) * np.uint64(3) + high), alone + a, key, n, alone))
+                    out.append((mixed(mixed(low) * np.uint64(3) + high), alone + b - 1, key, n, alone))
             if out:
                 sizes = [len(x[0]) for x in out]
                 yield pd.DataFrame(
