@@ -20,7 +20,7 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,16 +80,16 @@ class Tokens:
     except for texts that hold the content of an added token or a very long run of white space."""
 
     def __init__(self, path: str, fast: bool | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder().values()
-        self.added = [t.content for t in added]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.added = [t["content"] for t in made["added_tokens"]]
+        vocabulary = made["model"]["vocab"]
+        if not isinstance(vocabulary, dict):
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         bytes_of = {c: bytes([b]) for b, c in alphabet().items()}
         text_of = {i: b"".join([bytes_of.get(c, c.encode()) for c in t]) for t, i in vocabulary.items() if t not in self.added}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends = np.zeros(max([*vocabulary.values(), *[t["id"] for t in made["added_tokens"]]]) + 1, dtype=bool)
         self.ends[[i for i, raw in text_of.items() if raw.endswith(ENDS)]] = True
         self.quick = None
         if alike(path) if fast is None else fast:
@@ -98,9 +98,17 @@ class Tokens:
             ranks = {raw: i for i, raw in text_of.items()}
             self.quick = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when a text first needs it: it is large."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         slow = [self.quick is None or any(a in t for a in self.added) or bool(len(t) > LONG and BLANKS.search(t)) for t in texts]
-        found = self.tokenizer.encode_batch_fast([t for t, s in zip(texts, slow, strict=True) if s], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([t for t, s in zip(texts, slow, strict=True) if s], add_special_tokens=False) if any(slow) else []
         rest = iter(found)
         return [packed(next(rest).ids if s else self.quick(t)) for t, s in zip(texts, slow, strict=True)]
 
