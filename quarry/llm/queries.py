@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, exact_dedup, html_text, ngram_join, packing, quality, secrets, token_counts, warc
-from quarry.llm.base import table
+from quarry.llm import ann, bpe, exact_dedup, html_text, language, ngram_join, packing, periodic, prefix_trie, quality, secrets, token_counts, warc
+from quarry.llm.base import table, written
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,8 +94,49 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.numbered(table(spark, sf_dir, "conversations")), "numbered")
+    own = F.col("conv_id")
+    heads = F.crc32(own.cast("string").cast("binary")) % 6
+    return prefix_trie.build(*prefix_trie.grafted(turns, heads, 5, own - own % 100))
+
+
+def planted(words: list[bytes], h: float | None) -> list[bytes]:
+    """The contract's words of a document: those from a on repeat with period p where its id's checksum h ends in 0."""
+    n = len(words)
+    if not n or h is None or h != h or h % 10:
+        return words
+    g = int(h) // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def run_digest(runs: list[tuple[int, int, int]], collapsed: bytes) -> tuple:
+    top = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    longest = (*top, 1000 * top[1] // top[2]) if top else (None,) * 4
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    return len(runs), *longest, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(collapsed).hexdigest()
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = "n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return periodic.detect(docs, columns, run_digest, planted, with_col=checksum).drop("text")
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", F.coalesce(language.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    own = (op1_secrets, op2_ann, op3_html, op4_bpe, op5_ngram_join, op6_quality, op7_warc, op8_exact_dedup, op9_token_counts, op10_packing)
+    own = (
+        op1_secrets, op2_ann, op3_html, op4_bpe, op5_ngram_join, op6_quality, op7_warc, op8_exact_dedup, op9_token_counts, op10_packing,
+        op11_prefix_trie, op12_periodic, op13_language,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -147,5 +190,23 @@ SELECT page_id, payload_bytes, array_to_string(list_transform(v, lambda x: array
  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM c"""
 
 
+#: Nodes are prefixes of concatenated turn ids of 32 digits; CRC-32 is worked out bit by bit.
+OP11_SQL = """WITH t AS (SELECT conv_id, length(x) AS n, id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos FROM (
+  SELECT conv_id, turn, coalesce(text, '') AS x, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id FROM conversations WHERE conv_id IS NOT NULL)),
+l AS (SELECT conv_id, list(id ORDER BY pos) AS ids, list(n ORDER BY pos) AS ns,
+  CAST(xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(substr(CAST(conv_id AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS BIGINT) % 6 AS h FROM t GROUP BY conv_id),
+r AS (SELECT l.conv_id, list_concat(coalesce(b.ids, [])[1:l.h], l.ids[l.h + 1:]) AS ids, list_concat(coalesce(b.ns, [])[1:l.h], l.ns[l.h + 1:]) AS ns FROM l LEFT JOIN l b ON b.conv_id = l.conv_id - l.conv_id % 100),
+m AS (SELECT conv_id, len(ids) AS size, array_to_string(ids, '') AS whole, ns, unnest(range(0, len(ids) + 1)) AS depth FROM r),
+p AS (SELECT *, substr(whole, 1, CAST(32 * depth AS INTEGER)) AS node FROM m),
+n AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * any_value(ns[depth]) END AS own,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256 FROM p GROUP BY node, depth),
+c AS (SELECT substr(node, 1, CAST(32 * (depth - 1) AS INTEGER)) AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.node = n.node AND c.depth = n.depth),
+a AS (SELECT substr(node, 1, CAST(32 * d AS INTEGER)) AS node, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM (SELECT node, own, n_children, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN a ON a.node = f.node LEFT JOIN n u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.node = substr(f.node, 1, CAST(32 * (f.depth - 1) AS INTEGER))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op11_prefix_trie": OP11_SQL, "op1_secrets": OP1_SQL, "op5_ngram_join": OP5_SQL, "op7_warc": OP7_SQL, "op8_exact_dedup": OP8_SQL}
