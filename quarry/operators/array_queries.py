@@ -5,13 +5,15 @@ The vectors of `embeddings` are the arrays; an instance is a run of SLICES conse
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, finite, slope
-from quarry.operators import candidates, descriptors, matrices, models, recovery, storage
+from quarry.operators import candidates, descriptors, matrices, models, recovery, statistics, storage
 from quarry.operators.registered import VEC, query, rounded
 from quarry.sources.tables import table
 
@@ -310,10 +312,13 @@ def recurrence(slices: DataFrame, withheld: int = 0) -> DataFrame:
 
 @query()
 def recurrence_order(spark, sf_dir):
-    """Slices of low rank: each vector is reduced to its part along the first axes of its instance's place."""
-    wave = lambda r, i, k: F.cos(F.lit(0.1) * (k + 1) * (r * 8 + i))
-    v = F.transform("v", lambda x, i: F.lit(0.0) + wave(F.col("r"), i, F.col("instance_id") % 3))
-    return recurrence(instances(spark, sf_dir).withColumn("v", v), 2)
+    """Slices of low rank: each vector is reduced to its part along the first one to three cosine axes, by its instance's place."""
+    wave = lambda i, k: F.cos(F.lit(math.pi) * (i + F.lit(0.5)) * k / F.size("v"))
+    along = lambda k: F.aggregate(F.transform("v", lambda x, i: x * wave(i, k)), F.lit(0.0), lambda s, x: s + x)
+    parts = [F.when(F.col("instance_id") % 3 >= k, F.col(f"c{k}")).otherwise(0.0) for k in range(3)]
+    reduced = F.transform("v", lambda x, i: parts[0] + parts[1] * wave(i, 1) + parts[2] * wave(i, 2))
+    rows = instances(spark, sf_dir).select("*", *[along(k).alias(f"c{k}") for k in range(3)])
+    return recurrence(rows.withColumn("v", reduced).drop("c0", "c1", "c2"), 2)
 
 
 TEMPLATES = descriptors.template_names()
@@ -341,18 +346,16 @@ def rank_templates(spark, sf_dir):
 @query(INSTANCES + """, n AS (SELECT instance_id, r, v, lead(v) OVER w AS nv, lead(r) OVER w AS nr FROM s WINDOW w AS (PARTITION BY instance_id ORDER BY r))
 SELECT count(*) AS steps, round(corr(v[1], nv[1]), 6) AS r_first, round(regr_slope(nv[1], v[1]), 6) AS slope_first FROM n WHERE nr = r + 1""")
 def consecutive_slices(spark, sf_dir):
-    w = Window.partitionBy("instance_id").orderBy("r")
-    n = instances(spark, sf_dir).withColumn("nv", F.lead("v").over(w)).withColumn("nr", F.lead("r").over(w)).where("nr = r + 1")
-    x, y = F.get("v", F.lit(0)), F.get("nv", F.lit(0))
+    n = statistics.successors(instances(spark, sf_dir), "instance_id", ["r"], ["v", "r"]).where("next_r = r + 1")
+    x, y = F.get("v", F.lit(0)), F.get("next_v", F.lit(0))
     return rounded(n.agg(F.count("*").alias("steps"), F.corr(x, y).alias("r_first"), slope(y, x).alias("slope_first")))
 
 
 @query()
 def state_dynamics(spark, sf_dir):
     """Linear map from each slice to the next by ridge regression on Gram sums; its rank and error."""
-    w = Window.partitionBy("instance_id").orderBy("r")
-    n = instances(spark, sf_dir).withColumn("w", F.lead("v").over(w)).withColumn("nr", F.lead("r").over(w)).where("nr = r + 1")
-    return models.linear_map(n, "v", "w", 1e-2)
+    n = statistics.successors(instances(spark, sf_dir), "instance_id", ["r"], ["v", "r"]).where("next_r = r + 1")
+    return models.linear_map(n, "v", "next_v", 1e-2)
 
 
 @query(VEC + """SELECT vec_id, round(list_sum(list_transform(list_filter(range(0, 64), lambda k: k % 8 >= k // 8), lambda k: v[k + 1])), 5) AS upper_sum, CAST(36 AS INTEGER) AS n_upper FROM e""")

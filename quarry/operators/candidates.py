@@ -1,8 +1,9 @@
 """Scores of many candidate expressions in one pass over the rows.
 
-Every task evaluates all candidates on its batches and keeps centred moments for each candidate and size; one row a
-candidate, size and task is shuffled and merged. r, R2, stability across sizes and extrapolation all come from these
-moments, so the rows are read once whatever the number of candidates.
+Every task evaluates all candidates on its batches and keeps centred moments for each candidate and size. There are as many
+tasks as the cluster runs at once, whatever the size of the input, so that one row a candidate, size and slot is shuffled; the
+rows of a candidate and size are then folded into one, without a list of them. r, R2, stability across sizes and extrapolation
+all come from these moments, so the rows are read once whatever the number of candidates.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import HUGE
 from quarry.plans.expression import Node, applied, evaluated, var
+from quarry.sources.steps import written
 
 __all__ = ["moments", "ranked", "scored", "var"]
 
@@ -54,16 +56,29 @@ def moments(rows: DataFrame, nodes: list[Node], target: str = "target", size: st
             at = [groups.setdefault(k, len(groups)) for k in keys]
             held = np.concatenate([held, np.zeros((len(nodes), len(groups) - held.shape[1], 8))], axis=1)
             held[:, at] = merged(held[:, at], fresh)
+            if held.size > 8 * CELLS:  # many sizes: what is there goes on, and is folded later
+                yield framed(held, groups)
+                groups, held = {}, np.zeros((len(nodes), 0, 8))
         if groups:
-            out = pd.DataFrame(held.reshape(-1, 8), columns=[c.split()[0] for c in MOMENTS.split(", ")][2:])
-            out.insert(0, "place", np.repeat(np.arange(len(nodes)), len(groups)))
-            out.insert(1, "size", pd.array(list(groups) * len(nodes), dtype="Float64"))
-            yield out.astype({"size": "Int64", "seen": "int64", "n": "int64", "huge": bool})
+            yield framed(held, groups)
+
+    def framed(held: np.ndarray, groups: dict) -> pd.DataFrame:
+        out = pd.DataFrame(held.reshape(-1, 8), columns=[c.split()[0] for c in MOMENTS.split(", ")][2:])
+        out.insert(0, "place", np.repeat(np.arange(len(nodes)), len(groups)))
+        out.insert(1, "size", pd.array(list(groups) * len(nodes), dtype="Float64"))
+        return out.astype({"size": "Int64", "seen": "int64", "n": "int64", "huge": bool})
 
     parts = rows.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in names], F.col(target).cast("double").alias("_y"), F.col(size).cast("double").alias("_size"))
-    return pooled(parts.mapInPandas(partial, MOMENTS), ["place", "size"])
+    return pooled(parts.coalesce(slots(rows)).mapInPandas(partial, MOMENTS), ["place", "size"])
+
+
+def slots(df: DataFrame) -> int:
+    """Tasks that the cluster runs at once."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
+#: Candidates times sizes whose moments a task holds at once.
+CELLS = 1 << 20
 #: Values of common parts of candidates that a batch keeps.
 KEPT = 256
 
@@ -122,25 +137,39 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pooled(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Moments over groups of moments: means first, then squares about them, so that nothing cancels."""
-    n = F.col("n")
-    mean = lambda c: F.sum(n * F.col(c)) / F.nullif(F.sum("n"), F.lit(0))
-    group = F.collect_list(F.struct("n", "mx", "my", "xx", "xy", "yy"))  # a task's or a size's row each
-    about = parts.groupBy(*by).agg(
-        F.sum("seen").alias("seen"), F.sum("n").alias("n"), mean("mx").alias("mx"), mean("my").alias("my"), group.alias("g"), F.max("huge").alias("huge")
-    )
-
-    def total(value) -> Column:
-        return F.aggregate("g", F.lit(0.0), lambda s, p: s + value(p))
-
-    dx, dy = (lambda p: p["mx"] - F.coalesce("mx", F.lit(0.0))), (lambda p: p["my"] - F.coalesce("my", F.lit(0.0)))
-    return about.select(
-        *by, "seen", "n", "mx", "my",
-        total(lambda p: p["xx"] + p["n"] * dx(p) * dx(p)).alias("xx"),
-        total(lambda p: p["xy"] + p["n"] * dx(p) * dy(p)).alias("xy"),
-        total(lambda p: p["yy"] + p["n"] * dy(p) * dy(p)).alias("yy"),
-        "huge",
-    )
+    """Moments over groups of moments, folded batch by batch where a group's rows meet: squares about the joint means, so that
+    nothing cancels. Groups may be null."""
+    types = dict(parts.dtypes)
+    names = ["seen", "n", "mx", "my", "xx", "xy", "yy", "huge"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if len(batch):
+                held = combined(batch if held is None else pd.concat([held, batch], ignore_index=True), by)
+        if held is not None:
+            yield held[[*by, *names]]
+
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "seen long, n long, mx double, my double, xx double, xy double, yy double, huge boolean"])
+    return parts.select(*by, *names).repartition(*[F.col(c) for c in by]).mapInPandas(fold, schema)
+
+
+def combined(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """One row of moments for each group of rows of moments."""
+    code = frame.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+    groups = int(code.max()) + 1
+    total = lambda v: np.bincount(code, v, minlength=groups)
+    n = frame["n"].to_numpy(dtype=float)
+    mx, my = frame["mx"].fillna(0).to_numpy(), frame["my"].fillna(0).to_numpy()
+    held = np.maximum(total(n), 1)
+    out = frame.loc[~frame.duplicated(by), by].reset_index(drop=True)
+    out["seen"], out["n"] = total(frame["seen"]).astype("int64"), total(n).astype("int64")
+    out["mx"], out["my"] = total(n * mx) / held, total(n * my) / held
+    dx, dy = mx - out["mx"].to_numpy()[code], my - out["my"].to_numpy()[code]
+    for name, square in (("xx", dx * dx), ("xy", dx * dy), ("yy", dy * dy)):
+        out[name] = total(frame[name].to_numpy() + n * square)
+    out["huge"] = total(frame["huge"].astype(float)) > 0
+    return out
 
 
 def correlation(least: int = 3) -> Column:
@@ -151,15 +180,13 @@ def correlation(least: int = 3) -> Column:
 
 
 def scored(rows: DataFrame, nodes: list[Node], target: str = "target", size: str = "size") -> DataFrame:
-    """(candidate, length, n, r, r2, stability, extrapolation).
+    """(candidate, length, mdl, n, r, r2, stability, extrapolation); mdl is the length plus half the depth.
 
     stability: share of sizes whose r has the sign of the whole, null for fewer than two. extrapolation: R2 on the larger
     half of the sizes of the line fitted on the smaller half; null where either has fewer than three rows, the candidate has
     no spread or is undefined for some row.
     """
-    by_size = moments(rows, nodes, target, size)
-    # few rows: candidates times sizes. They are read several times, and written tables would cost more
-    by_size = by_size.persist()
+    by_size = written(moments(rows, nodes, target, size), "moments")  # read several times
     whole = pooled(by_size, ["place"]).select("place", "n", correlation().alias("r"))
     signs = (
         by_size.where("size IS NOT NULL").select("place", correlation().alias("own")).where("own <> 0").join(whole, "place")
@@ -177,22 +204,55 @@ def scored(rows: DataFrame, nodes: list[Node], target: str = "target", size: str
     left = F.col("yy") - 2 * slope * F.col("xy") + slope * slope * F.col("xx") + F.col("n") * shift * shift
     able = (F.col("a_n") == F.col("a_seen")) & (F.col("n") == F.col("seen")) & (F.col("a_n") >= 3) & (F.col("n") >= 3) & (F.col("a_xx") > 0) & (F.col("yy") > 0)
     beyond = train.join(test, "place").select("place", F.when(able & ~F.col("huge") & ~F.col("a_huge"), 1 - left / F.col("yy")).alias("extrapolation"))
-    names = rows.sparkSession.createDataFrame([(i, str(n), n.size()) for i, n in enumerate(nodes)], "place int, candidate string, length int")
+    names = rows.sparkSession.createDataFrame([(i, str(n), n.size(), n.size() + n.depth() / 2) for i, n in enumerate(nodes)], "place int, candidate string, length int, mdl double")
     return (
         whole.join(names, "place").join(signs, "place", "left").join(beyond, "place", "left")
-        .select("candidate", "length", "n", "r", (F.col("r") * F.col("r")).alias("r2"), "stability", "extrapolation")
+        .select("candidate", "length", "mdl", "n", "r", (F.col("r") * F.col("r")).alias("r2"), "stability", "extrapolation")
     )
 
 
-def ranked(scores: DataFrame, most: int, least_r: float = 0.0) -> DataFrame:
-    """The best candidates: by extrapolation and stability (both at most 1; undefined counts -1), R2, shortness and |r|."""
+def rank_key(scores: DataFrame) -> dict[str, Column]:
+    """Columns to sort by, rising: extrapolation and stability (both at most 1; undefined counts -1) and R2, the largest first,
+    then the shortest (mdl where it is given), |r| and the name."""
     within = lambda c, low: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(1.0))).otherwise(-1.0)
-    key = [
-        F.desc(within("extrapolation", float("-inf"))),
-        F.desc(within("stability", 0.0)),
-        F.desc("r2"), "length", F.desc(F.abs("r")), "candidate",
-    ]
-    return scores.where(F.abs("r") >= least_r).orderBy(*key).limit(most)
+    short = F.col("mdl" if "mdl" in scores.columns else "length").cast("double")
+    return {
+        "k0": -within("extrapolation", float("-inf")), "k1": -within("stability", 0.0), "k2": -F.coalesce("r2", F.lit(-1.0)), "k3": short,
+        "k4": -F.coalesce(F.abs("r"), F.lit(-1.0)), "k5": F.col("candidate"),
+    }
+
+
+def ranked(scores: DataFrame, most: int, least_r: float = 0.0) -> DataFrame:
+    """The best candidates of at least that |r|, by rank_key()."""
+    return scores.where(F.abs("r") >= least_r).orderBy(*rank_key(scores).values()).limit(most)
+
+
+#: Tasks whose heaps one task merges.
+FAN = 16
+
+
+def merged_top(hits: DataFrame, key: list[str], order: dict[str, Column], most: int) -> DataFrame:
+    """The first `most` rows by order (columns without nulls, rising; ties by key), of each key only the first. Every task keeps a
+    heap of its `most` best keys; heaps are merged by a tree of tasks, each of FAN others: a key among the best of all is among the
+    best of its task. At most tasks times `most` rows are shuffled, then a FAN-th of that, and so on."""
+    names = [f"_{n}" for n in order]
+    out = hits.schema
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            held = held.sort_values([*names, *key], kind="stable").drop_duplicates(key).head(most)
+        if held is not None:
+            yield held
+
+    keyed = hits.withColumns({f"_{n}": c for n, c in order.items()})
+    schema = keyed.schema
+    tasks, kept = slots(hits), keyed.coalesce(slots(hits)).mapInPandas(best, schema)
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
+        kept = kept.repartition(tasks).mapInPandas(best, schema)
+    return kept.orderBy(*names, *key).select(out.names)
 
 
 def rediscovered(rows: DataFrame, nodes: list[Node], key: str, target: str = "target", splits: int = 5, share: float = 0.7, seed: int = 0) -> DataFrame:

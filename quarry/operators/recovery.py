@@ -29,13 +29,11 @@ def pair_values(tape: DataFrame, instance: str, x: str, y: str, op: str, modulus
 
 
 def combined(pairs: DataFrame, instance: str, op: str, modulus: int) -> DataFrame:
+    """(instance, value) of pairs (base, other); zeros are dropped, and for ratios, bases that share a factor with the modulus.
+    The modulus is below 2^31, so that products fit a long."""
     base, other = F.col("base"), F.col("other")
     if op == "ratio":
-        # the inverse of each base, where it shares no factor with the modulus
-        inverses = {b: pow(b, -1, modulus) for b in range(modulus) if math.gcd(b, modulus) == 1}
-        table = pairs.sparkSession.createDataFrame(list(inverses.items()), "_r long, _inverse long")
-        pairs = pairs.withColumn("_r", F.pmod(base, F.lit(modulus))).join(F.broadcast(table), "_r")
-        value = F.pmod(F.pmod(other, F.lit(modulus)) * F.col("_inverse"), F.lit(modulus))
+        value = F.pmod(F.pmod(other, F.lit(modulus)) * inverse(base, modulus), F.lit(modulus))
     else:
         value = {
             "xor": base.bitwiseXOR(other),
@@ -45,6 +43,20 @@ def combined(pairs: DataFrame, instance: str, op: str, modulus: int) -> DataFram
     return pairs.select(instance, value.alias("value")).where("value <> 0")
 
 
+def inverse(x: Column, modulus: int) -> Column:
+    """The inverse of x modulo the modulus, null where there is none: Euclid's steps, of which there are at most so many."""
+    most = int(1.4405 * math.log2(max(modulus, 2))) + 2
+    cell = lambda a, b, s, t: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"), s.cast("long").alias("s"), t.cast("long").alias("t"))
+
+    def step(c: Column, _: Column) -> Column:
+        q = (c["a"] - c["a"] % c["b"]) / c["b"]
+        turned = cell(c["b"], c["a"] % c["b"], c["t"], c["s"] - q.cast("long") * c["t"])
+        return F.when(c["b"] == 0, c).otherwise(turned)
+
+    start = cell(F.lit(modulus), F.pmod(x, F.lit(modulus)), F.lit(0), F.lit(1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda c: F.when(c["a"] == 1, F.pmod(c["s"], F.lit(modulus))))
+
+
 def mode(values: DataFrame, instance: str, margin: float | None = None) -> DataFrame:
     """The commonest value of each instance, ties to the smallest; with a margin, null unless it leads the second by so much."""
     counts = values.groupBy(instance, "value").agg(F.count("*").alias("n"))
@@ -122,17 +134,20 @@ def add_to_basis(basis: dict[int, int], value: int) -> None:
 
 def near_groups(tape: DataFrame, instance: str, x: str, y: str, radius: int, bits: int) -> DataFrame:
     """(instance, x, component): points whose labels are within `radius` bits of another's, by connected components; the
-    component is its smallest x. Labels within the radius agree on one of radius + 1 blocks of their bits, so the pairs
-    come from an equi-join on blocks."""
+    component is its smallest x. Points of one label are one, its smallest x, while links are sought: any number of them makes no
+    pairs. Labels within the radius agree on one of radius + 1 blocks of their bits, so pairs of labels come from an equi-join."""
     edges = [bits * k // (radius + 1) for k in range(radius + 2)]
-    blocks = [F.struct(F.lit(k).alias("k"), F.shiftright(F.col(y), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(pairwise(edges))]
-    points = tape.select(F.col(instance).alias("i"), F.col(x).alias("x"), F.col(y).cast("long").alias("y")).distinct()
-    keyed = points.withColumn("block", F.explode(F.array(*blocks)))
+    blocks = [F.struct(F.lit(k).alias("k"), F.shiftright(F.col("y"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(pairwise(edges))]
+    points = written(tape.select(F.col(instance).alias("i"), F.col(x).alias("x"), F.col(y).cast("long").alias("y")).distinct(), "points")
+    labels = written(points.groupBy("i", "y").agg(F.min("x").alias("first"), F.count("*").alias("n")), "point-labels")
+    keyed = labels.select("i", "y", "first", F.explode(F.array(*blocks)).alias("block"))
     a, b = keyed.alias("a"), keyed.alias("b")
     close = F.bit_count(F.col("a.y").bitwiseXOR(F.col("b.y"))) <= radius
-    met = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.x") < F.col("b.x")) & close)
-    links = met.select(F.col("a.i").alias("i"), F.col("a.x").alias("u"), F.col("b.x").alias("v")).distinct()
-    return grouped(links).select(F.col("i").alias(instance), "x", "component")
+    met = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.y") < F.col("b.y")) & close)
+    links = met.select(F.col("a.i").alias("i"), F.col("a.first").alias("u"), F.col("b.first").alias("v")).where("u <> v").distinct()
+    found = grouped(links).withColumnRenamed("x", "first")
+    known = labels.join(found, ["i", "first"], "left").where("n > 1 OR component IS NOT NULL").select("i", "y", F.coalesce("component", "first").alias("component"))
+    return points.join(known, ["i", "y"]).groupBy(F.col("i").alias(instance), "x").agg(F.min("component").alias("component"))
 
 
 def grouped(links: DataFrame) -> DataFrame:

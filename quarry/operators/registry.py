@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import energy, pearson, slope
-from quarry.operators import arrays, candidates, descriptors, matrices, models, recovery, relational, representation, statistics
+from quarry.operators import arrays, candidates, descriptors, matrices, models, recovery, relational, representation, skyline, statistics
 from quarry.operators.registered import FEATURES, FLAT, LONG, QUERIES, SQL, TAPE, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
@@ -408,7 +408,7 @@ def rank_representations(spark, sf_dir):
 @query("""SELECT p_partkey, p_size, round(p_retailprice, 2) AS price FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b
  WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))""")
 def pareto_frontier(spark, sf_dir):
-    best = representation.pareto_frontier(table(spark, sf_dir, "part"), "p_size", "p_retailprice")
+    best = skyline.frontier(table(spark, sf_dir, "part"), ["p_size", "p_retailprice"])
     return best.select("p_partkey", "p_size", F.round("p_retailprice", 2).alias("price"))
 
 
@@ -500,7 +500,7 @@ def codec_sizes(spark, sf_dir):
 
 
 # these register their queries when they are imported
-from quarry.operators import array_queries, recovery_queries, search_queries, storage_queries  # noqa: E402,F401
+from quarry.operators import array_queries, recovery_queries, screen_queries, search_queries, storage_queries  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -71,27 +71,37 @@ def leading_energy(encoded: Column, first: int) -> Column:
     return energy(F.slice(encoded, 1, first)) / F.nullif(energy(encoded), F.lit(0.0))
 
 
-def ranked_encodings(df: DataFrame, vector: str) -> DataFrame:
-    """Per encoding: the mean share of elements needed and the largest error of its inverse, cheapest verified first."""
-    v = F.col(vector)
-    candidates = {
+def encodings(v: Column) -> dict[str, tuple[Column, Column, Column]]:
+    """(encoding, its inverse, extra elements) by name."""
+    return {
         "identity": (v, v, F.lit(0)),
         "difference": (difference(v), undifference(difference(v)), F.lit(0)),
         # a permutation costs an element wherever it does not go on to the next one
         "sorted_permutation": (F.transform(sorted_permutation(v), lambda p: p["x"]), unsorted(sorted_permutation(v)), permutation_breaks(sorted_permutation(v))),
-    }
+    }
+
+
+def encoding_cells(v: Column) -> Column:
+    """Of each encoding: its name, the share of elements needed, the largest error of its inverse."""
     worst = lambda back: F.array_max(F.zip_with(back, v, lambda a, b: F.abs(a - b)))
-    cells = [
-        F.struct(F.lit(name).alias("encoding"), ((complexity(e) + extra) / F.size(v)).alias("share"), worst(back).alias("error"))
-        for name, (e, back, extra) in candidates.items()
-    ]
-    per = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").groupBy("encoding")
+    return F.array(*[
+        F.struct(((complexity(e) + extra) / F.size(v)).alias("share"), F.lit(i).alias("place"), F.lit(name).alias("encoding"), worst(back).alias("error"))
+        for i, (name, (e, back, extra)) in enumerate(encodings(v).items())
+    ])
+
+
+def ranked_encodings(df: DataFrame, vector: str) -> DataFrame:
+    """Per encoding: the mean share of elements needed and the largest error of its inverse, cheapest verified first."""
+    per = df.select(F.explode(encoding_cells(F.col(vector))).alias("c")).select("c.*").groupBy("encoding")
     return per.agg(F.avg("share").alias("share"), (F.max("error") <= 1e-6).alias("verified"), F.count("*").alias("n"))
 
 
-def pareto_frontier(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no other row beats: at most as much in both objectives and less in one."""
-    return frontier(df, [x, y])
+def best_encoding(df: DataFrame, vector: str, tolerance: float = 1e-6) -> DataFrame:
+    """df with the cheapest encoding of each vector whose inverse holds, and its share; ties to the plainer. Null where the
+    vector is null or empty."""
+    verified = F.filter(encoding_cells(F.col("_v")), lambda c: c["error"] <= tolerance)
+    found = df.withColumn("_v", F.col(vector).cast("array<double>")).withColumn("_best", F.array_min(verified))
+    return found.withColumn("encoding", F.col("_best")["encoding"]).withColumn("share", F.col("_best")["share"]).drop("_v", "_best")
 
 
 def canonical(df: DataFrame, by: str, order: list[str], identity: str) -> DataFrame:
@@ -100,37 +110,6 @@ def canonical(df: DataFrame, by: str, order: list[str], identity: str) -> DataFr
     return df.groupBy(by).agg(least).select(by, *[F.col(f"best.{c}").alias(c) for c in [*order, identity]])
 
 
-def frontier(df: DataFrame, objectives: list[str]) -> DataFrame:
-    """Rows that no other row beats in any number of objectives. Each task keeps its own frontier, then the few that are
-    left meet: what a task drops is beaten by one that it keeps."""
-    clean = df.where(" AND ".join(f"{o} IS NOT NULL" for o in objectives))
-    points = clean.select(*[F.col(o).cast("double").alias(o) for o in objectives]).distinct()
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = np.zeros((0, len(objectives)))
-        for batch in batches:
-            kept = undominated(np.concatenate([kept, batch.to_numpy(dtype=float)]))
-        yield pd.DataFrame(kept, columns=objectives)
-
-    schema = ", ".join(f"{o} double" for o in objectives)
-    least = points.mapInPandas(best, schema).coalesce(1).mapInPandas(best, schema).distinct()
-    keys = [F.col(o).cast("double") == F.col(f"_{o}") for o in objectives]
-    return clean.join(F.broadcast(least.toDF(*[f"_{o}" for o in objectives])), keys, "left_semi")
-
-
-def undominated(points: np.ndarray) -> np.ndarray:
-    """Distinct points that no other is at most in all and less in one: in rising order of their sums, each meets those kept."""
-    points = np.unique(points, axis=0)
-    points = points[np.argsort(points.sum(1), kind="stable")]
-    kept: list[np.ndarray] = []
-    held = np.zeros((0, points.shape[1]))
-    for p in points:
-        if not len(held) or not (held <= p).all(1).any():
-            kept.append(p)
-            held = np.array(kept)
-    return held
-
-
 def weighted_score(weights: dict[str, float]) -> Column:
     """Higher is better: the weighted sum of objectives to be small, negated."""
     return -sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
@@ -246,43 +225,147 @@ def fourier(df: DataFrame, vector: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(transform(F.col(vector).cast("array<double>"))).alias("c")).select(*keep, "c.*")
 
 
+def squares(df: DataFrame, vector: str) -> DataFrame:
+    """(v, side): vectors of finite values with their side as a square matrix, 0 for those that are none."""
+    v = F.col(vector).cast("array<double>")
+    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    root = F.round(F.sqrt(F.size("v"))).cast("int")
+    return df.where(usable).select(v.alias("v")).withColumn("side", F.when(root * root == F.size("v"), root).otherwise(0))
+
+
+def stacked(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(side, matrices) of each side in a batch; side 0 has no matrix."""
+    for side, part in batch.groupby("side"):
+        yield int(side), np.stack(part["v"].to_list()).reshape(len(part), side, side) if side else np.zeros((len(part), 0, 0))
+
+
 def structure(df: DataFrame, vector: str, least: float = 0.1) -> DataFrame:
-    """Of vectors as square matrices: the mean singular profile gives an effective rank (singular values above `least` of the
-    first) and whether that is low or one; deviation from the average over reversals; energy off the diagonal in the Fourier
-    basis. (n, effective_rank, low_rank, separable, deviation, conserved, off_diagonal, dual)"""
-    schema = "n long, profile array<double>, deviation double, off_diagonal double"
+    """Of vectors as square matrices, a row for each side: the mean singular profile gives an effective rank (singular values above
+    `least` of the first) and whether that is low (at most half the side, one at least) or one; energy off the diagonal in the
+    Fourier basis. (side, n, effective_rank, low_rank, separable, off_diagonal, dual). Finite vectors that are no square, and
+    empty ones, are counted as side 0."""
+    schema = "side int, n long, profile array<double>, off_diagonal double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for side, m in stacked(batch):
+                own = held.setdefault(side, [0, np.zeros(side), 0.0])
+                own[0] += len(m)
+                if side:
+                    s = np.linalg.svd(m, compute_uv=False)
+                    own[1] += (s / np.maximum(s[:, :1], 1e-300)).sum(0)
+                    norm = np.maximum(np.sqrt((m * m).sum((1, 2))), 1e-300)
+                    f = np.fft.fft(np.eye(side), norm="ortho")
+                    turned = f @ m @ f.conj().T
+                    own[2] += float((np.sqrt((np.abs(turned * ~np.eye(side, dtype=bool)) ** 2).sum((1, 2))) / norm).sum())
+        yield pd.DataFrame([(side, n, list(p), off) for side, (n, p, off) in held.items()], columns=[c.split()[0] for c in schema.split(", ")])
+
+    parts = squares(df, vector).mapInPandas(run, schema)
+    places = parts.select("side", "n", F.posexplode_outer("profile").alias("i", "p")).groupBy("side", "i").agg((F.sum("p") / F.sum("n")).alias("p"))
+    profile = places.groupBy("side").agg(F.count(F.when(F.col("p") > least, 1)).alias("effective_rank"), F.coalesce(F.max(F.when(F.col("i") == 1, F.col("p"))), F.lit(0.0)).alias("second"))
+    sums = parts.groupBy("side").agg(F.sum("n").alias("n"), (F.sum("off_diagonal") / F.sum("n")).alias("off_diagonal"))
+    square = F.col("side") > 0
+    limit = F.greatest(F.lit(1), F.floor(F.col("side") / 2))
+    return sums.join(profile, "side").select(
+        "side", "n", F.when(square, F.col("effective_rank")).alias("effective_rank"), F.when(square, F.col("effective_rank") <= limit).alias("low_rank"),
+        F.when(square, F.col("second") <= least).alias("separable"), F.when(square, F.col("off_diagonal")).alias("off_diagonal"), F.when(square, F.col("off_diagonal") <= 0.05).alias("dual"),
+    )
+
+
+def rotations(n: int) -> list[list[int]]:
+    """The cyclic group on n places."""
+    return [[(i + s) % n for i in range(n)] for s in range(n)]
+
+
+def conservation(df: DataFrame, vector: str, group: Callable[[int], list[list[int]]] = rotations, threshold: float = 0.05) -> DataFrame:
+    """(side, n, elements, deviation, conserved): mean relative distance of square matrices from the average over a group's
+    orbit, rows and columns permuted alike, a row for each side. group: the permutations of so many places, as index lists.
+    A zero matrix deviates by 0. Finite vectors that are no square are counted as side 0."""
+    schema = "side int, n long, elements long, deviation double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, profile, deviation, off = 0, 0.0, 0.0, 0.0
+        tables: dict[int, np.ndarray] = {}
+        held: dict[int, list] = {}
         for batch in batches:
-            sides = batch["v"].map(lambda v: int(round(len(v) ** 0.5)) if round(len(v) ** 0.5) ** 2 == len(v) else 0)
-            side = int(sides.max()) if len(sides) else 0
-            x = [v for v, s in zip(batch["v"], sides, strict=True) if s and s == side]
-            if not x:
-                continue
-            m = np.stack(x).reshape(len(x), side, side)
-            s = np.linalg.svd(m, compute_uv=False)
-            profile = profile + (s / np.maximum(s[:, :1], 1e-300)).sum(0)
-            norm = np.maximum(np.sqrt((m * m).sum((1, 2))), 1e-300)
-            mean = (m + m[:, ::-1, ::-1]) / 2
-            deviation += float((np.sqrt(((m - mean) ** 2).sum((1, 2))) / norm).sum())
-            f = np.fft.fft(np.eye(side), norm="ortho")
-            turned = f @ m @ f.conj().T
-            off += float((np.sqrt((np.abs(turned * ~np.eye(side, dtype=bool)) ** 2).sum((1, 2))) / norm).sum())
-            n += len(m)
-        if n:
-            yield pd.DataFrame([(n, list(np.asarray(profile)), deviation, off)], columns=[c.split()[0] for c in schema.split(", ")])
+            for side, m in stacked(batch):
+                own = held.setdefault(side, [0, 0.0])
+                own[0] += len(m)
+                if side:
+                    if side not in tables:
+                        p = np.asarray(group(side))
+                        tables[side] = (p[:, :, None] * side + p[:, None, :]).reshape(len(p), -1)  # places of the permuted cells
+                    x = m.reshape(len(m), -1)
+                    mean = sum(x[:, cells] for cells in tables[side]) / len(tables[side])
+                    norm = np.sqrt((x * x).sum(1))
+                    own[1] += float((np.sqrt(((x - mean) ** 2).sum(1)) / np.where(norm > 0, norm, 1)).sum())
+        rows = [(side, n, len(tables.get(side, ())), away) for side, (n, away) in held.items()]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    parts = squares(df, vector).mapInPandas(run, schema)
+    mean = F.when(F.col("side") > 0, F.sum("deviation") / F.sum("n"))
+    found = parts.groupBy("side").agg(F.sum("n").alias("n"), F.max("elements").alias("elements"), mean.alias("deviation"))
+    return found.withColumn("conserved", F.col("deviation") <= threshold)
+
+
+def polynomial(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, values, bounds): each row's polynomial through nodes 0, 1, ..., by rising powers; its values at the nodes
+    again, by Horner's rule; and a running bound of the error of these values.
+
+    Divided differences at whole nodes are differences over whole numbers. Every operation adds the rounding of its result to
+    the bound and passes on the bounds of its operands, so that an ill-conditioned length has a large bound, not a wrong claim."""
+    unit = np.finfo(float).eps / 2
+    m, n = x.shape
+    d, e = x.astype(float).copy(), np.zeros((m, n))
+    for k in range(1, n):
+        up = (d[:, k:] - d[:, k - 1 : -1]) / k
+        e[:, k:] = (e[:, k:] + e[:, k - 1 : -1]) / k + 2 * unit * np.abs(up)
+        d[:, k:] = up
+    c, b = np.zeros((m, n)), np.zeros((m, n))
+    for k in range(n - 1, -1, -1):  # times (t - k), plus the difference of order k
+        c2, b2 = np.zeros((m, n)), np.zeros((m, n))
+        c2[:, 1:], b2[:, 1:] = c[:, :-1], b[:, :-1]
+        moved = k * c
+        b2 += k * b + unit * np.abs(moved)
+        c2 -= moved
+        b2 += unit * np.abs(c2)
+        c2[:, 0] += d[:, k]
+        b2[:, 0] += e[:, k] + unit * np.abs(c2[:, 0])
+        c, b = c2, b2
+    t = np.arange(n, dtype=float)
+    value, bound = np.zeros((m, n)), np.zeros((m, n))
+    for k in range(n - 1, -1, -1):
+        product = value * t
+        value = product + c[:, k : k + 1]
+        bound = bound * t + b[:, k : k + 1] + unit * (np.abs(product) + np.abs(value))
+    return c, value, bound
+
+
+def polynomial_roundtrip(df: DataFrame, vector: str, tolerance: float = 1e-6) -> DataFrame:
+    """(length, n, ill_conditioned, verified, error, share): by length of the vectors, how many have an error bound above the
+    tolerance; whether all others come back within it; the largest error of these; and the mean share of coefficients that are
+    not negligible. Vectors that are null, empty or not finite are left out."""
+    schema = "length int, n long, ill_conditioned long, error double, share double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for length, part in batch.groupby(batch["v"].map(len)):
+                x = np.stack(part["v"].to_list())
+                c, back, bound = polynomial(x)
+                sound = bound.max(1) <= tolerance
+                own = held.setdefault(int(length), [0, 0, 0.0, 0.0])
+                own[0] += len(x)
+                own[1] += int((~sound).sum())
+                own[2] = max(own[2], float(np.abs(back - x)[sound].max(initial=0.0)))
+                own[3] += float((np.abs(c) > NEGLIGIBLE).mean(1).sum())
+        yield pd.DataFrame([(k, *v) for k, v in held.items()], columns=[c.split()[0] for c in schema.split(", ")])
 
     v = F.col(vector).cast("array<double>")
-    usable = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     parts = df.where(usable).select(v.alias("v")).mapInPandas(run, schema)
-    places = parts.select("n", F.posexplode("profile").alias("i", "p")).groupBy("i").agg((F.sum("p") / F.sum("n")).alias("p"))
-    profile = places.agg(F.count(F.when(F.col("p") > least, 1)).alias("effective_rank"), F.count("*").alias("side"), F.coalesce(F.max(F.when(F.col("i") == 1, F.col("p"))), F.lit(0.0)).alias("second"))
-    sums = parts.agg(F.sum("n").alias("n"), (F.sum("deviation") / F.sum("n")).alias("deviation"), (F.sum("off_diagonal") / F.sum("n")).alias("off_diagonal"))
-    return sums.join(F.broadcast(profile), on=F.lit(True)).select(
-        "n", "effective_rank", (F.col("effective_rank") <= F.col("side") / 2).alias("low_rank"), (F.col("second") <= least).alias("separable"),
-        "deviation", (F.col("deviation") <= 0.05).alias("conserved"), "off_diagonal", (F.col("off_diagonal") <= 0.05).alias("dual"),
-    )
+    found = parts.groupBy("length").agg(F.sum("n").alias("n"), F.sum("ill_conditioned").alias("ill_conditioned"), F.max("error").alias("error"), (F.sum("share") / F.sum("n")).alias("share"))
+    return found.select("length", "n", "ill_conditioned", (F.col("error") <= tolerance).alias("verified"), "error", "share")
 
 
 def klt(df: DataFrame, vector: str, most: int) -> DataFrame:

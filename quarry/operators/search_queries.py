@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import excess_kurtosis, finite, predictive_r2, regression_r2, skew
-from quarry.operators import candidates, latent, models, representation, statistics, storage
+from quarry.operators import candidates, latent, models, permutation, representation, skyline, statistics, storage
 from quarry.operators.registered import FEATURES, FLAT, LONG, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
@@ -87,16 +87,28 @@ def size_index_baseline(spark, sf_dir):
     return rounded(statistics.size_index_r2(flat_features(spark, sf_dir), "target"), 9)
 
 
-@query("""WITH h AS (SELECT sha256('0:' || CAST(o_orderkey AS VARCHAR)) AS h, o_totalprice AS t, CAST(o_custkey AS DOUBLE) AS c, CAST(o_orderkey AS DOUBLE) AS k FROM orders),
-m AS (SELECT avg(t) AS mt, stddev_pop(t) AS st, avg(c) AS mc, stddev_pop(c) AS sc, avg(k) AS mk, stddev_pop(k) AS sk, count(*) AS n FROM h),
-z AS (SELECT row_number() OVER (ORDER BY h, t, c, k) - 1 AS p, (t - mt) / st AS z, (c - mc) / sc AS c, (k - mk) / sk AS k, n FROM h, m),
-r AS (SELECT r, CASE WHEN r = 0 THEN 0 ELSE 1 + CAST(floor(CAST('0x' || substr(sha256('0:' || CAST(r AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0 * (n - 1)) AS BIGINT) END AS s FROM range(0, 51) t(r), (SELECT n FROM m)),
-x AS (SELECT r, greatest(abs(sum(a.z * b.c) / any_value(a.n)), abs(sum(a.z * b.k) / any_value(a.n))) AS r_max FROM z a, r JOIN z b ON b.p = (a.p + r.s) % a.n GROUP BY r),
-o AS (SELECT r_max AS observed FROM x WHERE r = 0)
-SELECT round(observed, 6) AS observed, round((count(*) FILTER (r_max >= observed) + 1) / 51.0, 6) AS p_value, count(*) AS replicates FROM x, o WHERE r > 0 GROUP BY observed""")
+def bijection_sql(places: str, replicates: int, seed: int = 0) -> str:
+    """CTEs from `places` (p, n) to `moved` (r, p, to): the bijection of permutation.permuted, with four turns of cycle walking."""
+    mix = lambda u: f"(({u}) * ({u}) % 2147483647 * 48271 + 11) % 2147483647"
+    rounds = [f"s AS (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM {places} LIMIT 1), w0 AS (SELECT r, p, p AS o, s.n, a, (s.n + a - 1) // a AS b FROM {places}, s, range(1, {replicates + 1}) t(r))"]
+    for turn in range(4):
+        last = f"w{turn}"
+        rounds.append(f"q{turn}x0 AS (SELECT *, o % b AS low, o // b AS high FROM {last}" + (" WHERE o >= n" if turn else "") + ")")
+        for k in range(0, 6, 2):
+            key = lambda i: mix(f"(r * 2654435 + {i} * 40503 + {seed * 97 + 1}) % 2147483647")
+            rounds.append(f"q{turn}x{k + 1} AS (SELECT * EXCLUDE (high), (high + {mix(f'(low * 1103515 + {key(k)}) % 2147483647')}) % a AS high FROM q{turn}x{k})")
+            rounds.append(f"q{turn}x{k + 2} AS (SELECT * EXCLUDE (low), (low + {mix(f'(high * 1103515 + {key(k + 1)}) % 2147483647')}) % b AS low FROM q{turn}x{k + 1})")
+        after = f"SELECT r, p, high * b + low AS o, n, a, b FROM q{turn}x6"
+        rounds.append(f"w{turn + 1} AS ({after}" + (f" UNION ALL SELECT r, p, o, n, a, b FROM {last} WHERE o < n" if turn else "") + ")")
+    return ", ".join(rounds) + ', moved AS (SELECT r, p, o AS "to" FROM w4 UNION ALL SELECT 0, p, p FROM ' + places + ")"
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey, o_totalprice, o_custkey) - 1 AS p, count(*) OVER () AS n, o_totalprice AS t, CAST(o_custkey AS DOUBLE) AS c, CAST(o_orderkey AS DOUBLE) AS k FROM orders), """
+    + bijection_sql("o", 200) + """, x AS (SELECT r, greatest(abs(corr(a.t, b.c)), abs(corr(a.t, b.k))) AS r_max FROM moved JOIN o a USING (p) JOIN o b ON b.p = "to" GROUP BY r), v AS (SELECT r_max AS observed FROM x WHERE r = 0)
+SELECT round(observed, 6) AS observed, round((count(*) FILTER (r_max >= observed) + 1) / 201.0, 6) AS p_value, count(*) AS replicates FROM x, v WHERE r > 0 GROUP BY observed""")
 def permutation_max(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("t"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
-    return rounded(statistics.permutation_max(orders, ["c", "k"], "t", ["o_orderkey"], 50))
+    return rounded(permutation.permutation_max(orders, ["c", "k"], "t", ["o_orderkey"], 200))
 
 
 @query(LONG + """, m AS (SELECT col, size, median(v) AS med FROM l GROUP BY col, size HAVING median(v) > 0),
@@ -138,12 +150,12 @@ def scores_sql(nodes) -> str:
 @query(scores_sql(METRICS))
 def score_candidates(spark, sf_dir):
     """Ratios, products, chains and unary trees of two columns, scored."""
-    return rounded(candidates.scored(flat_features(spark, sf_dir), METRICS), 5, extrapolation=4)
+    return rounded(candidates.scored(flat_features(spark, sf_dir), METRICS).drop("mdl"), 5, extrapolation=4)
 
 
 @query(scores_sql(ex.chains(FEATURES)))
 def rank_unary_chains(spark, sf_dir):
-    return rounded(candidates.scored(flat_features(spark, sf_dir), ex.chains(FEATURES)), 5, extrapolation=4)
+    return rounded(candidates.scored(flat_features(spark, sf_dir), ex.chains(FEATURES)).drop("mdl"), 5, extrapolation=4)
 
 
 @query()
@@ -213,7 +225,7 @@ def trajectory_fit(spark, sf_dir):
  AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice OR length(b.p_name) < length(a.p_name)))""")
 def pareto_three(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("length", F.length("p_name"))
-    return representation.frontier(part, ["p_size", "p_retailprice", "length"]).select("p_partkey")
+    return skyline.frontier(part, ["p_size", "p_retailprice", "length"]).select("p_partkey")
 
 
 @query("SELECT p_partkey, round(-(0.5 * p_size + 0.25 * length(p_name) + 0.01 * p_retailprice), 4) AS score FROM part")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import HUGE, finite, intercept, pearson, slope
-from quarry.operators.candidates import correlation, pooled, scored, var
+from quarry.operators.candidates import correlation, pooled, scored, slots, var
 from quarry.sources.steps import written
 
 
@@ -36,7 +36,7 @@ def report(rows: DataFrame, columns: list[str], target: str = "target", least: f
 
 
 def pair_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Centred moments of every pair of columns, over the rows where both are finite: one row a task and pair is shuffled."""
+    """Centred moments of every pair of columns, over the rows where both are finite: one row a slot and pair is shuffled."""
     k = len(columns)
     schema = "a int, b int, seen long, n long, mx double, my double, xx double, xy double, yy double, huge boolean"
 
@@ -63,7 +63,7 @@ def pair_moments(rows: DataFrame, columns: list[str]) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b, **cells, "huge": huge[a] | huge[b]}).astype({"n": "int64"})
 
     clean = rows.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    return pooled(clean.mapInPandas(partial, schema), ["a", "b"])
+    return pooled(clean.coalesce(slots(rows)).mapInPandas(partial, schema), ["a", "b"])
 
 
 def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -126,16 +126,56 @@ def successors(rows: DataFrame, by: str, order: list[str], columns: list[str]) -
 
 
 def medians(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """(by..., median, n) of finite values, exactly, whatever the size of a group: equal values are counted first, then the
-    distinct ones are placed in order. Rows whose group is null are left out."""
+    """(by..., median, n) of finite values, exactly, whatever the size of a group."""
+    return quantiles(rows, by, value, 0.5).select(*by, F.col("quantile").alias("median"), "n")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: Column, q: float) -> DataFrame:
+    """(by..., quantile, n) of finite values, exactly, between the two nearest places in proportion: equal values are counted
+    first, then the distinct ones are placed in order, so that no group is held. Rows whose group is null are left out."""
     counted = rows.select(*by, finite(value).alias("v")).dropna().groupBy(*by, "v").agg(F.count("*").alias("held"))
     groups = counted.groupBy(*by).agg(F.sum("held").alias("n"))
     placed = weighted_places(counted, by)
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = F.lit(q) * (F.col("n") - 1)
+    low, high = F.floor(at), F.ceil(at)
     here = placed.join(groups, by) if by else placed.join(F.broadcast(groups), on=F.lit(True))
     inside = lambda k: (F.col("first") <= k) & (k < F.col("first") + F.col("held"))
-    middle = here.where(inside(low) | inside(high)).groupBy(*by, "n")
-    return middle.agg(F.avg("v").alias("median")).select(*by, "median", "n")
+    pick = lambda k: F.max(F.when(inside(k), F.col("v")))
+    near = here.where(inside(low) | inside(high)).groupBy(*by, "n").agg(pick(low).alias("_a"), pick(high).alias("_b"))
+    return near.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - low)).alias("quantile"), "n")
+
+
+#: A key is hot if it holds more than this part of all rows: there are at most so many hot keys.
+HOT = 4096
+
+
+def looked_up(many: DataFrame, few: DataFrame, keys: list[str], held: str) -> DataFrame:
+    """many joined with few (one row a key, with the number of rows that the key holds): the rows of hot keys, which are HOT at
+    most, meet them by a broadcast, others by a shuffle."""
+    total = few.agg(F.sum(held)).first()[0] or 0
+    hot = F.col(held) * HOT > F.lit(total)
+    top = F.broadcast(few.where(hot))
+    return many.join(top, keys).unionByName(many.join(top.select(keys), keys, "left_anti").join(few.where(~hot), keys)).drop(held)
+
+
+def spearman(rows: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:
+    """(by..., n, rho, t): rank correlation over the rows where both are finite, equal values sharing their mean rank, and its t
+    value; null for fewer than three rows or no spread. A value's rank is the count of smaller ones plus half of one more than
+    its equals, from sorted ranges, so that a value that fills a third of the rows is one place. Rows whose group is null are left out."""
+    by = list(by)
+    pairs = rows.select(*by, finite(F.col(x)).alias("a"), finite(F.col(y)).alias("b")).dropna().groupBy(*by, "a", "b").agg(F.count("*").alias("pairs"))
+    pairs = written(pairs, "pairs")
+    counts = pairs.groupBy(*by).agg(F.sum("pairs").alias("n"))
+    for c in ("a", "b"):
+        placed = weighted_places(pairs.groupBy(*by, F.col(c).alias("v")).agg(F.sum("pairs").alias("held")), by)
+        ranked = placed.select(*by, F.col("v").alias(c), (F.col("first") + (F.col("held") + 1) / 2).alias(f"rank_{c}"), "held")
+        pairs = written(looked_up(pairs, written(ranked, "ranked"), [*by, c], "held"), "pairs")
+    pairs = pairs.join(counts, by) if by else pairs.join(F.broadcast(counts), on=F.lit(True))
+    middle = (F.col("n") + 1) / 2  # the mean of ranks
+    w, da, db = F.col("pairs"), F.col("rank_a") - middle, F.col("rank_b") - middle
+    sums = pairs.groupBy(*by, "n").agg(F.sum(w * da * db).alias("ab"), F.sum(w * da * da).alias("aa"), F.sum(w * db * db).alias("bb"))
+    rho = F.when((F.col("n") >= 3) & (F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt("aa") / F.sqrt("bb"))
+    return sums.select(*by, "n", rho.alias("rho"), (rho * F.sqrt((F.col("n") - 2) / F.nullif(1 - rho * rho, F.lit(0.0)))).alias("t"))
 
 
 def weighted_places(counted: DataFrame, by: list[str]) -> DataFrame:
@@ -265,34 +305,10 @@ def permuted_target(rows: DataFrame, target: str, key: list[str], seed: int = 0)
     return a.join(b, "place").drop("place")
 
 
-def permutation_max(rows: DataFrame, columns: list[str], target: str, key: list[str], replicates: int, seed: int = 0) -> DataFrame:
-    """Largest |r| over the columns, and its p value among permutations of the target.
-
-    A permutation pairs the target of one row with the columns of the row that is a keyed shift away in a hashed order, so
-    that only places are joined. The target's places are exploded by replicate; r comes from sums about the means."""
-    ident = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
-    hashed = rows.select(F.sha2(F.concat_ws(":", F.lit(str(seed)), ident), 256).alias("_h"), finite(F.col(target)).alias("t"), *[finite(F.col(c)).alias(c) for c in columns]).dropna()
-    placed = written(ranks(hashed, ["_h", "t", *columns], "by-hash"), "placed")
-    about = placed.agg(
-        F.count("*").alias("n"), F.avg("t").alias("mt"), F.stddev_pop("t").alias("st"),
-        *[f(c).alias(f"{m}_{c}") for c in columns for m, f in (("m", F.avg), ("s", F.stddev_pop))],
-    )
-    x = placed.join(F.broadcast(about), on=F.lit(True))
-    turned = x.select("place", ((F.col("t") - F.col("mt")) / F.col("st")).alias("z"), "n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    # replicate 0 is the observed order
-    shift = F.when(F.col("replicate") == 0, 0).otherwise(1 + F.floor(draw(F.col("replicate"), seed=seed) * (F.col("n") - 1)))
-    turned = turned.select("replicate", "z", F.pmod(F.col("place") + shift, F.col("n")).alias("place"))
-    scaled = x.select("place", "n", *[((F.col(c) - F.col(f"m_{c}")) / F.nullif(f"s_{c}", F.lit(0.0))).alias(c) for c in columns])
-    per = turned.join(scaled, "place").groupBy("replicate").agg(F.array_max(F.array(*[F.abs(F.sum(F.col("z") * F.col(c)) / F.max("n")) for c in columns])).alias("r"))
-    observed = F.max(F.when(F.col("replicate") == 0, F.col("r")))
-    beside = per.join(F.broadcast(per.agg(observed.alias("observed"))), on=F.lit(True)).where("replicate > 0")
-    return beside.groupBy("observed").agg(((F.count(F.when(F.col("r") >= F.col("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p_value"), F.count("*").alias("replicates"))
-
-
 def kmeans(rows: DataFrame, columns: list[str], start: list[list[float]], rounds: int) -> DataFrame:
     """Lloyd's rounds from given centroids on mean-imputed columns: (cluster, size, centroid...). An empty cluster keeps its
     centroid. The centroids are few: they go into the next round's expressions."""
-    clean = imputed(rows, columns, []).persist()
+    clean = written(imputed(rows, columns, []), "imputed")
     centres = [list(map(float, c)) for c in start]
     for _ in range(rounds):
         found = clean.groupBy(nearest(columns, centres).alias("cluster")).agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns]).collect()

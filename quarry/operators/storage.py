@@ -1,11 +1,14 @@
-"""Stored runs as tables: column projection, top-k retention, merging, campaigns, clean copies, counts and resets.
+"""Stored runs as tables: keyed commits and sealed versions, column projection, top-k retention, merging, campaigns, clean copies.
 
-A run is a folder with a table of feature rows; rows are identified by instance_id and family_index. Appends go to the log
-folder, sealed rows to the shard folder, and both are read together. Writes go to a new folder and are then the run's.
+A run is a folder with a table of feature rows; rows are identified by instance_id and family_index. Appends go to the log,
+sealed rows to shards, and both are read together.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,49 +18,112 @@ KEY = ["instance_id", "family_index"]
 
 
 class Run:
-    """A run's tables under one folder of the shared store."""
+    """A run's tables under one folder of the shared store.
+
+    Appended rows are commits: folders of a part, such as log/<key>. Sealed rows are versions: shard/<number>. A pointer file,
+    pointer/<number>, names the shard of that number and the commits of the log that it holds; the largest number is the run's
+    state. Commits, versions and pointers are written under staging/ and come into being by one rename each, so a job that stops
+    between any two steps leaves the state as it was, and a repeat adds nothing: a commit whose key is there, or sealed, is
+    done, and a version that no pointer names is written anew. Sealed keys stay in the pointer: one short text a commit.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def table(self, part: str) -> DataFrame | None:
-        """The part's table; None where nothing was written."""
-        folder = f"{self.path}/{part}"
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        place = jvm.Path(folder)
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
-            return None
-        return self.spark.read.option("mergeSchema", True).parquet(folder)
-
-    def append(self, rows: DataFrame, part: str = "log") -> None:
-        rows.write.mode("append").parquet(f"{self.path}/{part}")
+        self.jvm = spark._jvm.org.apache.hadoop.fs
+
+    def at(self, name: str):
+        """(file system, place) of a name in the run's folder."""
+        place = self.jvm.Path(f"{self.path}/{name}" if name else self.path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def names(self, folder: str) -> list[str]:
+        files, place = self.at(folder)
+        return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+    def moved(self, staged: str, name: str) -> bool:
+        """Renames what was staged; False where the name is taken."""
+        files, place = self.at(name)
+        files.mkdirs(place.getParent())
+        return not files.exists(place) and files.rename(self.at(staged)[1], place)
+
+    def staged(self, rows: DataFrame) -> str:
+        name = f"staging/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def state(self) -> tuple[int, list[str]]:
+        """(number of the shard, keys of the commits that it holds); (0, []) before the first seal."""
+        numbers = [int(n) for n in self.names("pointer") if n.isdigit()]
+        if not numbers:
+            return 0, []
+        text = self.spark.read.text(f"{self.path}/pointer/{max(numbers)}", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def append(self, rows: DataFrame, part: str = "log", key: str | None = None) -> None:
+        """A commit of rows; with a key, only the first of that key counts."""
+        key = key or uuid.uuid4().hex
+        if key in self.names(part) or (part == "log" and key in self.state()[1]):
+            return
+        staged = self.staged(rows)
+        if not self.moved(staged, f"{part}/{key}"):
+            self.reset(staged)
+
+    def persist(self, rows: DataFrame, arrays: DataFrame | None, key: str) -> None:
+        """Instance rows and their arrays under one key; arrays first, so that no row that is there lacks them."""
+        if arrays is not None:
+            self.append(arrays.select(*KEY, "values"), "arrays", key)
+        self.append(rows, "log", key)
+
+    def table(self, part: str, but: list[str] = ()) -> DataFrame | None:
+        """The part's commits, without those named in `but`; None where there are none."""
+        kept = [f"{self.path}/{part}/{n}" for n in self.names(part) if n not in set(but)]
+        return self.spark.read.option("mergeSchema", True).parquet(*kept) if kept else None
+
+    def shard(self) -> DataFrame | None:
+        number, _ = self.state()
+        return self.spark.read.parquet(f"{self.path}/shard/{number}") if number else None
 
     def seal(self) -> None:
-        """All rows that the run has become the shard; the log starts anew."""
-        rows = self.features()
-        if rows is not None:
-            rows.write.mode("error").parquet(f"{self.path}/next")
-            self.reset("shard", "log")
-            self.append(self.spark.read.parquet(f"{self.path}/next"), "shard")
-            self.reset("next")
+        """All rows that the run has become a new shard. Readers follow the pointer; the last shard stays until vacuum()."""
+        number, sealed = self.state()
+        fresh = [n for n in self.names("log") if n not in set(sealed)]
+        if not fresh:
+            return
+        self.reset(f"shard/{number + 1}")  # of a seal that stopped before its pointer
+        if not self.moved(self.staged(self.features()), f"shard/{number + 1}"):
+            raise RuntimeError(f"shard {number + 1} is being sealed by another job")
+        staged = f"staging/{uuid.uuid4().hex}"
+        files, place = self.at(staged)
+        out = files.create(place)
+        out.write(bytearray(json.dumps([*sealed, *fresh]).encode()))
+        out.close()
+        if not self.moved(staged, f"pointer/{number + 1}"):
+            raise RuntimeError(f"shard {number + 1} was sealed by another job")
+
+    def vacuum(self) -> None:
+        """Removes what is not part of the state: sealed commits, older shards and pointers, leftovers of stopped jobs. No other
+        job may be reading or writing the run."""
+        number, sealed = self.state()
+        old = [f"{p}/{n}" for p in ("shard", "pointer") for n in self.names(p) if n != str(number)]
+        self.reset("staging", *[f"log/{n}" for n in self.names("log") if n in set(sealed)], *old)
 
     def features(self) -> DataFrame | None:
         """Sealed rows, and logged rows that are not sealed."""
-        shard, log = self.table("shard"), self.table("log")
+        _, sealed = self.state()
+        shard, log = self.shard(), self.table("log", sealed)
         if shard is None or log is None:
             return log if shard is None else shard
         return union_sealed_and_log(shard, log, KEY)
 
     def reset(self, *parts: str) -> None:
         """Removes parts of the run: all of it if none is named."""
-        jvm = self.spark._jvm.org.apache.hadoop.fs
-        for folder in [f"{self.path}/{p}" for p in parts] or [self.path]:
-            place = jvm.Path(folder)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        for name in parts or ("",):
+            files, place = self.at(name)
+            files.delete(place, True)
 
-    def save_arrays(self, arrays: DataFrame) -> None:
+    def save_arrays(self, arrays: DataFrame, key: str | None = None) -> None:
         """Appends arrays (instance_id, family_index, values)."""
-        self.append(arrays.select(*KEY, "values"), "arrays")
+        self.append(arrays.select(*KEY, "values"), "arrays", key)
 
     def arrays(self) -> DataFrame:
         found = self.table("arrays")

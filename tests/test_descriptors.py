@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import array_queries, candidates, descriptors, matrices, models, representation
+from quarry.operators import array_queries, candidates, descriptors, matrices, models, representation, skyline
 from quarry.plans import expression as ex
 
 DRAW = np.random.default_rng(7)
@@ -209,7 +209,7 @@ def test_frontier_equals_brute_force(spark):
     df = spark.createDataFrame(points, "i int, x int, y int, z int").repartition(4)
     whole = [p for p in points if None not in p]
     want = {a[0] for a in whole if not any(all(q <= p for p, q in zip(a[1:], b[1:], strict=True)) and b[1:] != a[1:] for b in whole)}
-    assert {r["i"] for r in representation.frontier(df, ["x", "y", "z"]).collect()} == want
+    assert {r["i"] for r in skyline.frontier(df, ["x", "y", "z"]).collect()} == want
 
 
 def test_linear_map_and_pursuit(spark):
@@ -240,10 +240,12 @@ def test_principal_codes_equal_numpy(spark):
 
 def test_structure_of_rank_one_matrices(spark):
     rows = [(np.outer(DRAW.normal(size=4), DRAW.normal(size=4)).ravel().tolist(),) for _ in range(10)] + [(None,), ([1.0, 2.0],)]
-    got = representation.structure(spark.createDataFrame(rows, "v array<double>"), "v").first()
-    assert got["n"] == 10 and got["effective_rank"] == 1 and got["separable"] and got["low_rank"] and not got["conserved"]
+    rows += [([2.0],)] * 3 + [(DRAW.normal(size=9).tolist(),)]  # other sides have rows of their own
+    got = {r["side"]: r for r in representation.structure(spark.createDataFrame(rows, "v array<double>").repartition(3), "v").collect()}
+    assert {k: r["n"] for k, r in got.items()} == {0: 1, 1: 3, 3: 1, 4: 10} and got[0]["low_rank"] is None
+    assert got[4]["effective_rank"] == 1 and got[4]["separable"] and got[4]["low_rank"] and got[1]["low_rank"]
     even = representation.structure(spark.createDataFrame([([1.0] * 16,)], "v array<double>"), "v").first()
-    assert even["conserved"] and even["dual"]
+    assert even["dual"]
 
 
 def test_cost_of_unknown_stage(spark):

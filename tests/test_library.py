@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import recovery, relational, statistics, storage
+from quarry.operators import permutation, recovery, relational, statistics, storage
 from quarry.sources.steps import shared_path
 
 DRAW = random.Random(11)
@@ -43,7 +43,7 @@ def test_permutation_keeps_the_multiset(spark):
 def test_permutation_max_tells_signal_from_noise(spark):
     rows = [(i, float(i % 23), DRAW.random(), 2.0 * (i % 23) + DRAW.random()) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, x double, y double, t double")
-    strong, weak = statistics.permutation_max(df, ["x", "y"], "t", ["k"], 30).first(), statistics.permutation_max(df, ["y"], "t", ["k"], 30).first()
+    strong, weak = permutation.permutation_max(df, ["x", "y"], "t", ["k"], 30).first(), permutation.permutation_max(df, ["y"], "t", ["k"], 30).first()
     assert abs(strong["observed"] - np.corrcoef([r[1] for r in rows], [r[3] for r in rows])[0, 1]) < 1e-9
     assert strong["p_value"] == 1 / 31 and weak["p_value"] > 1 / 31
 

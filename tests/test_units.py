@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import gini, pearson
-from quarry.operators import arrays, statistics
+from quarry.operators import arrays, skyline, statistics
 from quarry.plans import expression as ex
 from quarry.streaming.ingest import feature_stream, windowed_counts
 
@@ -95,7 +95,7 @@ def test_pareto_frontier_equals_brute_force(spark):
     df = spark.createDataFrame(points, "i int, x int, y int")
     whole = [p for p in points if None not in p]
     want = {a[0] for a in whole if not any(b[1] <= a[1] and b[2] <= a[2] and b[1:] != a[1:] for b in whole)}
-    assert {r["i"] for r in representation.pareto_frontier(df, "x", "y").collect()} == want
+    assert {r["i"] for r in skyline.frontier(df, ["x", "y"]).collect()} == want
 
 
 def test_difference_is_undone(spark):
