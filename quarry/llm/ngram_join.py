@@ -45,6 +45,10 @@ SIZE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SLICE, CHUNK_TEXTS, CHUNK_BYTES, SHINGLES_PER_BUCKET = 1 << 20, 8192, 4 << 20, 1 << 20
 #: Texts of one chunk from which a shingle is sent once; the frequency that then stands for it.
 FREQUENT, MANY = 32, 30_000
+#: Partitions that buckets are dealt over, at most; a partition takes its buckets one after the other.
+PARTITIONS = 20_000
+#: Rows sent at once, with SLICE bytes at most.
+ROWS = 4096
 #: Largest size up to which subsets are considered: beyond, a set would post more than a hundred, and each near copy as many.
 LARGEST_SMALL = 48
 #: Members of a list that are compared to all others, by turn, and how their number grows in further turns. All others of a
@@ -138,20 +142,19 @@ def sent(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
         bucket = (tokens & np.uint64(buckets - 1)).astype(np.int64)
         place = np.lexsort((doc, bucket))
         place = place[~often[place]]
-        edges = np.searchsorted(bucket[place], np.arange(buckets + 1))
         flagged = tokens[first[count >= FREQUENT]]
         flagged_bucket = (flagged & np.uint64(buckets - 1)).astype(np.int64)
-        for b in range(buckets):
-            own = place[edges[b] : edges[b + 1]]
-            flags = flagged[flagged_bucket == b]
-            if len(own) or len(flags):
-                # runs of texts: number of the text and how many of its shingles follow
-                d = doc[own]
-                starts = np.flatnonzero(np.diff(d.astype(np.int32), prepend=-1) != 0)
-                runs = np.diff(np.append(starts, len(d)))
-                yield 1, chunk, b, packed(
-                    d[starts], runs.astype("<u4"), *narrow(tokens[own] >> np.uint64(16)), *narrow(flags >> np.uint64(16))
-                )
+        flagged, flagged_bucket = (x[np.argsort(flagged_bucket, kind="stable")] for x in (flagged, flagged_bucket))
+        # buckets that occur, whatever their number: the work is that of the chunk's shingles
+        there = np.union1d(bucket[place], flagged_bucket)
+        cut = lambda sorted_: zip(np.searchsorted(sorted_, there), np.searchsorted(sorted_, there, "right"), strict=True)
+        for b, (a, z), (fa, fz) in zip(there.tolist(), cut(bucket[place]), cut(flagged_bucket), strict=True):
+            own, flags = place[a:z], flagged[fa:fz]
+            # runs of texts: number of the text and how many of its shingles follow
+            d = doc[own]
+            starts = np.flatnonzero(np.diff(d.astype(np.int32), prepend=-1) != 0)
+            runs = np.diff(np.append(starts, len(d)))
+            yield 1, chunk, b, packed(d[starts], runs.astype("<u4"), *narrow(tokens[own] >> np.uint64(16)), *narrow(flags >> np.uint64(16)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId() << 32, 0
@@ -161,8 +164,15 @@ def sent(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
         held = 0
 
         def close() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
             for row in emit(part + number, keys, sets):
-                yield pa.RecordBatch.from_pylist([dict(zip(("kind", "chunk", "bucket", "data"), row, strict=True))], KINDS)
+                rows.append(row)
+                size += len(row[3])
+                if len(rows) >= ROWS or size >= SLICE:
+                    yield record(rows)
+                    rows, size = [], 0
+            if rows:
+                yield record(rows)
 
         for _, texts in slices(batches):
             h, at = shingles_of(texts, SIZE)
@@ -188,6 +198,10 @@ def sent(docs: DataFrame, text_col: str, buckets: int) -> DataFrame:
 KINDS = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
+def record(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS.types, strict=True)], schema=KINDS)
+
+
 def reply(group: pd.DataFrame) -> pd.DataFrame:
     """For one bucket: each chunk's shingles that occur in more than one text, with their frequency."""
     passed = group.loc[group["kind"] != 1, ["kind", "chunk", "data"]]
@@ -402,7 +416,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     parts = max(8, total // DOCS_PER_FILE)
     chunks = (
         sent(docs, text_col, buckets)
-        .repartition(buckets, "bucket")
+        .repartition(min(buckets, PARTITIONS), "bucket")
         .groupBy("bucket")
         .applyInPandas(reply, "kind int, chunk long, data binary")
     )

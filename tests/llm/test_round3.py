@@ -221,3 +221,17 @@ def test_language_on_odd_tables(spark):
     one = df.where("lang = 'de'")
     assert {r["lang_pred"] for r in language.predict(df, language.train(one)).collect()} == {"und", "de"}
     assert language.train(df.limit(0)) is None and language.predict(df.limit(0), None).count() == 0
+
+
+def test_ngram_join_with_more_buckets_than_shingles(spark, docs, monkeypatch):
+    from quarry.llm import ngram_join
+
+    want = sorted(map(tuple, ngram_join.join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "SHINGLES_PER_BUCKET", 1 / 64)
+    monkeypatch.setattr(ngram_join, "PARTITIONS", 6)
+    assert sorted(map(tuple, ngram_join.join(docs).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
