@@ -11,7 +11,9 @@ block becomes one space, blocks are joined in page order by an empty line. Pages
 A tag whose quotes do not pair ends at its first '>'. Hidden is what has the attribute hidden, aria-hidden=true or an
 inline style of display:none or visibility:hidden; html and body never are. Class names and ids only weigh, less where
 other words stand beside them, and text and neighbours can outweigh them: main, an article that is not nested in another
-one, and within layout wrappers a content name set the weight anew. Time grows in proportion to a page's size.
+one, role=main, and within layout wrappers a content name set the weight anew. Where nothing would be kept, a form, header or
+name of a wrapper (not of adverts, comments, navigation and the like) that holds the page's words was wrong: the page is cut
+again without it. Time grows in proportion to a page's size.
 Repeated rows are treated alike; extra columns pass through, and the output column replaces one of the same name.
 """
 
@@ -78,6 +80,17 @@ INVISIBLE, UNRENDERED = 1, 2
 #: Classifier weights of a boilerplate name, and what a weak sign adds. Text and neighbours can outweigh both.
 NAME_CUE, WEAK_CUE = -4.5, -2.0
 CONTENT_NAMES = frozenset("article body content entry main maincontent post story text prose".split())
+#: Names of what is never the page's text. Other names, forms and headers are wrong about a page that has no text besides.
+STRICT_NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies gdpr masthead menu
+    menus nav navbar navigation newsletter outbrain pager pagination popup promo promoted promotion recommended related replies reply
+    respond shoutbox sidebar sidebars social sponsor sponsored subscribe subscription taboola toolbar footer footnav""".split()
+)
+#: Words of a block outside the kept ones that speak against a wrapper, and how many wrappers may be wrong in turn.
+TELLING, WRAPPERS = 30, 6
+#: What notices and forms say, in texts of fewer than SHORT words.
+PHRASES = re.compile(r"\b(?:cookies?|newsletter|subscribe|sign (?:in|up)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored|leave a (?:comment|reply)|share this)\b", re.I)
+SHORT = 60
 
 
 @dataclass(slots=True)
@@ -91,6 +104,7 @@ class Element:
     article: bool
     hidden: int = 0
     nested: bool = False  # inside an article element, or one itself
+    soft: bool | None = None  # made boilerplate here by a sign that may be wrong (True) or not (False)
     parent: Element | None = None
     block: Element | None = None  # this element or the nearest above it that is not inline
 
@@ -153,35 +167,42 @@ def hidden_by(attributes: dict[str, str], above: int) -> int:
     return INVISIBLE if visibility == "hidden" else 0 if visibility == "visible" else above
 
 
-def opened(tag: str, attributes: str, parent: Element, number: int) -> Element:
-    """Weight of an element: the innermost sign counts; in boilerplate only signs of the page's own text do."""
-    cue, boiler, hidden = parent.cue, parent.boiler, parent.hidden
+def opened(tag: str, attributes: str, parent: Element, number: int, plain: frozenset[int] = frozenset()) -> Element:
+    """Weight of an element: the innermost sign counts; in boilerplate only signs of the page's own text do. plain: elements whose
+    signs of boilerplate don't count."""
+    cue, boiler, hidden, soft = parent.cue, parent.boiler, parent.hidden, None
     article = parent.article or tag in ("article", "main")
     names: set[str] = set()
     weak = False
     if attributes and tag not in ("html", "body"):
         found = attributes_of(attributes)
         (names, weak), hidden = names_of(found), hidden_by(found, hidden)
+        article = article or found.get("role", "").strip().lower() == "main"
+        tag_like = "main" if found.get("role", "").strip().lower() == "main" else tag
+    else:
+        tag_like = tag
     own = names & BOILER_NAMES
-    if tag == "main":
+    if number in plain:
+        pass
+    elif tag_like == "main":
         cue, boiler = 4.0, 0
     elif tag == "article":
         if not boiler or (boiler != MEANT and not parent.nested and MINOR_NAMES.isdisjoint(names)):
             cue, boiler = 4.0, 0
     elif tag in BOILER_TAGS or (tag == "header" and not parent.article):
         kind = LAYOUT if tag in ("form", "fieldset", "header") else MEANT
-        cue, boiler = -6.0, max(boiler, kind)
+        cue, boiler, soft = -6.0, max(boiler, kind), kind == LAYOUT and STRICT_NAMES.isdisjoint(names)
     elif own and not (parent.article and names <= {"header", "byline", "content", "article", "entry", "post"}):
-        cue, boiler = min(cue, NAME_CUE), max(boiler, LAYOUT if own <= LAYOUT_NAMES else NAMED)
+        cue, boiler, soft = min(cue, NAME_CUE), max(boiler, LAYOUT if own <= LAYOUT_NAMES else NAMED), STRICT_NAMES.isdisjoint(own)
     elif weak:
         cue = min(cue, max(cue + WEAK_CUE, NAME_CUE))
     elif boiler <= LAYOUT and not CONTENT_NAMES.isdisjoint(names):
         cue = max(cue, 0.0 if boiler else 2.0)
     nested = parent.nested or tag == "article"
-    return Element(tag, number, parent.depth + 1, cue, boiler, parent.link or tag == "a", article, hidden, nested, parent)
+    return Element(tag, number, parent.depth + 1, cue, boiler, parent.link or tag == "a", article, hidden, nested, soft, parent)
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str, plain: frozenset[int] = frozenset()) -> list[Block]:
     root = Element("", 0, 0, 0.0, 0, False, False)
     top, out, parts, linked, tag = root, [], [], 0, ""
     container = root
@@ -249,12 +270,15 @@ def blocks_of(page: str) -> list[Block]:
                         top = top.parent
         n += 1
         if not found.group(3).endswith("/"):
-            top = opened(name, found.group(3), top, n)
+            top = opened(name, found.group(3), top, n, plain)
             open_tags[name] += 1
     end_block()
     return out
 
 
+NEUTRAL = 0.0
+
+
 def score(block: Block) -> float:
     """Classifier: positive for content. The weights are fixed; see the module's tests for what they separate."""
     text, cue = block.text, -6.0 if block.container.hidden else block.container.cue
@@ -266,12 +290,15 @@ def score(block: Block) -> float:
     value -= 3.0 * min(1.0, links) * (1.0 if words < 30 else 0.5)
     value += {"p": 0.8, "h1": 0.8, "h2": 0.3, "h3": 0.3, "blockquote": 0.6, "pre": 0.6, "li": -0.3}.get(block.tag, 0.0)
     if "©" in text or "all rights reserved" in text.lower():
-        value -= 3.0
-    return value
+        return value - 5.0
+    if words < SHORT and PHRASES.search(text):
+        return value - 3.5
+    # a short text without links is no sign of boilerplate: its neighbours decide
+    return max(value, NEUTRAL) if cue >= 0 and links < 0.2 else value
 
 
-def apart(a: Element, b: Element) -> int:
-    """Steps between two elements of the tree."""
+def apart(a: Element, b: Element) -> tuple[int, Element]:
+    """Steps between two elements of the tree, and the nearest element that holds both."""
     steps = 0
     while a is not b:
         if a.depth >= b.depth:
@@ -279,7 +306,15 @@ def apart(a: Element, b: Element) -> int:
         else:
             b = b.parent
         steps += 1
-    return steps
+    return steps, a
+
+
+def bond(a: Element, b: Element) -> int:
+    """Smoothness of two successive blocks: it falls with the distance. Within one container of the same weight, headings, items,
+    cells and paragraphs belong together."""
+    steps, holder = apart(a, b)
+    together = a.cue == b.cue and steps <= 6 and (steps <= 2 or holder.tag not in ("", "html", "body"))
+    return round((500 if together else 120) / (1 + steps))
 
 
 def minimum_cut(terminal: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -372,8 +407,7 @@ def label(blocks: list[Block]) -> None:
         block.score = score(block)
         terminal.append(round(100 * block.score))
         if i:
-            distance = apart(blocks[i - 1].container, block.container)
-            edges.append((i - 1, i, round(120 / (1 + distance))))
+            edges.append((i - 1, i, bond(blocks[i - 1].container, block.container)))
         holder = block.container.parent or block.container
         before = latest.get(holder.number)
         if before is not None and before < i - 1:
@@ -390,11 +424,40 @@ def label(blocks: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks, plain = blocks_of(page), frozenset()
     label(blocks)
+    for _ in range(WRAPPERS):
+        wrong = mistaken(blocks)
+        if wrong is None:
+            break
+        plain |= {wrong}
+        blocks = blocks_of(page, plain)
+        label(blocks)
     return "\n\n".join(b.text for b in blocks if b.kept)
 
 
+def mistaken(blocks: list[Block]) -> int | None:
+    """The wrapper whose sign of boilerplate must be wrong: where no block of a dozen words is kept, the outermost element with a
+    sign that may be wrong, and none inside it that can't be, that holds most words outside links; None if they are few."""
+    words = lambda b: b.text.count(" ") + 1
+    if any(b.kept and words(b) >= 12 and 2 * b.linked < len(b.text) for b in blocks):
+        return None
+    held: Counter[int] = Counter()
+    for b in blocks:
+        if words(b) < 12 or 2 * b.linked >= len(b.text) or b.container.hidden or PHRASES.search(b.text):
+            continue
+        at, outermost = b.container, None
+        while at is not None and at.soft is not False:
+            outermost = at.number if at.soft else outermost
+            at = at.parent
+        if at is None and outermost is not None:
+            held[outermost] += words(b)
+    if not held:
+        return None
+    number, most = max(held.items(), key=lambda x: (x[1], -x[0]))
+    return number if most >= TELLING else None
+
+
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with the main text of each page."""
 
