@@ -500,7 +500,7 @@ def codec_sizes(spark, sf_dir):
 
 
 # these register their queries when they are imported
-from quarry.operators import array_queries, recovery_queries, screen_queries, search_queries, storage_queries  # noqa: E402,F401
+from quarry.operators import array_queries, record_queries, recovery_queries, screen_queries, search_queries, storage_queries  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

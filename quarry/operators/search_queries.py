@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import excess_kurtosis, finite, predictive_r2, regression_r2, skew
-from quarry.operators import candidates, latent, models, permutation, representation, skyline, statistics, storage
+from quarry.operators import candidates, latent, models, permutation, promotion, representation, skyline, statistics, storage
 from quarry.operators.registered import FEATURES, FLAT, LONG, VEC, query, rounded, safe_r
 from quarry.plans import expression as ex
 from quarry.sources.tables import flat_features, table
@@ -40,10 +40,7 @@ def cross_size_report(spark, sf_dir):
 
 @query(REPORT + ", t AS (SELECT * FROM o LEFT JOIN g ON o.col = g.col WHERE abs(r) >= 0.02) SELECT round(median(st), 6) AS median_stability, count(*) FILTER (abs(r) >= 0.5 AND st >= 0.75) >= 0.75 * count(*) FILTER (abs(r) >= 0.5) AND count(*) FILTER (abs(r) >= 0.5) > 0 AS stable FROM t")
 def stability_summary(spark, sf_dir):
-    top = statistics.report(flat_features(spark, sf_dir), FEATURES, least=0.02).where("place <= 20")
-    strong = F.count(F.when(F.abs("r") >= 0.5, 1))
-    held = F.count(F.when((F.abs("r") >= 0.5) & (F.col("stability") >= 0.75), 1))
-    return rounded(top.agg(F.median("stability").alias("median_stability"), ((held >= 0.75 * strong) & (strong > 0)).alias("stable")))
+    return rounded(promotion.stability_summary(statistics.report(flat_features(spark, sf_dir), FEATURES, least=0.02)))
 
 
 TOP = ["target", "price"]
@@ -74,11 +71,7 @@ def kmeans_clusters(spark, sf_dir):
 @query(FLAT + """, s AS (SELECT avg(price) AS mu, stddev_pop(price) AS sd FROM f), k AS (SELECT CASE WHEN price < 50000 THEN 0 ELSE 1 END AS cluster, target FROM f),
 c AS (SELECT cluster, avg(target) AS m, count(*) AS n FROM k GROUP BY cluster) SELECT round(abs(max(m) - min(m)) / (SELECT stddev_pop(target) FROM f), 6) AS separation, abs(max(m) - min(m)) / (SELECT stddev_pop(target) FROM f) >= 0.75 AS separated FROM c""")
 def cluster_separation(spark, sf_dir):
-    rows = flat_features(spark, sf_dir)
-    means = rows.groupBy(statistics.nearest(["price"], [[20000.0], [80000.0]]).alias("cluster")).agg(F.avg("target").alias("m"), F.count("*").alias("n"), F.var_pop("target").alias("v"))
-    whole = F.sqrt(F.sum(F.col("n") * (F.col("v") + F.col("m") * F.col("m"))) / F.sum("n") - F.pow(F.sum(F.col("n") * F.col("m")) / F.sum("n"), 2))
-    gap = (F.max("m") - F.min("m")) / whole
-    return rounded(means.agg(gap.alias("separation"), (gap >= 0.75).alias("separated")))
+    return rounded(promotion.cluster_separation(flat_features(spark, sf_dir), statistics.nearest(["price"], [[20000.0], [80000.0]]), "target"))
 
 
 @query(FLAT + """, m AS (SELECT count(*) AS n, var_pop(target) AS yy, var_pop(size) AS aa, var_pop(family_index) AS bb, covar_pop(size, family_index) AS ab, covar_pop(size, target) AS ay, covar_pop(family_index, target) AS b FROM f)
@@ -167,21 +160,20 @@ def rank_expressions(spark, sf_dir):
 
 @query("SELECT p_brand, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS best, max(p_retailprice) AS fitness, CAST(floor(p_size / 10) AS BIGINT) AS bucket FROM part GROUP BY p_brand, floor(p_size / 10)")
 def elite_archive(spark, sf_dir):
-    part = table(spark, sf_dir, "part").withColumn("bucket", F.floor(F.col("p_size") / 10))
-    return part.groupBy("p_brand", "bucket").agg(F.max(F.struct("p_retailprice", (-F.col("p_partkey")).alias("k"))).alias("e")).select("p_brand", (-F.col("e.k")).alias("best"), F.col("e.p_retailprice").alias("fitness"), "bucket")
+    found = promotion.elite_archive(table(spark, sf_dir, "part"), {"p_size": 10.0}, "p_retailprice", "p_partkey", ["p_brand"])
+    return found.withColumnRenamed("bucket_p_size", "bucket")
 
 
 @query("SELECT lower(regexp_replace(p_name, '\\s+', '', 'g')) AS form, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL")
 def canonical_forms(spark, sf_dir):
-    form = F.lower(F.regexp_replace("p_name", r"\s+", ""))
-    return table(spark, sf_dir, "part").groupBy(form.alias("form")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    return promotion.forms(table(spark, sf_dir, "part"), "p_name", "p_partkey")
 
 
 @query("WITH d AS (SELECT p_size || '::' || p_type AS key, p_retailprice AS score, p_partkey FROM part) SELECT key, p_partkey, round(score, 2) AS score FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, p_partkey) = 1 ORDER BY score DESC, key LIMIT 25")
 def promoted(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.concat_ws("::", F.col("p_size").cast("string"), "p_type").alias("key"), F.struct((-F.col("p_retailprice")).alias("s"), "p_partkey").alias("row"))
-    best = part.groupBy("key").agg(F.min("row").alias("row"))
-    return best.select("key", "row.p_partkey", F.round(-F.col("row.s"), 2).alias("score")).orderBy(F.desc("score"), "key").limit(25)
+    hits = table(spark, sf_dir, "part").select(F.concat_ws("::", F.col("p_size").cast("string"), "p_type").alias("key"), "p_partkey", "p_retailprice")
+    best = candidates.merged_top(hits, ["key"], {"score": -F.col("p_retailprice"), "part": F.col("p_partkey")}, 25)
+    return best.select("key", "p_partkey", F.round("p_retailprice", 2).alias("score"))
 
 
 PAIRS = [("quantity", "price"), ("quantity", "tax"), ("price", "discount")]

@@ -8,13 +8,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.operators.relational import audited, union_sealed_and_log
 
 KEY = ["instance_id", "family_index"]
+#: Parts of a run beside its feature rows, with their columns; the first ones, up to the number, are the key.
+PARTS = {
+    "instances": ("instance_id string, domain_id string, size int, seed long, params map<string,double>", 1),
+    "instance_features": ("instance_id string, size int, generator string, scalars map<string,double>", 1),
+    "reports": ("instance_id string, representation string, complexity double, status string", 2),
+}
 
 
 class Run:
@@ -115,6 +123,31 @@ class Run:
             return log if shard is None else shard
         return union_sealed_and_log(shard, log, KEY)
 
+    def put(self, part: str, rows: DataFrame, key: str | None = None) -> None:
+        """A commit of rows of a typed part: a missing column or another type raises, and so does a null in the key, before
+        anything is there to read."""
+        wanted, keys = StructType.fromDDL(PARTS[part][0]), PARTS[part][1]
+        have = {f.name: f.dataType for f in rows.schema}
+        wrong = [f"{f.name}: {have[f.name].simpleString() if f.name in have else 'missing'}, not {f.dataType.simpleString()}" for f in wanted if have.get(f.name) != f.dataType]
+        if wrong:
+            raise TypeError(f"{part}: " + "; ".join(wrong))
+        names = wanted.names
+        checked = [F.coalesce(F.col(c), F.raise_error(F.lit(f"{part} without {c}")).cast(wanted[c].dataType)).alias(c) for c in names[:keys]]
+        self.append(rows.select(*checked, *names[keys:]), part, key)
+
+    def get(self, part: str) -> DataFrame:
+        """The typed part: of rows with one key the one of the first commit by name, whatever the order of files."""
+        wanted, keys = StructType.fromDDL(PARTS[part][0]), PARTS[part][1]
+        commits = self.names(part)
+        if not commits:
+            return self.spark.createDataFrame([], wanted)
+        rows = reduce(DataFrame.union, [self.spark.read.schema(wanted).parquet(f"{self.path}/{part}/{c}").withColumn("_commit", F.lit(c)) for c in commits])
+        names = wanted.names
+        # of equal keys in one commit the smallest by its text: maps have no order
+        order = F.struct("_commit", F.to_json(F.struct(*names)))
+        first = F.min_by(F.struct(*names[keys:]), order).alias("row")
+        return rows.groupBy(*names[:keys]).agg(first).select(*names[:keys], *[F.col("row")[c].alias(c) for c in names[keys:]])
+
     def reset(self, *parts: str) -> None:
         """Removes parts of the run: all of it if none is named."""
         for name in parts or ("",):
@@ -186,12 +219,15 @@ def clean(rows: DataFrame, target: str, catalog: DataFrame) -> DataFrame:
 
 
 def manifest(runs: dict[str, DataFrame]) -> DataFrame:
-    """Per run: rows, instances, sizes and a fingerprint of the rows that does not depend on their order."""
+    """Per run: rows, instances, sizes, a fingerprint of the rows and a mark of their keys; neither depends on the rows' order. The
+    mark is the sum of 60-bit digests of the keys' text."""
     rows = merged_runs(runs)
     columns = [c for c in rows.columns if c != "run_id"]
+    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in KEY])
+    digest = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return rows.groupBy("run_id").agg(
         F.count("*").alias("rows"), F.countDistinct("instance_id").alias("instances"), F.countDistinct("size").alias("sizes"),
-        F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"),
+        F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"), F.sum(digest).cast("string").alias("mark"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import candidates, relational, storage
+from quarry.operators import candidates, promotion, relational, storage
 from quarry.operators.registered import FEATURES, FLAT, query, rounded
 from quarry.sources.tables import flat_features, table
 from quarry.streaming.ingest import drained, feature_stream, windowed_counts
@@ -48,7 +48,7 @@ def clean_run(spark, sf_dir):
     return storage.clean(flat_features(spark, sf_dir), "target", catalog(spark))
 
 
-@query(FLAT + ", r AS (SELECT generator AS run_id, * FROM f) SELECT run_id, count(*) AS rows, count(DISTINCT instance_id) AS instances, count(DISTINCT size) AS sizes FROM r GROUP BY run_id")
+@query(FLAT + ", r AS (SELECT generator AS run_id, * FROM f) SELECT run_id, count(*) AS rows, count(DISTINCT instance_id) AS instances, count(DISTINCT size) AS sizes, CAST(sum(CAST('0x' || substr(sha256(instance_id || ':' || family_index), 1, 15) AS HUGEINT)) AS VARCHAR) AS mark FROM r GROUP BY run_id")
 def dataset_manifest(spark, sf_dir):
     rows = flat_features(spark, sf_dir)
     return storage.manifest({g: rows.where(F.col("generator") == g) for g in ("A", "N", "R")}).drop("fingerprint")
@@ -122,10 +122,9 @@ def duplicated_scalar_keys(spark, sf_dir):
     return relational.duplicated_scalars(slices, scalars.withColumnRenamed("scalars", "descriptors"), "instance_id", "descriptors")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT event_id) AS keys, bit_xor(event_id * 31 + user_id) AS mark FROM events")
+@query("SELECT count(*) AS rows, sha256(array_to_string(list_concat(['event_id'], list_sort(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props'])), chr(31))) AS columns, CAST(sum(CAST('0x' || substr(sha256('=' || event_id), 1, 15) AS HUGEINT)) AS VARCHAR) AS mark FROM events")
 def population_fingerprint(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("keys"), F.bit_xor(F.col("event_id") * 31 + F.col("user_id")).alias("mark"))
+    return promotion.population(table(spark, sf_dir, "events"), "event_id")
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -351,3 +351,20 @@ def test_rows_never_lack_their_arrays(spark, tmp_path):
     assert run.features().count() == 1 and run.arrays().count() == 1
     run.reset()
     assert run.features() is None and run.arrays().count() == 0
+
+
+def test_typed_parts_check_columns_and_keys(spark, tmp_path):
+    run = storage.Run(spark, str(tmp_path / "run"))
+    assert run.get("instances").count() == 0
+    schema = "instance_id string, domain_id string, size int, seed long, params map<string,double>"
+    rows = spark.createDataFrame([("a", "tsp", 4, 1, {"x": 1.0}), ("a", "tsp", 4, 1, {"x": 1.0}), ("b", "tsp", None, 2, None)], schema)
+    for _ in range(2):
+        run.put("instances", rows, "one")
+    run.put("instances", spark.createDataFrame([("a", "late", 9, 9, None)], schema), "two")
+    got = {r["instance_id"]: (r["domain_id"], r["size"], r["params"]) for r in run.get("instances").collect()}
+    assert got == {"a": ("tsp", 4, {"x": 1.0}), "b": ("tsp", None, None)}
+    with pytest.raises(TypeError, match="size: bigint, not int; seed: missing"):
+        run.put("instances", rows.withColumn("size", F.lit(1).cast("long")).drop("seed"))
+    with pytest.raises(Exception, match="reports without representation"):
+        run.put("reports", spark.createDataFrame([("a", None, 1.0, "verified")], "instance_id string, representation string, complexity double, status string"), "bad")
+    assert run.get("reports").count() == 0 and run.names("reports") == []
