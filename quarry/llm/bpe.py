@@ -5,8 +5,7 @@ hypotheses: for every place where the last token may still begin, the tokens bef
 since. A byte extends each; a hypothesis whose bytes form a token closes if that token may follow the
 one before it, which holds exactly when merging the two tokens' bytes gives the same two tokens again.
 Tokens on which all hypotheses agree are emitted, so lookahead is bounded by the longest token. States
-and transitions are made when met for the second time and kept in bounded tables; a match that leaves them is run
-undeterminised, by the automaton that lists the tokens ending at each byte, and makes no states.
+and transitions are made when first met; when the table is full it starts anew, so that every match runs through it.
 
 Null text counts as empty: no ids, empty bytes. Texts of any length are encoded whole. Repeated rows are
 encoded alike; extra columns pass through, and an output column replaces one of the same name.
@@ -16,22 +15,22 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries kept per worker: memoised words (in each of two generations) and transducer states. When the states are full,
-#: matches run undeterminised where they leave the table; after REFILL such matches for each state it starts anew.
-WORDS, STATES = 320_000, 64_000
-REFILL, ROOT = 10, 0
+#: Entries kept per worker: memoised words (in each of two generations) and transducer states.
+WORDS, STATES = 320_000, 128_000
+ROOT = 0
+ESCAPE = "surrogateescape"
 #: Ids decoded at a time, and signs that words often end with.
 CHUNK, STOPS = 4096, ",.;:!?"
 #: Pairs of numbers are dictionary keys as a * SPREAD + b. Shifts would leave only b in the low bits, which choose the slot.
@@ -61,11 +60,6 @@ class Transducer:
                     self.token.append(-1)
                     self.inner.append(False)
             self.token[node] = rank
-        #: lists the tokens that end at each place of a string of bytes
-        self.ending = ahocorasick.Automaton()
-        for text, rank in ranks.items():
-            self.ending.add_word(text.decode("latin-1"), (len(text), rank))
-        self.ending.make_automaton()
         self.pairs: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | tuple[()] | None] = {}
@@ -76,8 +70,6 @@ class Transducer:
         self.states: list[tuple] = []
         self.final: list[tuple[int, ...]] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.once: set[int] = set()  # transitions met once
-        self.misses = 0
         self.state((-1, (((), ROOT),)))
 
     def merged(self, text: bytes, until: int = 1) -> list[int]:
@@ -132,7 +124,7 @@ class Transducer:
         pair = left * SPREAD_TOKENS + right
         rank = self.pairs.get(pair)
         if rank is None:
-            if len(self.pairs) > 2 * STATES:
+            if len(self.pairs) > STATES:
                 self.pairs.clear()
             rank = self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], 1 << 60)
         return rank
@@ -146,6 +138,12 @@ class Transducer:
             self.final.append(chain if node == ROOT else ())
         return number
 
+    def renewed(self, at: int) -> int:
+        """An empty table that holds the state `at`; its new number."""
+        key = self.states[at]
+        self.reset()
+        return self.state(key)
+
     def advance(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, opened, emitted = self.moved(*self.states[at], byte)
         return self.state((before, tuple(opened))), emitted
@@ -165,7 +163,7 @@ class Transducer:
                     pair = last * SPREAD_TOKENS + token
                     fits = fits_of.get(pair)
                     if fits is None:
-                        if len(fits_of) > 4 * STATES:
+                        if len(fits_of) > 2 * STATES:
                             fits_of.clear()
                         fits = fits_of[pair] = self.may_follow(last, token)
                     if fits:
@@ -195,22 +193,14 @@ class Transducer:
         """Ids of one match of the split pattern."""
         if word in self.ranks:  # the library looks a whole match up before it merges
             return [self.ranks[word]]
-        if self.misses > REFILL * STATES:
-            self.reset()
         at, out, step = 0, [], self.step
         for byte in word:
             edge = at * SPREAD + byte
             move = step.get(edge)
             if move is None:
-                full = len(self.states) >= STATES
-                if full or edge not in self.once:
-                    if full:
-                        self.misses += 1
-                    else:
-                        if len(self.once) >= STATES:
-                            self.once.clear()
-                        self.once.add(edge)
-                    return self.undetermined(word)
+                if len(self.states) >= STATES:
+                    at = self.renewed(at)
+                    edge, step = at * SPREAD + byte, self.step
                 move = step[edge] = self.advance(at, byte)
             at, emitted = move
             if emitted:
@@ -218,27 +208,6 @@ class Transducer:
         out += self.final[at]
         return out
 
-    def undetermined(self, word: bytes) -> list[int]:
-        """Ids of a match without states: for every place the one token that ends there and may follow what is before."""
-        fits_of, last = self.fits, [-1] * (len(word) + 1)
-        for end, (size, token) in self.ending.iter(word.decode("latin-1")):
-            if last[end + 1] >= 0:
-                continue
-            before = last[end + 1 - size]
-            pair = before * SPREAD_TOKENS + token
-            fits = fits_of.get(pair)
-            if fits is None:
-                if len(fits_of) > 4 * STATES:
-                    fits_of.clear()
-                fits = fits_of[pair] = self.may_follow(before, token)
-            if fits:
-                last[end + 1] = token
-        out, at, bytes_of = [], len(word), self.bytes_of
-        while at:
-            out.append(last[at])
-            at -= len(bytes_of[last[at]])
-        return out[::-1]
-
 
 def packed(ids: list[int]) -> bytes:
     return (np.array(ids, "<u4") if sys.byteorder == "big" else array("I", ids)).tobytes()
@@ -281,6 +250,9 @@ class Encoder:
         self.heads = Memo(self.by_pattern, WORDS // 8)
         self.words = Memo(self.after_blank)
         self.newline = self.by_pattern("\n")
+        # the tables hold no cycles: collections would walk them often and free nothing
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
 
     def by_match(self, match: str) -> bytes:
         return packed(self.transducer.run(match.encode()))
@@ -324,9 +296,10 @@ class Decoder:
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
-    def stream(self, chunks: Iterable[bytes]) -> Iterator[str]:
-        """Text as chunks of packed ids arrive; a character cut by a chunk's end waits for its other bytes."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+    def stream(self, chunks: Iterable[bytes], errors: str = "replace") -> Iterator[str]:
+        """Text as chunks of packed ids arrive; a character cut by a chunk's end waits for its other bytes. errors: what stands
+        for bytes that are no UTF-8; with surrogateescape they can be had back."""
+        state = codecs.getincrementaldecoder("utf-8")(errors)
         for packed in chunks:
             yield state.decode(self.decode(packed))
         yield state.decode(b"", final=True)
@@ -379,7 +352,7 @@ def round_trip(
         of, stream = encoder(ranks_path, pattern).encode, decoder(ranks_path).stream
         for texts in batches:
             ids = [of(t) if t else b"" for t in texts]
-            back = ["".join(stream(x[i : i + 4 * CHUNK] for i in range(0, len(x), 4 * CHUNK))).encode() if x else b"" for x in ids]
+            back = ["".join(stream((x[i : i + 4 * CHUNK] for i in range(0, len(x), 4 * CHUNK)), ESCAPE)).encode(errors=ESCAPE) if x else b"" for x in ids]
             yield pd.DataFrame({"ids": ids, "decoded": back}, index=texts.index, dtype=object)
 
     held = "_both"
