@@ -69,16 +69,16 @@ def gzipped(data: bytes) -> bytes:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """Chunks of the content of a gzip stream, of one member or many."""
+    """Chunks of the content of a gzip stream, of one member or many: CHUNK bytes at most, however well it is packed."""
     stream = zlib.decompressobj(31)
     while data := source.read(CHUNK):
         while data:
             if stream.eof:
                 stream = zlib.decompressobj(31)
-            yield stream.decompress(data)
-            data = stream.unused_data
-    if not stream.eof:
-        yield stream.flush()
+            yield stream.decompress(data, CHUNK)
+            data = stream.unconsumed_tail or stream.unused_data
+    while not stream.eof and (rest := stream.decompress(b"", CHUNK)):
+        yield rest
 
 
 def headers_of(head: bytes) -> dict[str, str]:

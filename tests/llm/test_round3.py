@@ -235,3 +235,49 @@ def test_ngram_join_with_more_buckets_than_shingles(spark, docs, monkeypatch):
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_every_match_runs_through_states(monkeypatch, docs):
+    import public_tokenizers
+
+    from quarry.llm import bpe
+
+    machine = bpe.Transducer(bpe.read_ranks(queries.MULTI))
+    made, asked = [0], [0]
+    advance = machine.advance
+    monkeypatch.setattr(machine, "advance", lambda at, byte: (made.__setitem__(0, made[0] + 1), advance(at, byte))[1])
+    import regex
+
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    words = {m.encode() for r in docs.limit(150).collect() for m in split(r["text"] or "")} - machine.ranks.keys()
+    for w in words:
+        asked[0] += len(w)
+        assert b"".join(machine.bytes_of[i] for i in machine.run(w)) == w
+    # each byte follows a transition: made once, or there already
+    assert len(words) > 1000 and made[0] == len(machine.step) and made[0] < asked[0] / 2
+    monkeypatch.setattr(bpe, "STATES", 50)
+    long = bytes(random.Random(8).choices(range(97, 123), k=20_000))
+    assert b"".join(machine.bytes_of[i] for i in machine.run(long)) == long and len(machine.states) <= 51
+
+
+def test_stream_gives_bytes_that_are_no_text():
+    from quarry.llm import bpe
+
+    decoder, ranks = bpe.decoder(queries.MULTI), bpe.read_ranks(queries.MULTI)
+    raw = bytes(random.Random(9).choices(range(256), k=3000))
+    ids = bpe.packed([ranks[raw[i : i + 1]] for i in range(len(raw))])
+    chunks = lambda: (ids[i : i + 28] for i in range(0, len(ids), 28))
+    assert "".join(decoder.stream(chunks(), bpe.ESCAPE)).encode(errors=bpe.ESCAPE) == raw
+    assert "".join(decoder.stream(chunks())) == raw.decode(errors="replace")
+
+
+def test_inflation_is_bounded():
+    import gzip
+    import io
+
+    from quarry.llm import warc
+
+    whole = b"\0" * 50_000_000 + bytes(random.Random(1).choices(range(256), k=100_000)) + b"a" * 7
+    packed = gzip.compress(whole) + gzip.compress(b"second") + gzip.compress(b"")
+    pieces = list(warc.inflated(io.BytesIO(packed)))
+    assert b"".join(pieces) == whole + b"second" and max(map(len, pieces)) <= warc.CHUNK
