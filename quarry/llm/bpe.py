@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries kept per worker: memoised words (in each of two generations) and transducer states.
-WORDS, STATES = 320_000, 128_000
-ROOT = 0
+WORDS, STATES = 320_000, 192_000
+ROOT, SETTLED = 0, -2
 ESCAPE = "surrogateescape"
 #: Ids decoded at a time, and signs that words often end with.
 CHUNK, STOPS = 4096, ",.;:!?"
@@ -130,6 +130,11 @@ class Transducer:
         return rank
 
     def state(self, key: tuple) -> int:
+        for chain, _ in key[1]:
+            if not chain:
+                break
+        else:  # every hypothesis holds a token that comes after the last one emitted, which decides nothing more
+            key = (SETTLED, key[1])
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
