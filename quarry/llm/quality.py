@@ -3,7 +3,7 @@
 A document is a bag of passages of PASSAGE words. Each passage is described by hashed words and by shape (repetition,
 case, symbols, word lengths), encoded by a learned layer, weighted by learned gated attention, and the weighted sum is
 scored. Document labels alone train it, on a bounded sample: the SAMPLE labelled documents with the smallest hashes of
-their ids, outside the held-out part.
+their ids, outside the held-out part, as far as they have at most SAMPLE_PASSAGES passages together.
 
 Whole texts are scored, of any length: long ones in slices, whose attention is merged. Null counts as empty; an empty text is one passage without words. Labels that
 are null or belong to no document are ignored; where there are no usable labels, or one class only, scores are that
@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.base import written
 from quarry.llm.wordhash import words_of
 
 PASSAGE, HASHED, SHAPE = 96, 256, 14
-SAMPLE, HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 3000, 24, 12, 250, 0.02, 1e-3, 5
+SAMPLE, SAMPLE_PASSAGES, HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 3000, 100_000, 24, 12, 250, 0.02, 1e-3, 5
 THRESHOLD = 0.7
 #: Texts described at once, in bytes.
 SLICE = 1 << 20
@@ -201,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = own.where(~F.coalesce(held_out("id"), F.lit(True)))
     # labels of documents that are there, before the bound is set: only ids are shuffled
     own = own.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    own = own.withColumn("place", F.xxhash64("id"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own), "id")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,9 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 rows = np.split(x.astype(np.float32), np.cumsum(number)[:-1])
                 own = batch.iloc[at : at + len(texts)]
                 at += len(texts)
-                yield pd.DataFrame({"id": own["id"], "label": own["label"], "x": [r.tobytes() for r in rows]})
+                yield pd.DataFrame({"id": own["id"], "label": own["label"], "x": [r.tobytes() for r in rows], "passages": number, "place": own["place"]})
 
-    seen = rows.mapInPandas(describe, "id long, label int, x binary").toPandas()
+    described = written(rows.mapInPandas(describe, "id long, label int, x binary, passages long, place long"), "described")
+    # the rows of the sample, in its order, while their passages stay below the bound
+    sizes = described.groupBy("id").agg(F.min("place").alias("place"), F.sum("passages").alias("passages")).orderBy("place", "id").toPandas()
+    kept = sizes["id"][sizes["passages"].cumsum() <= SAMPLE_PASSAGES].tolist()
+    seen = described.where(F.col("id").isin(kept)).toPandas() if len(kept) < len(sizes) else described.toPandas()
     # a fixed order of rows, so that sums and with them the model don't depend on the partitions
     seen = seen.sort_values(["id", "x"]).drop_duplicates("id").reset_index(drop=True)
     model = Model(HASHED + SHAPE, float(seen["label"].mean()) if len(seen) else 0.5)

@@ -281,3 +281,28 @@ def test_inflation_is_bounded():
     packed = gzip.compress(whole) + gzip.compress(b"second") + gzip.compress(b"")
     pieces = list(warc.inflated(io.BytesIO(packed)))
     assert b"".join(pieces) == whole + b"second" and max(map(len, pieces)) <= warc.CHUNK
+
+
+def test_classifier_sample_is_bounded_by_passages(spark, monkeypatch):
+    from quarry.llm import quality
+
+    rows = [(i, ("plain words of a calm text " if i % 2 else "$$$ !!! ### %% ") * (3 + i % 5)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    used = []
+    monkeypatch.setattr(quality.Model, "train", lambda self, x, number, y: used.append((len(number), len(x))))
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 30)
+    quality.train(docs, labels)
+    assert used[0][0] > 60 and used[1] == (30, 30)
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 0)
+    assert quality.train(docs, labels).prior == 0.5 and len(used) == 2
+
+
+def test_exact_stage_carries_map_columns(spark):
+    import corpus_pipeline
+
+    rows = [(2, "a  b", {"k": 2}), (1, "a b", {"k": 1}), (1, "a b", {"k": 0}), (1, "a b", {"k": 0}), (3, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>")
+    got = sorted((r["doc_id"], r["text"], r["meta"]) for r in corpus_pipeline.exact(spark, docs, SF).collect())
+    assert got == [(1, "a b", {"k": 0}), (3, "c", None)]
