@@ -31,7 +31,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = unused(docs, "_key")
     ids = exact_dedup.dedup(docs).where("kept").select(key(F.col("text_sha256")).alias(own)).distinct()
     keyed = docs.withColumn(own, key(F.sha2(exact_dedup.normalised("text"), 256)))
-    row = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")
+    # maps have no order, their JSON has
+    order = F.struct("text", F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    row = F.min_by(F.struct(*docs.columns), order).alias("row")
     return keyed.join(ids, own, "left_semi").groupBy(own).agg(row).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
