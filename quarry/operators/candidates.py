@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -227,32 +228,41 @@ def ranked(scores: DataFrame, most: int, least_r: float = 0.0) -> DataFrame:
     return scores.where(F.abs("r") >= least_r).orderBy(*rank_key(scores).values()).limit(most)
 
 
+def falling(name: str, x: Column) -> dict[str, Column]:
+    """Columns to sort by, rising, that put x in falling order: NaN counts as larger than every number, null comes last."""
+    kind = F.when(x.isNull(), 2).when(F.isnan(x), 0).otherwise(1)
+    return {f"{name}_kind": kind, name: F.when(kind == 1, -x).otherwise(0.0)}
+
+
 #: Tasks whose heaps one task merges.
 FAN = 16
 
 
 def merged_top(hits: DataFrame, key: list[str], order: dict[str, Column], most: int) -> DataFrame:
-    """The first `most` rows by order (columns without nulls, rising; ties by key), of each key only the first. Every task keeps a
-    heap of its `most` best keys; heaps are merged by a tree of tasks, each of FAN others: a key among the best of all is among the
-    best of its task. At most tasks times `most` rows are shuffled, then a FAN-th of that, and so on."""
+    """The first `most` rows by order (columns without NaN, rising, null last; ties by key), of each key only the first; a null key is
+    one key. Where order names the key, what follows only chooses among the key's own rows. Every task keeps a heap of its `most` best
+    keys; heaps are merged by a tree of tasks, each of FAN others: a key among the best of all is among the best of its task. At most
+    tasks times `most` rows are shuffled, then a FAN-th of that, and so on. Rows stay as they are: only their order is read in pandas."""
     names = [f"_{n}" for n in order]
     out = hits.schema
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            held = held.sort_values([*names, *key], kind="stable").drop_duplicates(key).head(most)
+            held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            by = held.select([*names, *key]).to_pandas(integer_object_nulls=True)
+            first = by.sort_values([*names, *key], kind="stable").drop_duplicates(key).head(most)
+            held = held.take(pa.array(first.index.to_numpy())).combine_chunks()
         if held is not None:
-            yield held
+            yield from held.to_batches()
 
     keyed = hits.withColumns({f"_{n}": c for n, c in order.items()})
     schema = keyed.schema
-    tasks, kept = slots(hits), keyed.coalesce(slots(hits)).mapInPandas(best, schema)
+    tasks, kept = slots(hits), keyed.coalesce(slots(hits)).mapInArrow(best, schema)
     while tasks > 1:
         tasks = -(-tasks // FAN)
-        kept = kept.repartition(tasks).mapInPandas(best, schema)
-    return kept.orderBy(*names, *key).select(out.names)
+        kept = kept.repartition(tasks).mapInArrow(best, schema)
+    return kept.orderBy(*[F.asc_nulls_last(n) for n in [*names, *key]]).select(out.names)
 
 
 def rediscovered(rows: DataFrame, nodes: list[Node], key: str, target: str = "target", splits: int = 5, share: float = 0.7, seed: int = 0) -> DataFrame:

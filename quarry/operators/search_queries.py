@@ -171,9 +171,13 @@ def canonical_forms(spark, sf_dir):
 
 @query("WITH d AS (SELECT p_size || '::' || p_type AS key, p_retailprice AS score, p_partkey FROM part) SELECT key, p_partkey, round(score, 2) AS score FROM d QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, p_partkey) = 1 ORDER BY score DESC, key LIMIT 25")
 def promoted(spark, sf_dir):
-    hits = table(spark, sf_dir, "part").select(F.concat_ws("::", F.col("p_size").cast("string"), "p_type").alias("key"), "p_partkey", "p_retailprice")
-    best = candidates.merged_top(hits, ["key"], {"score": -F.col("p_retailprice"), "part": F.col("p_partkey")}, 25)
-    return best.select("key", "p_partkey", F.round("p_retailprice", 2).alias("score"))
+    """The dearest part of each size and type, the 25 dearest of them; ties between these go by key once prices are rounded."""
+    price, key = F.col("p_retailprice"), F.concat(F.col("p_size").cast("string"), F.lit("::"), F.col("p_type"))
+    cents = F.round(price * 100) / 100  # as the SQL rounds doubles: half cents by their binary value
+    hits = table(spark, sf_dir, "part").select(key.alias("key"), "p_partkey", "p_retailprice")
+    order = candidates.falling("score", cents) | {"key": F.col("key")} | candidates.falling("price", price) | {"part": F.col("p_partkey")}
+    best = candidates.merged_top(hits, ["key"], order, 25)
+    return best.select("key", "p_partkey", cents.alias("score"))
 
 
 PAIRS = [("quantity", "price"), ("quantity", "tax"), ("price", "discount")]

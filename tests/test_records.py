@@ -6,10 +6,11 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarry.operators import promotion, records
+from quarry.operators import candidates, promotion, records, registry
 
 DRAW = random.Random(23)
 
@@ -132,3 +133,36 @@ def test_fragments_and_separation(spark):
     report = spark.createDataFrame([(1, 0.9, 1.0), (2, -0.6, 0.5), (3, 0.7, 0.8), (4, 0.6, 0.9), (21, 0.9, 0.0)], "place int, r double, stability double")
     found = promotion.stability_summary(report).first()
     assert abs(found["median_stability"] - 0.85) < 1e-12 and found["stable"]
+
+
+def same(a, b):
+    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isnan(a) and math.isnan(b))
+
+
+def test_promoted_parts_with_equal_prices_go_by_key(spark, tmp_path):
+    """Rows in the order of the SQL: many equal prices, some only once rounded, half cents, and none, NaN or
+    infinite ones; keys that are null."""
+    parts = [(1000 - i, f"T{i % 23}", i % 2, 5.0 + DRAW.randrange(3) + DRAW.randrange(5) / 1000) for i in range(300)]
+    odd = [(2**53 + 1, None, 1, 9.0), (2**53, None, 2, 9.0), (None, "B", None, 9.0), (7, "U", 1, float("nan")), (6, "U", 1, float("inf")), (None, "V", 1, float("inf")), (5, "W", 1, None), (None, "A", 3, 9.001), (4, "C", 3, 9.004)]
+    half = [(i, f"T{i % 23}", i % 2, (i * 10 + 5) / 1000) for i in range(90, 128)]
+    few = [(9, "N", 1, None), (None, "M", 1, None), (8, "M", 1, -1.0), (3, "M", 1, float("nan"))]
+    con = duckdb.connect()
+    for name, rows in (("ties", parts), ("odd", parts + odd), ("half", half), ("few", odd + few)):
+        (tmp_path / name).mkdir()
+        con.sql("CREATE OR REPLACE TABLE part (p_partkey BIGINT, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE)")
+        con.executemany("INSERT INTO part VALUES (?, ?, ?, ?)", rows)
+        con.sql(f"COPY part TO '{tmp_path / name / 'part.parquet'}'")
+        want = con.sql(registry.oracle_sql()["promoted"]).fetchall()
+        got = [tuple(r) for r in registry.queries()["promoted"](spark, str(tmp_path / name)).collect()]
+        assert len(got) == len(want) and all(same(a, b) for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True)), name
+
+
+def test_merged_top_keeps_rows_as_they_are(spark):
+    nan = float("nan")
+    rows = [("a", 2.0, 2**53 + 1, nan), ("a", 3.0, None, 1.0), (None, nan, 2**53 + 3, None), (None, 1.0, 5, 2.0), ("b", 2.0, None, None), ("c", None, 2**60 + 1, nan), ("d", 1.0, 1, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, n long, y double").repartition(5)
+    order = candidates.falling("x", F.col("x")) | {"k": F.col("k"), "n": F.col("n")}
+    want = [rows[2], rows[1], rows[4], rows[6], rows[5]]
+    for most in (1, 3, 9):
+        got = [tuple(r) for r in candidates.merged_top(df, ["k"], order, most).collect()]
+        assert len(got) == min(most, 5) and all(same(a, b) for g, w in zip(got, want, strict=False) for a, b in zip(g, w, strict=True))
