@@ -48,12 +48,8 @@ def held_out_expressions(rows: DataFrame, nodes: list[Node], train, target: str
 BAGS, REDUCERS, POSTS = ("xor", "sum", "diff"), ("mode", "gcd"), ("id", "low_half", "high_half", "low_3")
 
 
-def recovery_chains(tape: DataFrame, instance: str, x: str, y: str, modulus: int, bits: int, max_depth: int = 2, keep: DataFrame | None = None) -> DataFrame:
-    """(instance, candidate, depth, value): what each chain recovers from each instance; null where it recovers nothing.
-
-    A chain of depth one is bag, reducer and part; its prefixes are shared: the pairs of a bag are formed once, each reducer runs
-    once on them, and the parts are columns of its result. A chain of depth two pairs two of different bags. keep (candidate):
-    only these chains, with only their parts."""
+def reduced_bags(tape: DataFrame, instance: str, x: str, y: str, modulus: int) -> DataFrame:
+    """(instance, <bag>_<reducer>...): a row for each instance. The pairs of a bag are formed once, and each reducer runs once on them."""
     points = written(tape.select(instance, x, y).distinct(), "tape")
     reduced = []
     for bag in BAGS:
@@ -62,19 +58,32 @@ def recovery_chains(tape: DataFrame, instance: str, x: str, y: str, modulus: int
         gcd = recovery.gcd_of(values, instance).select(instance, F.col("gcd").cast("long").alias(f"{bag}_gcd"))
         reduced += [mode, gcd]
     ids = points.select(instance).distinct()
-    wide = written(reduce(lambda a, b: a.join(b, instance, "left"), reduced, ids), "reduced")
+    return written(reduce(lambda a, b: a.join(b, instance, "left"), reduced, ids), "reduced")
+
+
+def chain_values(wide: DataFrame, held: list[str], bits: int, max_depth: int = 2, keep: DataFrame | None = None) -> DataFrame:
+    """(held..., candidate, depth, value): a row for each row of reduced bags and each chain, whose parts are columns. This makes
+    some hundred rows of one, which Spark's estimates of size don't see: join what belongs to an instance before, not after."""
     names = [(f"{bag}_{red}_{post}", bag, recovery.post(F.col(f"{bag}_{red}"), post, bits)) for bag in BAGS for red in REDUCERS for post in POSTS]
     one = [(n, 1, i, -1) for i, (n, _, _) in enumerate(names)]
     two = [(f"pair[{n}|{m}]", 2, i, j) for (i, (n, bag, _)), (j, (m, other, _)) in combinations(enumerate(names), 2) if bag != other] if max_depth > 1 else []
-    grammar = tape.sparkSession.createDataFrame([*one, *two], "candidate string, depth int, i int, j int")
+    grammar = wide.sparkSession.createDataFrame([*one, *two], "candidate string, depth int, i int, j int")
     if keep is not None:
         grammar = grammar.join(keep, "candidate", "left_semi")
     chosen = F.broadcast(grammar.agg(F.collect_list(F.struct("*")).alias("_chains")))  # one row, as long as the grammar
     values = F.array(*[c.cast("string") for _, _, c in names])
-    rows = wide.select(instance, values.alias("_values")).join(chosen, on=F.lit(True)).select(instance, "_values", F.explode("_chains").alias("c"))
+    rows = wide.select(*held, values.alias("_values")).join(chosen, on=F.lit(True)).select(*held, "_values", F.explode("_chains").alias("c"))
     first, second = F.get("_values", F.col("c.i")), F.get("_values", F.col("c.j"))
     both = F.when(first.isNotNull() & second.isNotNull(), F.concat_ws("|", first, second))
-    return rows.select(instance, "c.candidate", "c.depth", F.when(F.col("c.depth") == 1, first).otherwise(both).alias("value"))
+    return rows.select(*held, "c.candidate", "c.depth", F.when(F.col("c.depth") == 1, first).otherwise(both).alias("value"))
+
+
+def recovery_chains(tape: DataFrame, instance: str, x: str, y: str, modulus: int, bits: int, max_depth: int = 2, keep: DataFrame | None = None) -> DataFrame:
+    """(instance, candidate, depth, value): what each chain recovers from each instance; null where it recovers nothing.
+
+    A chain of depth one is bag, reducer and part; its prefixes are shared. A chain of depth two pairs two of different bags.
+    keep (candidate): only these chains, with only their parts."""
+    return chain_values(reduced_bags(tape, instance, x, y, modulus), [instance], bits, max_depth, keep)
 
 
 def search_recovery_chains(tape: DataFrame, planted: DataFrame, instance: str, x: str, y: str, fold, modulus: int, bits: int, max_depth: int = 2, least_recall: float = 0.8) -> DataFrame:
@@ -84,9 +93,10 @@ def search_recovery_chains(tape: DataFrame, planted: DataFrame, instance: str, x
 
     def verify(survivors: DataFrame | None, split: str) -> DataFrame:
         side = tape.where(fold if split == "train" else ~fold)
-        found = recovery_chains(side, instance, x, y, modulus, bits, max_depth, survivors)
+        known = reduced_bags(side, instance, x, y, modulus).join(planted.select(instance, "secret"), instance)
+        found = chain_values(known, ["secret"], bits, max_depth, survivors)
         hit = F.coalesce(F.col("value") == F.col("secret"), F.lit(False)).cast("double")
-        recall = found.join(planted, instance).groupBy("candidate").agg(F.avg(hit).alias("objective"))
+        recall = found.groupBy("candidate").agg(F.avg(hit).alias("objective"))  # counted within tasks
         return recall.select("candidate", (F.col("objective") >= least_recall).alias("ok"), "objective")
 
     found = search_with_holdout(verify, higher_is_better=True)

@@ -258,6 +258,19 @@ def test_recovery_chains_share_prefixes_and_survive(spark):
     assert {r["candidate"] for r in some} == {"pair[xor_mode_id|sum_gcd_id]", "diff_gcd_low_3"} and len(some) == 24
 
 
+def test_recovery_chains_send_no_row_for_each_chain(spark):
+    rows = [(t, x, x % 2) for t in range(1200) for x in (t % 32, t % 32 + 2, t % 32 + 8)]
+    tape = spark.createDataFrame(rows, "t long, x long, y long")
+    planted = spark.createDataFrame([(t, "2" if t % 10 else "-") for t in range(1200)], "t long, secret string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")  # 600 instances of a side with 216 chains hold more
+    try:
+        found = holdout.search_recovery_chains(tape, planted, "t", "x", "y", F.col("t") % 2 == 0, 64, 6, 2, 0.75).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    recalls = {r["candidate"]: (round(r["discovery_recall"], 6), r["confirmatory_recall"]) for r in found}
+    assert recalls["diff_mode_id"] == recalls["diff_gcd_low_3"] == (0.8, 1.0)
+
+
 def test_feature_choice_equals_a_greedy_loop(spark):
     for _ in range(3):
         names = ["a", "b", "c", "d", "e"]
