@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import candidates, holdout, representation, screens, statistics
+from quarry.operators import candidates, holdout, rank_correlation, representation, screens, statistics
 from quarry.operators.registered import FEATURES, FLAT, TAPE, VEC, query, rounded, safe_r
 from quarry.operators.search_queries import SCORES, names_sql
 from quarry.plans import expression as ex
@@ -66,8 +66,7 @@ r AS (SELECT col, rank() OVER (PARTITION BY col ORDER BY x) + (count(*) OVER (PA
 SELECT col AS "column", count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY col""")
 def rank_correlations(spark, sf_dir):
     """Spearman's rho of each column with the target; quantity, discount and tax are mostly ties."""
-    long = statistics.unpivoted(flat_features(spark, sf_dir), FEATURES, ["target"])
-    return rounded(statistics.spearman(long, "value", "target", ["column"]).drop("t"))
+    return rounded(rank_correlation.rank_correlations(flat_features(spark, sf_dir), FEATURES, "target"))
 
 
 @query(VEC + """, q AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) AS j FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM e)),

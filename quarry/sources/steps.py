@@ -22,8 +22,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written once: cuts lineage and survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Shuffle files go when their query has ended; else they stay until the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df as a table written once: cuts lineage and survives lost executors. release: the shuffle files of this step are gone
+    when it is written, for steps that send more than they keep."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,18 +1,22 @@
 """Permutations, skylines, screens, holdout searches, symmetries, commits: against loops, NumPy and fractions."""
 
 import math
+import os
 import random
 from fractions import Fraction
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import candidates, holdout, permutation, recovery, representation, screens, skyline, statistics, storage
+from quarry.operators import candidates, holdout, permutation, rank_correlation, recovery, registry, representation, screens, skyline, statistics, storage
 from quarry.plans import expression as ex
+from quarry.sources import steps
 
 DRAW = random.Random(17)
+SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
@@ -130,6 +134,41 @@ def test_spearman_with_a_hot_value(spark):
     assert flat["rho"] is None and flat["n"] == 5
 
 
+@pytest.mark.parametrize("block", [1, 3, 16, 1 << 18])
+def test_rank_correlations_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(rank_correlation, "BLOCK", block)
+    some = lambda v, k: None if DRAW.random() < 0.1 else float("nan") if k % 37 == 5 else v
+    rows = []
+    for k in range(300):
+        t = 5.0 if k % 3 == 0 else some(float(DRAW.randrange(40)), k)  # a third of the rows have one target
+        rows.append((t, some(float(DRAW.randrange(3)), k), some(DRAW.random(), k), some((t or 0.0) + DRAW.random(), k), 7.0, -0.0 if k % 2 else 0.0, float("inf"), 2.0 if k < 2 else None))
+    names = ["few", "many", "near", "flat", "zero", "never", "two"]
+    df = spark.createDataFrame(rows, "t double, " + ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {r["column"]: (r["n"], r["rho"]) for r in rank_correlation.rank_correlations(df, names, "t").collect()}
+    assert set(got) == set(names) - {"never"} and got["flat"][1] is None and got["zero"][1] is None and got["two"][1] is None
+    for i, c in enumerate(names[:3], 1):
+        x, t = zip(*[(r[i], r[0]) for r in rows if all(v is not None and v == v for v in (r[i], r[0]))], strict=True)
+        assert got[c][0] == len(x) and abs(got[c][1] - np.corrcoef(average_ranks(x), average_ranks(t))[0, 1]) < 1e-9
+    assert rank_correlation.rank_correlations(df.limit(0), names, "t").count() == 0
+
+
+def test_rank_correlations_keep_no_pairs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(steps, "shared_path", lambda _, name: f"{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    assert registry.queries()["rank_correlations"](spark, SF).count() == 5
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) < 4 * rows  # pairs of five columns were kept three times
+
+
+def test_shuffles_of_a_released_step_go(spark):
+    files = lambda: {f for d in Path(os.environ.get("SPARK_LOCAL_DIRS", "/tmp")).glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
+    left, setting = [], spark.conf.get(steps.RELEASE)
+    for release in (False, True):
+        before = files()
+        steps.written(spark.range(1000).repartition(7, "id"), "step", release)
+        left.append(len(files() - before))
+    assert left[0] and not left[1] and spark.conf.get(steps.RELEASE) == setting
+
+
 @pytest.mark.parametrize(("t", "freedom", "p"), [(2.0, 10, 0.0733880), (0.5, 3, 1 - 2 / math.pi * (0.5 / 3**0.5 / (1 + 0.25 / 3) + math.atan(0.5 / 3**0.5))), (12.706205, 1, 0.05), (1.959964, 1e6, 0.0500001), (0.0, 5, 1.0), (40.0, 60, 0.0)])
 def test_student_tail(spark, t, freedom, p):
     df = spark.createDataFrame([(t, float(freedom))], "t double, f double")
