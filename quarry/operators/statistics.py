@@ -105,11 +105,12 @@ def separation(rows: DataFrame, column: str, label: str = "generator") -> DataFr
     ).select("groups", F.when((F.col("groups") >= 2) & (F.col("within") > 0), F.col("between") / F.col("within")).alias("separation"))
 
 
-def ranks(rows: DataFrame, order: list, name: str) -> DataFrame:
+def ranks(rows: DataFrame, order: list, name: str, release: bool = False) -> DataFrame:
     """rows with their place (from 0) in a total order: sorted ranges, numbered within, plus the count of rows before each
-    range. No task holds more than a range. The ranges are written first, since two passes must see the same ones."""
+    range. No task holds more than a range. The ranges are written first, since two passes must see the same ones; release: as
+    in written()."""
     within = F.monotonically_increasing_id()  # the task's number above the low 33 bits, then the row's
-    laid = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", within), name)
+    laid = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", within), name, release)
     laid = laid.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = laid.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range

@@ -56,6 +56,24 @@ def test_permutation_max_equals_brute_force(spark, monkeypatch, chunk):
     assert (none["observed"], none["p_value"]) == (0.0, 1.0)
 
 
+@pytest.mark.parametrize(("moved", "rows", "wide"), [(1, 9, 1 << 18), (300, 1 << 18, 40)])
+def test_permutation_max_by_steps(spark, monkeypatch, moved, rows, wide):
+    df = spark.range(700).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 7).alias("x"), F.when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id", "id"), F.lit(99)) + 0.0).alias("t")).repartition(3)
+    whole = permutation.permutation_max(df, ["x"], "t", ["id"], 30).first()
+    for name, value in (("MOVED", moved), ("ROWS", rows), ("WIDE", wide), ("CHUNK", 32), ("LEAST", 4)):
+        monkeypatch.setattr(permutation, name, value)
+    steps = permutation.permutation_max(df, ["x"], "t", ["id"], 30).first()
+    assert abs(steps["observed"] - whole["observed"]) < 1e-12 and tuple(steps)[1:] == tuple(whole)[1:]
+
+
+def test_permutation_max_leaves_no_moved_targets(spark):
+    files = lambda: {f: f.stat().st_size for d in Path(os.environ.get("SPARK_LOCAL_DIRS", "/tmp")).glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
+    df, before = spark.range(20_000).select("id", F.rand(3).alias("x"), F.rand(5).alias("t")), files()
+    found = permutation.permutation_max(df, ["x"], "t", ["id"], 60)
+    assert found.first()["replicates"] == 60
+    assert sum(size for f, size in files().items() if f not in before) < 20_000 * 60  # a byte for each; they take eight when they move
+
+
 def undominated(points):
     return {p for p in points if not any(q != p and all(a <= b for a, b in zip(q, p, strict=True)) for q in points)}
 
